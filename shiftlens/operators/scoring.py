@@ -23,6 +23,7 @@ from shiftlens.catalog import (
 from shiftlens.functions.numeric import ratio, uniform_draw
 from shiftlens.operators.monitor import auc_ks, risk_level
 from shiftlens.operators.ordering import null_safe_join
+from shiftlens.sources.tables import stored
 
 # Training parameters and split share.
 MAX_TREES = 400
@@ -131,7 +132,10 @@ def train(
     label: str = "is_bad",
     max_trees: int = MAX_TREES,
 ) -> GBTClassificationModel:
-    """Boosted trees on the training split; stops once the validation loss no longer falls."""
+    """Boosted trees on the training split; stops once the validation loss no longer falls.
+
+    Every tree reads the assembled rows again, so these are stored first.
+    """
     rows = assemble(features.where("dataset <> 'test'"), names).select(
         "features",
         F.col(label).cast("double").alias(label),
@@ -148,7 +152,7 @@ def train(
         validationIndicatorCol="is_valid",
         validationTol=0.0,
         seed=SEED,
-    ).fit(rows)
+    ).fit(stored(rows))
 
 
 def score(

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from shiftlens.plans.registry import QUERIES, Query
 
-FAMILIES = ["cohort_queries"]
+FAMILIES = ["cohort_queries", "score_queries"]
 
 
 def load() -> dict[str, Query]:

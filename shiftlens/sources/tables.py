@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 from shiftlens.catalog import LOAN_COLUMNS, RAW_HEADINGS, SCORE_COLUMNS
+from shiftlens.session import shared_folder
 
 QUESTION_SCHEMA = (
     "id string, category string, question string, "
@@ -51,6 +52,17 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     writer.parquet(path)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The frame written to the shared folder and read back.
+
+    For results that an iterative job reads again and again: it survives the loss of executors and
+    what follows no longer depends on how it was computed.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_loans(df: DataFrame, path: str) -> None:
     """Replace the fact table with its fixed columns in their fixed order."""
     write_table(df.select(*LOAN_COLUMNS), path)

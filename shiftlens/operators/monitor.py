@@ -9,6 +9,9 @@ from shiftlens.catalog import LEVEL_HIGH, LEVEL_MID, PSI_FLOOR, PSI_LARGE, PSI_S
 from shiftlens.functions.numeric import indicator, ratio
 from shiftlens.operators.cohort import cohort, member
 from shiftlens.operators.ordering import exact_quantiles, running_totals
+from shiftlens.sources.tables import stored
+
+SCORE_DECIMALS = 4  # fixed value: how scores are stored
 
 
 def risk_level(score: Column) -> Column:
@@ -57,10 +60,16 @@ def score_summary(view: DataFrame, target: str | None, base: str | None = None)
     return needed.agg(*aggregates).select(F.inline(rows))
 
 
-def _paired_counts(view: DataFrame, target: str | None, base: str | None, score: str) -> DataFrame:
+def _taken(score: str, decimals: int | None) -> Column:
+    return F.col(score) if decimals is None else F.round(score, decimals)
+
+
+def _paired_counts(
+    view: DataFrame, target: str | None, base: str | None, score: str, decimals: int | None
+) -> DataFrame:
     """Rows per distinct score in each cohort."""
     flags = view.select(
-        F.col(score).alias("score"), member(base).alias("b"), member(target).alias("t")
+        _taken(score, decimals).alias("score"), member(base).alias("b"), member(target).alias("t")
     )
     return (
         flags.where("(b OR t) AND score IS NOT NULL")
@@ -75,37 +84,56 @@ def score_bins(
     base: str | None,
     bins: int = 10,
     score: str = "risk_score",
-    continuous: bool = False,
+    decimals: int | None = SCORE_DECIMALS,
 ) -> DataFrame:
     """Counts of both cohorts between the base cohort's quantiles, empty bins included.
 
-    The outer bins are open-ended, a bin holds its left edge, and equal quantiles merge. Scores of
-    a few decimals collapse to few rows; set ``continuous`` for scores of full precision.
+    The outer bins are open-ended, a bin holds its left edge, and equal quantiles merge. Scores
+    are taken at four decimals, as they are stored, and so collapse to few rows; ``decimals=None``
+    takes them in full and cuts their order up instead.
     """
-    counts = _paired_counts(view, target, base, score)
+    return _all_bins(_binned(view, target, base, bins, score, decimals))
+
+
+def _binned(
+    view: DataFrame, target: str | None, base: str | None, bins: int, score: str, decimals: int | None
+) -> DataFrame:
+    """``bin, n_base, n_target, n_edges`` for the bins that hold anything."""
+    counts = _paired_counts(view, target, base, score, decimals)
     probs = [i / bins for i in range(bins + 1)]
-    if continuous:
-        quantiles = exact_quantiles(counts.where("n_base > 0"), "score", "n_base", probs)
+    if decimals is None:
+        counts = stored(counts)
+        quantiles = exact_quantiles(counts.where("n_base > 0"), "score", "n_base", probs).scalar()
     else:
+        # at most 10,001 rows: the quantiles ride along as a window instead of a second scan
         grid = F.array(*[F.lit(p) for p in probs])
-        quantiles = counts.where("n_base > 0").agg(
-            F.percentile("score", grid, F.col("n_base")).alias("quantiles")
-        )
-    distinct = F.array_sort(F.array_distinct("quantiles"))
+        share = F.when(F.col("n_base") > 0, F.col("score"))
+        quantiles = F.percentile(share, grid, F.col("n_base")).over(Window.partitionBy())
+    distinct = F.array_sort(F.array_distinct(F.col("quantiles")))
     inner = F.slice(distinct, F.lit(2), F.greatest(F.size(distinct) - 2, F.lit(0)))
-    edges = quantiles.select(F.coalesce(inner, F.array().cast("array<double>")).alias("edges"))
-    # at most `bins` edges and bins from here on
     place = F.size(F.filter("edges", lambda e: e <= F.col("score")))
-    filled = (
-        counts.withColumn("edges", edges.scalar())
+    return (
+        counts.withColumn("quantiles", quantiles)
+        .withColumn("edges", F.coalesce(inner, F.array().cast("array<double>")))
         .groupBy(place.alias("bin"))
-        .agg(F.sum("n_base").alias("n_base"), F.sum("n_target").alias("n_target"))
+        .agg(
+            F.sum("n_base").alias("n_base"),
+            F.sum("n_target").alias("n_target"),
+            F.max(F.size("edges")).alias("n_edges"),
+        )
     )
-    every = edges.select(F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"))
-    return every.join(filled, "bin", "left").select(
+
+
+def _all_bins(binned: DataFrame) -> DataFrame:
+    """Fill in the empty bins: there is one more bin than inner edges."""
+    held = F.map_from_entries(F.collect_list(F.struct("bin", F.struct("n_base", "n_target"))))
+    row = binned.agg(F.max("n_edges").alias("last"), held.alias("held"))
+    every = row.select("held", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("bin"))
+    found = F.try_element_at("held", F.col("bin"))
+    return every.select(
         "bin",
-        F.coalesce("n_base", F.lit(0)).alias("n_base"),
-        F.coalesce("n_target", F.lit(0)).alias("n_target"),
+        F.coalesce(found["n_base"], F.lit(0)).alias("n_base"),
+        F.coalesce(found["n_target"], F.lit(0)).alias("n_target"),
     )
 
 
@@ -121,11 +149,12 @@ def psi(
     base: str | None,
     bins: int = 10,
     score: str = "risk_score",
-    continuous: bool = False,
+    decimals: int | None = SCORE_DECIMALS,
 ) -> DataFrame:
     """Population stability index of the target against the base: one row."""
     everyone = Window.partitionBy()
-    shares = score_bins(view, target, base, bins, score, continuous).select(
+    # a bin that both cohorts lack adds nothing
+    shares = _binned(view, target, base, bins, score, decimals).select(
         *[
             F.greatest(
                 ratio(F.col(f"n_{s}"), F.sum(f"n_{s}").over(everyone)), F.lit(PSI_FLOOR)
@@ -159,11 +188,15 @@ def histogram(view: DataFrame, column: str, edges: list[float]) -> DataFrame:
 
 
 def score_counts(
-    view: DataFrame, keys: list[str], label: str = "is_bad", score: str = "risk_score"
+    view: DataFrame,
+    keys: list[str],
+    label: str = "is_bad",
+    score: str = "risk_score",
+    decimals: int | None = SCORE_DECIMALS,
 ) -> DataFrame:
     """Positives and negatives per distinct score (and key)."""
     known = view.where(F.col(label).isNotNull() & F.col(score).isNotNull())
-    return known.groupBy(*keys, F.col(score).alias("score")).agg(
+    return known.groupBy(*keys, _taken(score, decimals).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
     )
 
@@ -173,12 +206,15 @@ def roc_points(
     keys: list[str] | None = None,
     label: str = "is_bad",
     score: str = "risk_score",
-    continuous: bool = False,
+    decimals: int | None = SCORE_DECIMALS,
 ) -> DataFrame:
-    """True and false positive rate at every score threshold, from the highest score down."""
+    """True and false positive rate at every score threshold, from the highest score down.
+
+    ``decimals`` as for ``score_bins``.
+    """
     keys = keys or []
-    counts = score_counts(view, keys, label, score)
-    if continuous:
+    counts = score_counts(view, keys, label, score, decimals)
+    if decimals is None:
         run = running_totals(counts, keys, "score", ["pos", "neg"], descending=True)
     else:
         # scores of four decimals: at most 10,001 rows per key
@@ -208,14 +244,14 @@ def auc_ks(
     keys: list[str] | None = None,
     label: str = "is_bad",
     score: str = "risk_score",
-    continuous: bool = False,
+    decimals: int | None = SCORE_DECIMALS,
 ) -> DataFrame:
     """``n, auc, ks`` per key; both null when only one label occurs.
 
     Equal scores get half credit in the AUC; the KS gap starts at 0.
     """
     keys = keys or []
-    points = roc_points(view, keys, label, score, continuous)
+    points = roc_points(view, keys, label, score, decimals)
     # a negative at this score loses against every positive above it and ties with those beside it
     won = F.col("neg").cast("double") * (F.col("pos_before") + F.col("pos") / F.lit(2.0))
     gap = F.greatest(F.col("tpr") - F.col("fpr"), F.lit(0.0))

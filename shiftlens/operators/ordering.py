@@ -7,9 +7,12 @@ totals per cut supplies what came before. Results are exact; only the cut points
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from shiftlens.sources.tables import stored
+
 CUTS = 1000
 
 
@@ -29,7 +32,8 @@ def null_safe_join(
 
 def cut_points(df: DataFrame, column: str, cuts: int = CUTS) -> Column:
     """Approximate quantiles of a column as a one-value subquery."""
-    probs = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
+    # one array literal; a thousand single ones would slow every planning rule
+    probs = F.lit(np.arange(1, cuts) / cuts)
     bounds = F.array_sort(F.array_distinct(F.percentile_approx(column, probs, 10 * cuts)))
     return df.agg(bounds).scalar()
 
@@ -59,12 +63,15 @@ def running_totals(
     then: str | None = None,
     descending: bool = False,
     cuts: int = CUTS,
+    store: bool = True,
 ) -> DataFrame:
     """Add ``<v>_before`` and ``<v>_total`` per key group for every value column.
 
     ``df`` holds one row per (keys, order[, then]); collapse equal order values first, so that no
-    cut can be made of one value.
+    cut can be made of one value. It is read three times, hence stored unless it already is.
     """
+    if store:
+        df = stored(df)
     place = position(F.col(order), F.col("__bounds"), cuts)
     cut = df.withColumn("__bounds", cut_points(df, order, cuts)).withColumn(
         "__cut", F.negate(place) if descending else place
@@ -96,12 +103,19 @@ def running_totals(
 
 
 def global_rank(
-    df: DataFrame, keys: list[str], score: str, tie: str, rank: str = "rank", cuts: int = CUTS
+    df: DataFrame,
+    keys: list[str],
+    score: str,
+    tie: str,
+    rank: str = "rank",
+    cuts: int = CUTS,
 ) -> DataFrame:
     """Rank from 1 by descending score, ties by ascending ``tie``, without one task per key group.
 
-    Equal scores (say all the zeros) are cut again along the tie column.
+    Equal scores (say all the zeros) are cut again along the tie column. The rows are read
+    several times and stored first.
     """
+    df = stored(df)
     cut = df.withColumn("__tb", cut_points(df, tie, cuts)).withColumn(
         "__tie_cut", position(F.col(tie), F.col("__tb"), cuts)
     ).drop("__tb")
@@ -126,7 +140,8 @@ def exact_quantiles(
 ) -> DataFrame:
     """``quantiles array<double>`` per key, linearly interpolated, from (value, weight) rows."""
     keys = keys or []
-    run = running_totals(counts.where(F.col(value).isNotNull()), keys, value, [weight], cuts=cuts)
+    known = counts.where(F.col(value).isNotNull())
+    run = running_totals(known, keys, value, [weight], cuts=cuts)
     upto = F.col(f"{weight}_before") + F.col(weight)
     picks = []
     for i, p in enumerate(probs):

@@ -11,9 +11,10 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from shiftlens.functions.text import strip, tokens
+from shiftlens.functions.text import strip
 from shiftlens.functions.vectors import dot, unit
 from shiftlens.operators.ordering import global_rank, position
+from shiftlens.sources.tables import stored
 
 # Parameters of the ranking functions and the name of the part before any heading.
 RRF_K = 60
@@ -51,9 +52,11 @@ def split_sections(docs: DataFrame, doc: str = "doc", text: str = "text") -> Dat
     )
 
 
-def with_terms(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``key, terms``: tokens of the whole text."""
-    return rows.select(key, tokens(F.col(text)).alias("terms"))
+def _sizes(indexed: DataFrame) -> Column:
+    """struct<n, length>: how many chunks, and how long on average."""
+    return indexed.agg(
+        F.struct(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("length"))
+    ).scalar()
 
 
 def term_weights(indexed: DataFrame) -> DataFrame:
@@ -62,7 +65,7 @@ def term_weights(indexed: DataFrame) -> DataFrame:
     Each chunk sends every distinct term once and counts are combined before the exchange. A term
     in more than half of the chunks would weigh below 0 and gets a quarter of the mean instead.
     """
-    chunks = indexed.agg(F.count(F.lit(1))).scalar()
+    chunks = _sizes(indexed)["n"]
     df = (
         indexed.select(F.explode(F.array_distinct("terms")).alias("term"))
         .groupBy("term")
@@ -93,7 +96,7 @@ def bm25(indexed: DataFrame, queries: DataFrame) -> DataFrame:
         .agg(F.collect_list(F.struct("query_id", "times")).alias("asked"))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
-    mean_length = indexed.agg(F.avg(F.size("terms"))).scalar()
+    mean_length = _sizes(indexed)["length"]
     counted = (
         indexed.select(
             "chunk_id", F.size("terms").alias("length"), F.explode("terms").alias("term")
@@ -157,7 +160,8 @@ def dense(chunks: DataFrame, queries: DataFrame) -> DataFrame:
 
 def dense_ranks(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """Rank of every chunk by similarity, per query."""
-    return global_rank(dense(chunks, queries), ["query_id"], "dense", "chunk_id", "dense_rank")
+    pairs = dense(chunks, queries)
+    return global_rank(pairs, ["query_id"], "dense", "chunk_id", "dense_rank")
 
 
 def all_pairs(chunks: DataFrame, queries: DataFrame) -> DataFrame:
@@ -218,6 +222,16 @@ def candidate_depth(top_k: int) -> int:
     return RRF_K + 2 * top_k
 
 
+def _listed(name: str) -> Column:
+    """A list's marks with their place in it."""
+    return F.transform(
+        f"{name}_marks",
+        lambda m, i: F.struct(
+            F.lit(name).alias("list"), (i + 1).alias("place"), m["c"].alias("chunk_id")
+        ),
+    )
+
+
 def hybrid_search(chunks: DataFrame, queries: DataFrame, top_k: int = DEFAULT_TOP_K) -> DataFrame:
     """``query_id, hit_rank, chunk_id, score``: the exact fused top-k of every query.
 
@@ -225,7 +239,7 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, top_k: int = DEFAULT_TO
     ranks come from counting how many pairs fall between them: one pass with counts combined
     before the exchange, and no full sort.
     """
-    prepared = _prepared(chunks, queries)
+    prepared = stored(_prepared(chunks, queries))
     pairs = _scored(prepared, queries)
     depth = candidate_depth(top_k)
 
@@ -244,7 +258,7 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, top_k: int = DEFAULT_TO
         F.array_sort(F.collect_list(key("dense"))).alias("dense_marks"),
         F.array_sort(F.collect_list(key("sparse"))).alias("sparse_marks"),
     )
-    marked = queries.join(marks, "query_id")
+    marked = stored(queries.select("query_id", "vec").join(marks, "query_id"))
     places = F.array(
         *[
             F.struct(
@@ -269,24 +283,7 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, top_k: int = DEFAULT_TO
         "query_id", "list", "place", (F.col("upto") - F.col("n") + 1).alias("rank")
     )
     listed = marked.select(
-        "query_id",
-        F.inline(
-            F.flatten(
-                F.array(
-                    *[
-                        F.transform(
-                            f"{name}_marks",
-                            lambda m, i, name=name: F.struct(
-                                F.lit(name).alias("list"),
-                                (i + 1).alias("place"),
-                                m["c"].alias("chunk_id"),
-                            ),
-                        )
-                        for name in ("dense", "sparse")
-                    ]
-                )
-            )
-        ),
+        "query_id", F.inline(F.concat(_listed("dense"), _listed("sparse")))
     )
     fused = (
         listed.join(ranks, ["query_id", "list", "place"])

@@ -6,7 +6,13 @@ from importlib import import_module
 
 from shiftlens.plans.registry import QUERIES, Query
 
-FAMILIES = ["cohort_queries", "score_queries"]
+FAMILIES = [
+    "cohort_queries",
+    "score_queries",
+    "quality_queries",
+    "text_queries",
+    "answer_queries",
+]
 
 
 def load() -> dict[str, Query]:

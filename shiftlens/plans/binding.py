@@ -7,40 +7,63 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from shiftlens.catalog import LOAN_COLUMNS, STATUS_COLUMNS, worst_status
+from shiftlens.catalog import (
+    BILL_COLUMNS,
+    LOAN_COLUMNS,
+    PAYMENT_COLUMNS,
+    STATUS_COLUMNS,
+    worst_status,
+)
 from shiftlens.operators import attribution, monitor
 
 # The terms of the stand-in score.
-INTERCEPT, W_WORST, W_LATEST, W_LIMIT, LIMIT_CENTRE = -1.5, 0.4, 0.3, 0.000004, 150000
+INTERCEPT = "-1.5d"
+TERMS = {
+    "max_pay_status": "0.4d * coalesce(max_pay_status, -2)",
+    "pay_status_1": "0.3d * coalesce(pay_status_1, -2)",
+    "credit_limit": "-0.000004d * (credit_limit - 150000)",
+}
+
+
+# Read with explicit schemas: no footer has to be opened to plan a query.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def line_slots(lines: DataFrame) -> DataFrame:
     """Status, bill and payment of lines 1..6 per order, summed where a line number repeats."""
-    status = F.when(F.col("l_returnflag") == "R", 2).when(F.col("l_returnflag") == "A", 1)
-    status = status.otherwise(0)
-    paid = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    status = "CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END"
     slots = []
     for i in range(1, 7):
-        here = F.col("l_linenumber") == i
+        here = f"l_linenumber = {i}"
         slots += [
-            F.coalesce(F.max(F.when(here, status)), F.lit(-2)).alias(f"pay_status_{i}"),
-            F.sum(F.when(here, F.col("l_extendedprice"))).alias(f"bill_amt_{i}"),
-            F.sum(F.when(here, paid)).alias(f"pay_amt_{i}"),
+            f"coalesce(max({status}) FILTER (WHERE {here}), -2) AS pay_status_{i}",
+            f"sum(l_extendedprice) FILTER (WHERE {here}) AS bill_amt_{i}",
+            f"sum(l_extendedprice * (1 - l_discount)) FILTER (WHERE {here}) AS pay_amt_{i}",
         ]
-    return lines.groupBy("l_orderkey").agg(*slots)
+    return lines.groupBy("l_orderkey").agg(*[F.expr(s) for s in slots])
 
 
 def terms() -> dict[str, Column]:
     """The score's log-odds terms by feature."""
-    return {
-        "max_pay_status": F.coalesce(F.col("max_pay_status"), F.lit(-2)) * F.lit(W_WORST),
-        "pay_status_1": F.coalesce(F.col("pay_status_1"), F.lit(-2)) * F.lit(W_LATEST),
-        "credit_limit": F.lit(-W_LIMIT) * (F.col("credit_limit") - LIMIT_CENTRE),
-    }
+    return {name: F.expr(term) for name, term in TERMS.items()}
 
 
 def observations(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,33 +79,33 @@ def observations(spark: SparkSession, folder: str) -> DataFrame:
         .join(people, F.col("o_custkey") == F.col("c_custkey"))
         .withColumn("max_pay_status", worst_status())
     )
-    facts = joined.select(
-        F.col("o_orderkey").alias("user_id"),
-        F.date_format("o_orderdate", "yyyy-MM").alias("loan_month"),
-        F.col("c_mktsegment").alias("channel"),
-        F.col("r_name").alias("city_tier"),
-        F.col("o_totalprice").alias("credit_limit"),
-        (F.pmod("c_nationkey", F.lit(2)) + 1).cast("int").alias("sex"),
-        F.substring("o_orderpriority", 1, 1).cast("int").alias("education"),
-        F.pmod("c_nationkey", F.lit(4)).cast("int").alias("marriage"),
-        F.floor(F.lit(16) + (F.col("c_acctbal") + 1000) / 128).cast("int").alias("age"),
+    facts = joined.selectExpr(
+        "o_orderkey AS user_id",
+        "date_format(o_orderdate, 'yyyy-MM') AS loan_month",
+        "c_mktsegment AS channel",
+        "r_name AS city_tier",
+        "o_totalprice AS credit_limit",
+        "c_nationkey % 2 + 1 AS sex",
+        "int(substring(o_orderpriority, 1, 1)) AS education",
+        "c_nationkey % 4 AS marriage",
+        "int(floor(16 + (c_acctbal + 1000) / 128)) AS age",
         *STATUS_COLUMNS,
-        *[f"bill_amt_{i}" for i in range(1, 7)],
-        *[f"pay_amt_{i}" for i in range(1, 7)],
-        (F.col("o_orderstatus") == "F").cast("int").alias("is_bad"),
-        F.col("c_acctbal").alias("balance"),
+        *BILL_COLUMNS,
+        *PAYMENT_COLUMNS,
+        "int(o_orderstatus = 'F') AS is_bad",
+        "c_acctbal AS balance",
         "max_pay_status",
-        F.col("o_orderstatus").alias("order_status"),
+        "o_orderstatus AS order_status",
     )
-    parts = list(terms().values())
-    odds = F.lit(INTERCEPT) + parts[0] + parts[1] + parts[2]
-    scored = facts.withColumn("p", F.lit(1) / (F.lit(1) + F.exp(-odds)))
-    last = F.pmod("user_id", F.lit(100))
-    return scored.select(
+    odds = f"{INTERCEPT} + " + " + ".join(TERMS.values())
+    return facts.withColumn("p", F.expr(f"1d / (1d + exp(-({odds})))")).select(
         "*",
-        F.round("p", 4).alias("risk_score"),
+        F.expr("round(p, 4) AS risk_score"),
         monitor.risk_level(F.col("p")).alias("risk_level"),
-        F.when(last < 64, "train").when(last < 80, "valid").otherwise("test").alias("dataset"),
+        F.expr(
+            "CASE WHEN user_id % 100 < 64 THEN 'train' WHEN user_id % 100 < 80 THEN 'valid'"
+            " ELSE 'test' END AS dataset"
+        ),
     )
 
 

@@ -141,9 +141,9 @@ def register() -> None:
         UNION ALL SELECT 1, 'target', {levels} FROM v WHERE {S1_T}""",
     )
     for name, score, t, b, full in (
-        ("late", "risk_score", LATE, EARLY, False),
-        ("segment", "risk_score", S1_T, S1_B, False),
-        ("unrounded", "p", LATE, EARLY, True),
+        ("late", "risk_score", LATE, EARLY, 4),
+        ("segment", "risk_score", S1_T, S1_B, 4),
+        ("unrounded", "p", LATE, EARLY, None),
     ):
         ctes = (OBS_SQL, _bins_sql(score, b, t))
         add(
@@ -151,7 +151,7 @@ def register() -> None:
             "A14 U3",
             "bin:i, n_base:i, n_target:i",
             lambda s, d, t=t, b=b, score=score, full=full: M.score_bins(
-                obs(s, d), t, b, score=score, continuous=full
+                obs(s, d), t, b, score=score, decimals=full
             ),
             "SELECT * FROM bins",
             ctes,
@@ -161,7 +161,7 @@ def register() -> None:
             "O6 A13",
             "psi:6, shift",
             lambda s, d, t=t, b=b, score=score, full=full: M.psi(
-                obs(s, d), t, b, score=score, continuous=full
+                obs(s, d), t, b, score=score, decimals=full
             ),
             PSI_SELECT,
             ctes,
@@ -204,7 +204,7 @@ def register() -> None:
         "auc_ks_unrounded",
         "O7 O8 W4",
         "dataset, " + AUC_SPEC,
-        lambda s, d: M.auc_ks(obs(s, d), ["dataset"], score="p", continuous=True),
+        lambda s, d: M.auc_ks(obs(s, d), ["dataset"], score="p", decimals=None),
         auc_sql("v", "p", "dataset"),
     )
     add(

@@ -15,6 +15,8 @@ DEFAULTS = {
     # a skewed join is split even where the plan after it then needs one more exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # no call-site capture per column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

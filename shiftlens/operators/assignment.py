@@ -22,12 +22,16 @@ CHANNEL_SALT, MONTH_SALT, CITY_SALT = 1, 2, 3
 def weighted_choice(values: list[str], weights: Column, draw: Column) -> Column:
     """The value whose share of the (unnormalised) weights holds the draw from [0, 1)."""
     total = F.aggregate(weights, F.lit(0.0), lambda s, w: s + w)
+    start = F.struct(
+        F.lit(0.0).alias("sum"), F.lit(0).alias("hits"), (draw * total).alias("mark")
+    )
     passed = F.aggregate(
         weights,
-        F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("hits")),
+        start,
         lambda acc, w: F.struct(
             (acc["sum"] + w).alias("sum"),
-            (acc["hits"] + (acc["sum"] + w <= draw * total).cast("int")).alias("hits"),
+            (acc["hits"] + (acc["sum"] + w <= acc["mark"]).cast("int")).alias("hits"),
+            acc["mark"].alias("mark"),
         ),
         lambda acc: F.least(acc["hits"], F.lit(len(values) - 1)),
     )

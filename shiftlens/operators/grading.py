@@ -43,44 +43,63 @@ def contains_any(answer: Column, words: Column) -> Column:
     return F.exists(words, lambda w: F.contains(low, F.lower(w)))
 
 
+# JSON values that do not count as passed.
+FALSE_TEXTS = ["false", "0", "0.0", "", "[]", "{}"]
+
+
 def judgement(text: Column) -> Column:
     """struct<passed, reason> out of a judge's text: its JSON object, else the wording."""
-    body = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    parsed = F.from_json(body, "passed boolean, reason string", {"mode": "PERMISSIVE"})
-    readable = (body != "") & F.get_json_object(body, "$").isNotNull()
-    worded = text.rlike(r'(?i)"?passed"?\s*[:：]\s*true')
-    return F.struct(
-        F.when(readable, F.coalesce(parsed["passed"], F.lit(False)))
-        .otherwise(worded)
-        .alias("passed"),
-        F.when(readable, F.coalesce(parsed["reason"], F.lit("")))
-        .otherwise(F.concat(F.lit("(JSON 解析失败) "), F.substring(text, 1, 200)))
-        .alias("reason"),
+    parsed = F.from_json(
+        F.regexp_extract(text, r"(?s)\{.*\}", 0),
+        "passed string, reason string, broken string",
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"},
     )
 
+    def read(p: Column) -> Column:
+        readable = p.isNotNull() & p["broken"].isNull()
+        truthy = p["passed"].isNotNull() & ~p["passed"].isin(FALSE_TEXTS)
+        worded = text.rlike(r'(?i)"?passed"?\s*[:：]\s*true')
+        fallback = F.concat(F.lit("(JSON 解析失败) "), F.substring(text, 1, 200))
+        return F.struct(
+            F.when(readable, truthy).otherwise(worded).alias("passed"),
+            F.when(readable, F.coalesce(p["reason"], F.lit(""))).otherwise(fallback).alias("reason"),
+        )
 
-def check_result(check: Column, answer: Column, found: Column) -> Column:
-    """struct<type, passed, note> of one check."""
-    verdict = judgement(check["judgement"])
-    is_number, is_word = check["type"] == "number", check["type"] == "contains"
-    passed = (
-        F.when(is_number, number_found(found, check["value"], check["kind"]))
-        .when(is_word, contains_any(answer, check["any"]))
-        .otherwise(verdict["passed"])
-    )
-    note = (
-        F.when(is_number, F.concat(F.lit("期望数值 "), check["value"].cast("string")))
-        .when(
-            is_word,
-            F.concat(F.lit("期望包含 ['"), F.array_join(check["any"], "', '"), F.lit("']")),
+    # one-element transform: parsed once, used several times
+    return F.get(F.transform(F.array(parsed), read), F.lit(0))
+
+
+def check_results(checks: Column, answer: Column, found: Column) -> Column:
+    """array<struct<type, passed, note>>, one per check."""
+    is_rule = ["number", "contains"]
+
+    def with_verdict(c: Column) -> Column:
+        judged = F.when(~c["type"].isin(is_rule), judgement(c["judgement"]))
+        return F.struct(c.alias("c"), judged.alias("verdict"))
+
+    def result(x: Column) -> Column:
+        check = x["c"]
+        is_number, is_word = check["type"] == "number", check["type"] == "contains"
+        passed = (
+            F.when(is_number, number_found(found, check["value"], check["kind"]))
+            .when(is_word, contains_any(answer, check["any"]))
+            .otherwise(x["verdict"]["passed"])
         )
-        .otherwise(verdict["reason"])
-    )
-    return F.struct(
-        check["type"].alias("type"),
-        F.coalesce(passed, F.lit(False)).alias("passed"),
-        note.alias("note"),
-    )
+        note = (
+            F.when(is_number, F.concat(F.lit("期望数值 "), check["value"].cast("string")))
+            .when(
+                is_word,
+                F.concat(F.lit("期望包含 ['"), F.array_join(check["any"], "', '"), F.lit("']")),
+            )
+            .otherwise(x["verdict"]["reason"])
+        )
+        return F.struct(
+            check["type"].alias("type"),
+            F.coalesce(passed, F.lit(False)).alias("passed"),
+            note.alias("note"),
+        )
+
+    return F.transform(F.transform(checks, with_verdict), result)
 
 
 def grade(answers: DataFrame) -> DataFrame:
@@ -92,11 +111,12 @@ def grade(answers: DataFrame) -> DataFrame:
     found = answers.withColumn("executed", F.coalesce(executed, F.lit(False))).withColumn(
         "__found", numbers(F.col("answer"), ANSWER_NUMBER)
     )
-    results = F.transform(
-        "checks", lambda c: check_result(c, F.col("answer"), F.col("__found"))
-    )
+    results = check_results(F.col("checks"), F.col("answer"), F.col("__found"))
     empty = F.array().cast("array<struct<type:string,passed:boolean,note:string>>")
-    graded = found.withColumn("__checks", F.when(F.col("executed"), results).otherwise(empty))
+    # the size test is always true; a second use keeps the parsed numbers out of the lambda, where
+    # they would be parsed again for every check
+    run = F.col("executed") & (F.size("__found") >= 0)
+    graded = found.withColumn("__checks", F.when(run, results).otherwise(empty))
     passed = F.col("executed") & F.forall("__checks", lambda c: c["passed"])
     return (
         graded.withColumn(

@@ -38,21 +38,17 @@ def cut_points(df: DataFrame, column: str, cuts: int = CUTS) -> Column:
     return df.agg(bounds).scalar()
 
 
-def position(x: Column, bounds: Column, cuts: int = CUTS) -> Column:
-    """How many bounds are <= x, by halving."""
-    halvings = F.array_repeat(F.lit(0), cuts.bit_length() + 1)
-    start = F.struct(F.lit(0).alias("lo"), F.coalesce(F.size(bounds), F.lit(0)).alias("hi"))
+def position(value: Column, bounds: Column, most: int) -> Column:
+    """How many of the sorted bounds (``most`` at most) are <= value, by halving steps."""
+    top = 1 << (most.bit_length() - 1)
+    steps = F.lit(np.array([top >> i for i in range(most.bit_length())], dtype="int32"))
 
-    def halve(acc: Column, _: Column) -> Column:
-        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        open_ = acc["lo"] < acc["hi"]
-        below = F.coalesce(F.get(bounds, mid) <= x, F.lit(False))
-        return F.struct(
-            F.when(open_ & below, mid + 1).otherwise(acc["lo"]).alias("lo"),
-            F.when(open_ & ~below, mid).otherwise(acc["hi"]).alias("hi"),
-        )
+    def advance(at: Column, step: Column) -> Column:
+        reached = at + step
+        fits = (reached <= F.size(bounds)) & (F.get(bounds, reached - 1) <= value)
+        return at + F.when(F.coalesce(fits, F.lit(False)), step).otherwise(0)
 
-    return F.aggregate(halvings, start, halve, lambda acc: acc["lo"])
+    return F.aggregate(steps, F.lit(0), advance)
 
 
 def running_totals(
@@ -72,9 +68,9 @@ def running_totals(
     """
     if store:
         df = stored(df)
-    place = position(F.col(order), F.col("__bounds"), cuts)
+    at = position(F.col(order), F.col("__bounds"), cuts)
     cut = df.withColumn("__bounds", cut_points(df, order, cuts)).withColumn(
-        "__cut", F.negate(place) if descending else place
+        "__cut", F.negate(at) if descending else at
     ).drop("__bounds")
     sort = [F.col(order).desc() if descending else F.col(order).asc()]
     if then:

@@ -14,12 +14,13 @@ from pyspark.sql.window import Window
 from shiftlens.functions.text import strip
 from shiftlens.functions.vectors import dot, unit
 from shiftlens.operators.ordering import global_rank, position
-from shiftlens.sources.tables import stored
+from shiftlens.sources.tables import spread, stored
 
 # Parameters of the ranking functions and the name of the part before any heading.
 RRF_K = 60
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 PREAMBLE = "概述"
+FIRST_LINE = r"^## ([^\n\r\f\x0B\x1c-\x1e\x{85}\x{2028}\x{2029}]*)"
 DEFAULT_TOP_K = 4
 
 SCORE_DECIMALS = 9
@@ -37,18 +38,23 @@ def split_sections(docs: DataFrame, doc: str = "doc", text: str = "text") -> Dat
         strip(F.regexp_extract(text, r"(?d)^#\s+(.+)", 1)).alias("__title"),
         F.posexplode(F.split(text, r"\n(?=## )")).alias("part", "__raw"),
     )
-    body = strip(F.col("__raw"))
-    title = F.when(F.col("__title") != "", F.col("__title")).otherwise(F.col("doc").cast("string"))
-    headed = body.startswith("## ")
-    name = strip(F.regexp_extract(body, r"^## ([^\n\r\f\x0B\x1c-\x1e\x{85}\x{2028}\x{2029}]*)", 1))
-    intro = strip(F.regexp_replace(body, r"(?d)^#\s+.+\n?", ""))
-    lead = F.when(headed, F.concat(title, F.lit(" / "), name)).otherwise(title)
-    content = F.when(headed, body).otherwise(intro)
-    return named.where(headed | (intro != "")).select(
+    title, headed = F.col("__title"), F.col("__body").startswith("## ")
+    # columns of their own, so that each pattern runs once per part
+    cut = named.withColumn("__body", strip(F.col("__raw"))).withColumns(
+        {
+            "__name": F.when(headed, strip(F.regexp_extract("__body", FIRST_LINE, 1))),
+            "__rest": F.when(headed, F.col("__body")).otherwise(
+                strip(F.regexp_replace("__body", r"(?d)^#\s+.+\n?", ""))
+            ),
+        }
+    )
+    named_title = F.when(title != "", title).otherwise(F.col("doc").cast("string"))
+    lead = F.concat_ws(" / ", named_title, "__name")
+    return cut.where("__rest <> ''").select(
         "doc",
         "part",
-        F.when(headed, name).otherwise(PREAMBLE).alias("section"),
-        F.concat(F.lit("【"), lead, F.lit("】\n"), content).alias("text"),
+        F.coalesce("__name", F.lit(PREAMBLE)).alias("section"),
+        F.concat(F.lit("【"), lead, F.lit("】\n"), F.col("__rest")).alias("text"),
     )
 
 
@@ -239,7 +245,7 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, top_k: int = DEFAULT_TO
     ranks come from counting how many pairs fall between them: one pass with counts combined
     before the exchange, and no full sort.
     """
-    prepared = stored(_prepared(chunks, queries))
+    prepared = spread(stored(_prepared(chunks, queries)))
     pairs = _scored(prepared, queries)
     depth = candidate_depth(top_k)
 

@@ -34,18 +34,26 @@ def reports(spark: SparkSession, folder: str) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.sum("is_bad").alias("bad"),
-            F.avg("risk_score").alias("s"),
+            F.sum(F.round(F.col("risk_score") * 10000).cast("bigint")).alias("points"),
         )
     )
     same = Window.partitionBy("channel")
-    figures = groups.select(
+    totals = groups.select(
+        "*", F.sum("n").over(same).alias("total"), F.sum("bad").over(same).alias("all_bad")
+    )
+
+    def four(num: str, den: str):
+        # rounded in whole numbers, so that no engine's floating point decides a tie
+        return F.expr(f"((2 * {num} + {den}) DIV (2 * {den})) / 10000d")
+
+    figures = totals.select(
         "channel",
         "loan_month",
         "n",
-        F.round(F.col("bad") / F.col("n"), 4).alias("r"),
-        F.round(F.sum("bad").over(same) / F.sum("n").over(same), 4).alias("c"),
-        F.round("s", 4).alias("s"),
-        F.sum("n").over(same).alias("total"),
+        four("10000 * bad", "n").alias("r"),
+        four("10000 * all_bad", "total").alias("c"),
+        four("points", "n").alias("s"),
+        "total",
     )
     wrong = F.when(F.col("n") % 5 == 0, 3.0).otherwise(0.0)
     report = F.concat(
@@ -89,13 +97,15 @@ def reports(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _reports_sql() -> str:
-    r, c = "(bad/CAST(n AS DOUBLE))", "(tb/CAST(total AS DOUBLE))"
+    def four(num: str, den: str) -> str:
+        return f"(CAST((2*{num}+{den}) AS BIGINT) // CAST(2*{den} AS BIGINT))/CAST(10000 AS DOUBLE)"
+
     return f"""g1 AS (SELECT channel, loan_month, count(*) AS n, sum(is_bad) AS bad,
-        avg(risk_score) AS s0 FROM v GROUP BY ALL),
+        sum(CAST(round(risk_score*10000) AS BIGINT)) AS points FROM v GROUP BY ALL),
       g2 AS (SELECT *, sum(n) OVER w AS total, sum(bad) OVER w AS tb FROM g1
         WINDOW w AS (PARTITION BY channel)),
-      g3 AS (SELECT channel, loan_month, n, total, round({r}, 4) AS r, round({c}, 4) AS c,
-        round(s0, 4) AS s FROM g2),
+      g3 AS (SELECT channel, loan_month, n, total, {four("10000*bad", "n")} AS r, {four("10000*tb", "total")} AS c,
+        {four("points", "n")} AS s FROM g2),
       rep AS (SELECT channel, loan_month,
         '渠道 ' || channel || ' 在 ' || loan_month || ' 共 ' || n || ' 人，坏账率 '
         || {fixed_sql("r*100 + CASE WHEN n % 5 = 0 THEN 3.0 ELSE 0.0 END", 2)} || '%，与渠道平均相差 '
@@ -118,7 +128,8 @@ def _numbers_sql(text: str, lead: str, units: str) -> str:
     pattern = f"{lead}{NUM}(?:\\s*({units}))?"
     return (
         f"regexp_extract_all({text}, '{pattern}', 1) AS raws,"
-        f" regexp_extract_all({text}, '{pattern}', 2) AS units"
+        f" list_transform(regexp_extract_all({text}, '{pattern}', 2),"
+        " lambda u: coalesce(u, '')) AS units"
     )
 
 
@@ -417,7 +428,6 @@ def register() -> None:
         lambda s, d: table(s, d, "documents").select(
             "doc_id", F.size(E.evidence_numbers(F.array("text"))).alias("n_numbers")
         ),
-        # each match is preceded by a blank so that neighbours do not share a character
         f"""SELECT doc_id, count(DISTINCT x) AS n_numbers FROM (SELECT doc_id, NULL AS x FROM documents
           UNION ALL SELECT doc_id, x FROM en UNION ALL SELECT doc_id, x/100 FROM en WHERE unit = '%')
         GROUP BY doc_id""",
@@ -634,7 +644,7 @@ def register() -> None:
         run,
     )
 
-    cents = ", ".join(f"bill_amt_{i}:2, pay_amt_{i}:2" for i in range(1, 7))
+    cents = ", ".join(f"bill_amt_{i}:2, pay_amt_{i}:4" for i in range(1, 7))
     statuses = ", ".join(f"pay_status_{i}:0" for i in range(1, 7))
     add(
         "canonical_loans",

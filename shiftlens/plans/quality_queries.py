@@ -9,20 +9,13 @@ from shiftlens.operators import cohort as C, findings as N, quality as K
 from shiftlens.plans.binding import OBS_SQL, SHAP_SQL, attributions, observations as obs, table
 from shiftlens.plans.cohort_queries import EARLY, LATE, S2_B, S2_T
 from shiftlens.plans.registry import add
-from shiftlens.plans.sqltext import auc_sql
+from shiftlens.plans.sqltext import DIMENSION_SQL, auc_sql
 
 SPEC = "check_name, subject, severity, value:6"
 BY_MONTH = "(SELECT channel, loan_month, count(*) AS n, avg(is_bad) AS bad_rate FROM v GROUP BY ALL)"
 SCORE_VIEW = ["risk_score", "risk_level", "dataset"]
 
 
-def _none(kind: str = "") -> str:
-    return (
-        "SELECT '' AS check_name, '' AS subject, '' AS severity, CAST(0 AS DOUBLE) AS value"
-        " FROM v WHERE FALSE"
-    )
-
-
 def register() -> None:
     columns = LOAN_COLUMNS + SCORE_VIEW
     status_bad = " OR ".join(
@@ -261,7 +254,16 @@ def register() -> None:
         "Q14",
         SPEC,
         lambda s, d: N.identity_findings(obs(s, d), "limit_band", LATE, EARLY),
-        _none(),
+        f"""SELECT 'identity' AS check_name, 'diff' AS subject, 'error' AS severity, off AS value
+        FROM (SELECT abs(sum((st-sb)*rb + st*(rt-rb)) - (sum(bt)/sum(nt) - sum(bb)/sum(nb))) AS off
+          FROM (SELECT *, nt/sum(nt) OVER () AS st, nb/sum(nb) OVER () AS sb,
+            coalesce(bt/nullif(nt, 0), 0) AS rt, coalesce(bb/nullif(nb, 0), 0) AS rb
+            FROM (SELECT {DIMENSION_SQL["limit_band"]} AS g,
+              CAST(count(*) FILTER ({LATE}) AS DOUBLE) AS nt,
+              CAST(count(*) FILTER ({EARLY}) AS DOUBLE) AS nb,
+              CAST(coalesce(sum(is_bad) FILTER ({LATE}), 0) AS DOUBLE) AS bt,
+              CAST(coalesce(sum(is_bad) FILTER ({EARLY}), 0) AS DOUBLE) AS bb
+              FROM v GROUP BY 1))) WHERE off > 1e-6""",
     )
     add(
         "additivity_findings",

@@ -10,14 +10,18 @@ from shiftlens.plans.binding import table
 from shiftlens.plans.registry import add
 from shiftlens.session import shared_folder
 from shiftlens.sources.corpus import build_index
-from shiftlens.sources.tables import stored
+from shiftlens.sources.tables import spread, stored
 
 TOP_K = 4
 
 
+def rows(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spread(table(spark, folder, name))
+
+
 def markdown(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as Markdown: the source as title, every further line as a section."""
-    docs = table(spark, folder, "documents")
+    docs = rows(spark, folder, "documents")
     body = F.regexp_replace("text", "\n", "\n## ")
     text = F.concat(F.lit("# "), F.col("source"), F.lit("\n"), body)
     return docs.select(F.col("doc_id").alias("doc"), text.alias("text"))
@@ -29,7 +33,7 @@ def pages_markdown(spark: SparkSession, folder: str) -> DataFrame:
     title = F.regexp_extract(html, "<h1>([^<]*)</h1>", 1)
     body = F.regexp_replace(html, "<p>", "\n## ")
     body = F.regexp_replace(body, "<[^>]*>", " ")
-    return table(spark, folder, "pages").select(
+    return rows(spark, folder, "pages").select(
         F.col("page_id").alias("doc"),
         F.concat(F.lit("# "), title, F.lit("\n"), body).alias("text"),
     )
@@ -37,16 +41,16 @@ def pages_markdown(spark: SparkSession, folder: str) -> DataFrame:
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that have a vector, tokenised once and stored as an index is."""
-    vectors = table(spark, folder, "embeddings").select(
+    held = table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")
     )
-    docs = table(spark, folder, "documents").select("doc_id", tokens(F.col("text")).alias("terms"))
-    return stored(docs.join(vectors, "doc_id").withColumnRenamed("doc_id", "chunk_id"))
+    docs = rows(spark, folder, "documents").select("doc_id", tokens(F.col("text")).alias("terms"))
+    return stored(docs.join(held, "doc_id").withColumnRenamed("doc_id", "chunk_id"))
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"))
-    held = table(spark, folder, "embeddings").select(
+    docs = rows(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"))
+    held = rows(spark, folder, "embeddings").select(
         F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec")
     )
     return docs.join(held, "chunk_id")
@@ -54,7 +58,7 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def all_documents(spark: SparkSession, folder: str) -> DataFrame:
     return stored(
-        table(spark, folder, "documents").select(
+        rows(spark, folder, "documents").select(
             F.col("doc_id").alias("chunk_id"), tokens(F.col("text")).alias("terms")
         )
     )

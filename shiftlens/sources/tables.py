@@ -52,6 +52,16 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     writer.parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores, dealt out to all of them.
+
+    For costly work per row on a small input. A large scan has more splits than cores and is left
+    as it is, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The frame written to the shared folder and read back.
 

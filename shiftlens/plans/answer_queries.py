@@ -263,8 +263,9 @@ def answers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
+    """Graded answers, stored once as results are before they are summarised."""
     graded = G.grade(answers(spark, folder))
-    return graded.withColumn("n_tool_calls", F.size("steps"))
+    return T.stored(graded.withColumn("n_tool_calls", F.size("steps")))
 
 
 def prices(spark: SparkSession) -> DataFrame:
@@ -533,7 +534,7 @@ def register() -> None:
         "check_pass_rates",
         "G9",
         "type, n:i, n_passed:i",
-        lambda s, d: G.check_pass_rates(G.grade(answers(s, d))),
+        lambda s, d: G.check_pass_rates(records(s, d)),
         """SELECT type, count(*) AS n, count(*) FILTER (k) AS n_passed FROM (
           SELECT 'number' AS type, k1 AS k FROM rec WHERE executed
           UNION ALL SELECT 'number', k2 FROM rec WHERE executed

@@ -195,7 +195,7 @@ def register() -> None:
     )
     add(
         "auc_ks_test_split",
-        "O7 O8 W4",
+        "O7 O8 W4 A12",
         AUC_SPEC,
         lambda s, d: M.auc_ks(obs(s, d).where("dataset = 'test'")),
         auc_sql("(SELECT * FROM v WHERE dataset='test')"),

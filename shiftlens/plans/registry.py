@@ -26,6 +26,10 @@ class Query:
 
 QUERIES: dict[str, Query] = {}
 
+# Added before rounding on both sides: means of short decimals often lie exactly between two
+# roundings, where the last bit of a sum would decide.
+TIE_SHIFT = 1e-10
+
 
 def _columns(spec: str) -> list[tuple[str, str]]:
     parts = [p.strip() for p in spec.split(",")]
@@ -39,7 +43,7 @@ def _spark_columns(spec: str) -> list:
         if kind == "i":
             c = c.cast("bigint")
         elif kind:
-            c = F.round(c.cast("double"), int(kind))
+            c = F.round(c.cast("double") + TIE_SHIFT, int(kind))
         out.append(c.alias(name))
     return out
 
@@ -51,7 +55,7 @@ def _sql_columns(spec: str) -> str:
             out.append(f'CAST("{name}" AS BIGINT) AS "{name}"')
         elif kind:
             # adding 0.0 turns a negative zero into a plain one
-            out.append(f'round(CAST("{name}" AS DOUBLE), {kind}) + 0.0 AS "{name}"')
+            out.append(f'round(CAST("{name}" AS DOUBLE) + {TIE_SHIFT}, {kind}) + 0.0 AS "{name}"')
         else:
             out.append(f'"{name}"')
     return ", ".join(out)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shiftlens.llm import bpe, exact_topk, secret_scan, sql, token_counts, toxicity, url_filter
+from shiftlens.llm import bpe, decontaminate, exact_topk, secret_scan, sql, token_counts, toxicity, url_filter
 from shiftlens.llm.common import sha, table
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.digest(decontaminate.contamination(docs, items))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", secret_scan.secret_spans(F.col("text")).alias("found")
@@ -79,6 +84,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 RUNNERS: dict[str, Runner] = {
     f.__name__: f
     for f in (
+        op1_decontaminate,
         op2_secret_scan,
         op4_toxicity,
         op5_bpe,

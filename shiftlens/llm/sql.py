@@ -2,6 +2,30 @@
 
 from __future__ import annotations
 
+# op1: every window against every document, words between spaces
+DECONTAMINATE = r"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(regexp_extract_all(translate(text,
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(text,
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+v AS (SELECT item_id, least(len(w), 10) AS k, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS s, w
+    FROM i WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, k, array_to_string(w[s : s + k - 1], ' ') AS t FROM v),
+ks AS (SELECT DISTINCT k FROM win),
+p AS (SELECT n, k, unnest(range(1, len(w) - k + 2)) AS s, w FROM d, ks WHERE len(w) >= k),
+g AS (SELECT n, k, s, array_to_string(w[s : s + k - 1], ' ') AS t FROM p),
+h AS (SELECT g.n, g.s, g.k, win.item_id FROM g JOIN win ON g.k = win.k AND g.t = win.t),
+c AS (SELECT n, count(DISTINCT x) AS n_hit FROM (SELECT n, unnest(range(s, s + k)) AS x FROM h) GROUP BY n),
+m AS (SELECT n, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
+    FROM (SELECT DISTINCT n, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY n)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN c USING (n) LEFT JOIN m USING (n)
+"""
+
 # op8: the rules as rows, the longest that fits wins
 URL_FILTER = r"""
 WITH r(rule, host, path, verdict) AS (VALUES
@@ -39,6 +63,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 ORACLES = {
+    "op1_decontaminate": DECONTAMINATE,
     "op8_url_filter": URL_FILTER,
     "op9_exact_topk": EXACT_TOPK,
 }

@@ -7,7 +7,7 @@ distance. A document's score comes from how many of its windows save at least 1,
 logistic curve calibrated on the labelled documents.
 
 Toxic training text: of each toxic document the words, or parts of words, made of five-byte grams
-that no ordinary training document has and ``MIN_SUPPORT`` toxic ones share. Training uses labelled
+that no ordinary training document has and several toxic ones share. Training uses labelled
 documents only, never more than ``MAX_TOXIC`` and ``MAX_ORDINARY``, drawn by a hash of their id,
 none longer than ``MAX_CHARS`` characters. Labels of one document that disagree count as toxic.
 
@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
@@ -34,7 +35,8 @@ MAX_ORDINARY = 6000
 MAX_CHARS = 200_000
 
 GRAM = 5
-MIN_SUPPORT = 8
+#: Toxic documents that must share a gram: a hundredth of them, between these.
+MIN_SUPPORT, MAX_SUPPORT = 3, 8
 TOXIC_BYTES = 2048
 ORDINARY_BYTES = 16384
 #: Words of one window, and how far windows are apart.
@@ -53,6 +55,11 @@ def words(text: str) -> list[bytes]:
     return WORD.findall(text.lower().encode())
 
 
+MODEL = (
+    "toxic binary, ordinary binary, mean array<double>, spread array<double>, weights array<double>"
+)
+
+
 @dataclass(frozen=True)
 class Model:
     """What the tasks need; a few kilobytes."""
@@ -135,18 +142,22 @@ def _parts(word: bytes, strong: set[bytes]) -> list[bytes]:
 
 def toxic_samples(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> list[bytes]:
     """One sample for each toxic document that has something ordinary text lacks."""
-    known = set().union(*(_grams(w) for own in ordinary for w in own))
+    known: set[bytes] = set()
+    for own in ordinary:
+        for word in own:
+            known |= _grams(word)
     in_documents = Counter(w for own in toxic for w in own)
     support: Counter[bytes] = Counter()
     for own in toxic:
         support.update(set().union(*(_grams(w) for w in own)) - known)
-    strong = {g for g, n in support.items() if n >= min(MIN_SUPPORT, len(toxic))}
+    least = min(MAX_SUPPORT, max(MIN_SUPPORT, len(toxic) // 100))
+    strong = {g for g, n in support.items() if n >= least}
     samples = []
     for own in toxic:
         found = []
         for word in sorted(own):
             parts = _parts(word, strong)
-            if parts and in_documents[word] >= MIN_SUPPORT:
+            if parts and in_documents[word] >= least:
                 parts = [b" " + word + b" "]
             found += parts
         if found:
@@ -171,7 +182,9 @@ def fit(toxic: list[str], ordinary: list[str], ordinary_weight: float = 1.0) ->
     """``ordinary_weight``: how many documents each ordinary one of the sample stands for."""
     if not toxic or not ordinary:
         return Model()
-    bad, good = ([set(words(t)) for t in side] for side in (toxic, ordinary))
+    # each word is held once, however many documents have it
+    held: dict[bytes, bytes] = {}
+    bad, good = ([{held.setdefault(w, w) for w in words(t)} for t in side] for side in (toxic, ordinary))
     prepared = toxic_samples(bad, good)
     mixed = random.Random(0)
     of_toxic = prepared * 8
@@ -210,12 +223,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         docs.where(F.length("text") <= MAX_CHARS)
         .select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")  # at most MAX_TOXIC + MAX_ORDINARY ids
-        .select("doc_id", "toxic", "text")
-        .toPandas()
-        .sort_values(["doc_id", "text"])
     )
-    toxic, ordinary = (list(texts["text"][texts["toxic"] == side]) for side in sides)
-    return fit(toxic, ordinary, there.get(0, 0) / max(1, len(ordinary)))
+    whole = there.get(0, 0)
+
+    def fitted(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["doc_id", "text"])
+        toxic, ordinary = (list(rows["text"][rows["toxic"] == side]) for side in sides)
+        model = fit(toxic, ordinary, whole / max(1, len(ordinary)))
+        return pd.DataFrame([vars(model)])
+
+    # one task for the bounded sample, so that the driver holds no texts
+    rows = texts.groupBy(F.lit(1)).applyInPandas(fitted, MODEL).collect()
+    return Model(**{k: tuple(v) if isinstance(v, list) else bytes(v) for k, v in rows[0].asDict().items()}) if rows else Model()
 
 
 def score(model: Model, text: str) -> float:

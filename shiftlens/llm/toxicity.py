@@ -233,8 +233,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return pd.DataFrame([vars(model)])
 
     # one task for the bounded sample, so that the driver holds no texts
-    rows = texts.groupBy(F.lit(1)).applyInPandas(fitted, MODEL).collect()
-    return Model(**{k: tuple(v) if isinstance(v, list) else bytes(v) for k, v in rows[0].asDict().items()}) if rows else Model()
+    rows = texts.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(fitted, MODEL).collect()
+    if not rows:
+        return Model()
+    parts = rows[0].asDict()
+    return Model(*(tuple(v) if isinstance(v, list) else bytes(v) for v in parts.values()))
 
 
 def score(model: Model, text: str) -> float:

@@ -37,10 +37,12 @@ MAX_CHARS = 200_000
 GRAM = 5
 #: Toxic documents that must share a gram: a hundredth of them, between these.
 MIN_SUPPORT, MAX_SUPPORT = 3, 8
-TOXIC_BYTES = 2048
+TOXIC_BYTES = 4096
 ORDINARY_BYTES = 16384
 #: Words of one window, and how far windows are apart.
-WINDOW_WORDS = 16
+WINDOW_WORDS = 8
+#: A missed toxic document counts as much as so many wrongly rejected ones.
+TOXIC_WEIGHT = 2.0
 #: Savings whose windows are counted.
 SAVED = (1, 2, 3)
 
@@ -74,12 +76,12 @@ class Model:
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     params = zstandard.ZstdCompressionParameters(
         compression_level=5,
-        window_log=16,
-        hash_log=14,
-        chain_log=14,
-        search_log=5,
+        window_log=17,
+        hash_log=17,
+        chain_log=17,
+        search_log=6,
         min_match=4,
-        strategy=zstandard.STRATEGY_LAZY,
+        strategy=zstandard.STRATEGY_BTLAZY2,
         write_content_size=False,
         write_checksum=False,
         write_dict_id=False,
@@ -194,7 +196,7 @@ def fit(toxic: list[str], ordinary: list[str], ordinary_weight: float = 1.0) ->
     model = Model(_trained(of_toxic, TOXIC_BYTES), _trained(of_good, ORDINARY_BYTES))
     x = np.array([features(savings(model, t)) for t in [*toxic, *ordinary]])
     y = np.repeat([1.0, 0.0], [len(toxic), len(ordinary)])
-    weight = np.where(y == 1, 1.0, ordinary_weight)
+    weight = np.where(y == 1, TOXIC_WEIGHT, ordinary_weight)
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
     scaled = np.column_stack([(x - mean) / spread, np.ones(len(x))])
     beta = _logistic(scaled, y, weight)

@@ -68,22 +68,35 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(other)) for b in range(256)]
 
 
-def _dated(pattern: str) -> str:
-    """The pattern with letters and numbers of the ``tokenizers`` library's Unicode version only.
+def _late(pattern: str) -> str:
+    """Letters and numbers that ``regex`` knows and the ``tokenizers`` library does not yet.
 
-    ``regex`` may know characters of a later version, which that library takes for unassigned.
+    The two may follow different versions of Unicode.
     """
-    either = r"[\p{L}\p{N}]"
     doubtful = [
         c
         for c in map(chr, range(0x370, 0x110000))
-        if unicodedata.category(c) == "Cn" and regex.match(either, c)
+        if unicodedata.category(c) == "Cn" and regex.match(pattern, c)
     ]
-    known = Split(Regex(either), "removed", invert=True).pre_tokenize_str("".join(doubtful))
-    late = "".join(sorted(set(doubtful) - {c for c, _ in known}))
-    for name in (r"\p{L}", r"\p{N}") if late else ():
-        pattern = pattern.replace(name, f"[{name}--[{late}]]")
-    return pattern
+    known = Split(Regex(pattern), "removed", invert=True).pre_tokenize_str("".join(doubtful))
+    return "".join(sorted(set(doubtful) - {c for c, _ in known}))
+
+
+class Words:
+    """Finds words as the pattern of a vocabulary file has them."""
+
+    def __init__(self, pattern: str) -> None:
+        self.plain = regex.compile(pattern)
+        self.late = frozenset(late := _late(r"[\p{L}\p{N}]"))
+        self.first = min(late, default="\U0010ffff")
+        for name in (r"\p{L}", r"\p{N}") if late else ():
+            pattern = pattern.replace(name, f"[{name}--[{late}]]")
+        self.dated = regex.compile(pattern, regex.VERSION1)  # slow, for texts with late characters
+
+    def find(self, text: str) -> list[str]:
+        if text.isascii() or max(text) < self.first or self.late.isdisjoint(text):
+            return self.plain.findall(text)
+        return self.dated.findall(text)
 
 
 class Tokenizer:
@@ -99,7 +112,7 @@ class Tokenizer:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in [*self.vocab.items(), *self.added.items()]}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.word = regex.compile(_dated(split["pattern"]["Regex"]), regex.VERSION1)
+        self.word = Words(split["pattern"]["Regex"])
         marks = sorted(self.added, key=len, reverse=True)
         self.mark = regex.compile("|".join(map(regex.escape, marks))) if marks else None
         self.bytes = _byte_symbols()
@@ -129,14 +142,14 @@ class Tokenizer:
     def words(self, text: str) -> list[tuple[list[int], str, str, int]]:
         entry = self.entry
         if self.mark is None or not self.mark.search(text):
-            return [entry(w) for w in self.word.findall(self.normal(text))]
+            return [entry(w) for w in self.word.find(self.normal(text))]
         out, at = [], 0
         for m in self.mark.finditer(text):
-            out += [entry(w) for w in self.word.findall(self.normal(text[at : m.start()]))]
+            out += [entry(w) for w in self.word.find(self.normal(text[at : m.start()]))]
             i = self.added[m.group()]
             out.append(([i], str(i), m.group(), 1))
             at = m.end()
-        return out + [entry(w) for w in self.word.findall(self.normal(text[at:]))]
+        return out + [entry(w) for w in self.word.find(self.normal(text[at:]))]
 
     def encode(self, text: str) -> list[int]:
         return [i for w in self.words(text) for i in w[0]]

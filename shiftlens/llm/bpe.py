@@ -2,8 +2,8 @@
 
 A vocabulary file in the JSON format of the public ``tokenizers`` library gives the merges, the
 vocabulary and the added tokens; the word pattern, the end-of-word mark and the lower-casing are
-those of such word-level files. Each distinct word is encoded once per task and kept in a bounded
-cache: a priority queue of merge ranks runs over a doubly linked list of symbols, and entries whose
+those of such word-level files. A task keeps what it has encoded, words and the chunks between
+spaces, in bounded caches. For a word that is not there a priority queue of merge ranks runs over a doubly linked list of symbols, and entries whose
 pair has changed since they were queued are skipped.
 
 Null and empty texts give no ids and an empty decoded text. Repeated rows are encoded alike.
@@ -23,9 +23,9 @@ from pyspark.sql import Column, functions as F
 from tokenizers import Regex
 from tokenizers.pre_tokenizers import Split
 
-#: Words kept by a task; the cache starts anew when it is full, which changes no result.
-CACHE_WORDS = 500_000
-#: Longer words are encoded each time they occur.
+#: Words, and chunks between spaces, kept by a task; a full cache starts anew and changes no result.
+CACHE_WORDS = 300_000
+#: Longer ones are encoded each time they occur.
 CACHE_CHARS = 64
 
 RESULT = "struct<ids:array<int>,decoded:string>"
@@ -99,10 +99,12 @@ class Words:
         return self.dated.findall(text)
 
 
-class Tokenizer:
-    """Encodes words with one vocabulary file; one per task."""
+class Tokenizer(dict):
+    """Encodes words with one vocabulary file; one per task. As a dictionary, its cache of chunks."""
 
     def __init__(self, content: str) -> None:
+        super().__init__()
+        self.known: dict[str, list[int]] = {}
         spec = json.loads(content)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -116,7 +118,6 @@ class Tokenizer:
         marks = sorted(self.added, key=len, reverse=True)
         self.mark = regex.compile("|".join(map(regex.escape, marks))) if marks else None
         self.bytes = _byte_symbols()
-        self.cache: dict[str, tuple[list[int], str, str, int]] = {}
 
     def normal(self, text: str) -> str:
         # one character at a time: the lower case of a sigma does not depend on its place
@@ -127,32 +128,39 @@ class Tokenizer:
         symbols[-1] += self.end
         return [self.vocab[s] for s in merge(symbols, self.ranks) if s in self.vocab]
 
-    def entry(self, word: str) -> tuple[list[int], str, str, int]:
-        """Ids, ids as text, vocabulary strings joined by a space, number of ids."""
-        found = self.cache.get(word)
-        if found is None:
+    def __missing__(self, chunk: str) -> tuple[str, str, int]:
+        """Of a text's part between spaces, which no word crosses: ids as text, vocabulary
+        strings joined by a space, number of ids."""
+        ids = [i for word in self.word.find(self.normal(chunk)) for i in self.word_ids(word)]
+        found = (" ".join(map(str, ids)), self.decode(ids), len(ids))
+        if len(chunk) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[chunk] = found
+        return found
+
+    def word_ids(self, word: str) -> list[int]:
+        ids = self.known.get(word)
+        if ids is None:
             ids = self.encode_word(word)
-            found = (ids, " ".join(map(str, ids)), self.decode(ids), len(ids))
             if len(word) <= CACHE_CHARS:
-                if len(self.cache) >= CACHE_WORDS:
-                    self.cache.clear()
-                self.cache[word] = found
-        return found
+                if len(self.known) >= CACHE_WORDS:
+                    self.known.clear()
+                self.known[word] = ids
+        return ids
 
-    def words(self, text: str) -> list[tuple[list[int], str, str, int]]:
-        entry = self.entry
+    def chunks(self, text: str) -> list[tuple[str, str, int]]:
         if self.mark is None or not self.mark.search(text):
-            return [entry(w) for w in self.word.find(self.normal(text))]
+            return list(map(self.__getitem__, text.replace("\n", " ").split(" ")))
         out, at = [], 0
         for m in self.mark.finditer(text):
-            out += [entry(w) for w in self.word.find(self.normal(text[at : m.start()]))]
-            i = self.added[m.group()]
-            out.append(([i], str(i), m.group(), 1))
+            out += self.chunks(text[at : m.start()])
+            out.append((str(self.added[m.group()]), m.group(), 1))
             at = m.end()
-        return out + [entry(w) for w in self.word.find(self.normal(text[at:]))]
+        return out + self.chunks(text[at:])
 
     def encode(self, text: str) -> list[int]:
-        return [i for w in self.words(text) for i in w[0]]
+        return [int(i) for c in self.chunks(text) for i in c[0].split()]
 
     def decode(self, ids: list[int]) -> str:
         """Vocabulary strings, joined by a space as the file names no decoder of its own."""
@@ -193,11 +201,11 @@ def digested(text: Column, content) -> Column:
         own = _tokenizer(content.value)
         counts, ids, decoded = [], [], []
         for text in texts:
-            words = [w for w in own.words(text.as_py() or "") if w[3]]
-            counts.append(sum(w[3] for w in words))
-            for out, k in ((ids, 1), (decoded, 2)):
-                joined = " ".join([w[k] for w in words])
-                out.append(hashlib.sha256(joined.encode()).hexdigest())
+            found = [w for w in own.chunks(text.as_py() or "") if w[2]]
+            id_texts, strings, each = zip(*found, strict=True) if found else ((), (), ())
+            counts.append(sum(each))
+            for out, part in ((ids, id_texts), (decoded, strings)):
+                out.append(hashlib.sha256(" ".join(part).encode()).hexdigest())
         return pa.StructArray.from_arrays(
             [pa.array(counts, pa.int64()), pa.array(ids), pa.array(decoded)],
             ["n_tokens", "ids_sha256", "decoded_sha256"],

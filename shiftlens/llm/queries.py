@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shiftlens.llm import bpe, decontaminate, exact_topk, secret_scan, sql, token_counts, toxicity, url_filter
+from shiftlens.llm import bpe, decontaminate, exact_topk, ngram_join, secret_scan, sql, token_counts, toxicity, url_filter
 from shiftlens.llm.common import sha, table
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,16 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("doc").alias("doc_id"),
+        F.col("class_doc").alias("class_id"),
+        "n_links",
+        F.col("group_doc").alias("group_id"),
+    )
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", url_filter.judged(F.col("url")).alias("j")).select(
@@ -88,6 +98,7 @@ RUNNERS: dict[str, Runner] = {
         op2_secret_scan,
         op4_toxicity,
         op5_bpe,
+        op7_ngram_join,
         op8_url_filter,
         op9_exact_topk,
         op10_token_counts,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shiftlens.llm import bpe, decontaminate, exact_topk, ngram_join, secret_scan, sql, token_counts, toxicity, url_filter
+from shiftlens.llm import bpe, decontaminate, exact_topk, ngram_join, secret_scan, sql, substrings, token_counts, toxicity, url_filter
 from shiftlens.llm.common import sha, table
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.without_repeats(table(spark, sf_dir, "documents"), digest=True)
+    return found.withColumnRenamed("doc", "doc_id")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -96,6 +101,7 @@ RUNNERS: dict[str, Runner] = {
     for f in (
         op1_decontaminate,
         op2_secret_scan,
+        op3_substrings,
         op4_toxicity,
         op5_bpe,
         op7_ngram_join,

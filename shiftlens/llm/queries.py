@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shiftlens.llm import bpe, decontaminate, exact_topk, ngram_join, secret_scan, sql, substrings, token_counts, toxicity, url_filter
+from shiftlens.llm import bpe, decontaminate, exact_topk, ngram_join, pii, secret_scan, sql, substrings, token_counts, toxicity, url_filter
 from shiftlens.llm.common import sha, table
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,20 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.spans(docs, pii.fit(docs))
+    return found.select(
+        "doc_id",
+        *(
+            F.size(secret_scan.of_kind(F.col("base"), kind)).cast("bigint").alias(f"n_{kind}")
+            for kind in pii.BASE_KINDS
+        ),
+        sha(pii.listed(F.col("base"))).alias("base_sha256"),
+        pii.listed(F.concat("base", "added")).alias("spans"),
+    )
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -104,6 +118,7 @@ RUNNERS: dict[str, Runner] = {
         op3_substrings,
         op4_toxicity,
         op5_bpe,
+        op6_pii,
         op7_ngram_join,
         op8_url_filter,
         op9_exact_topk,

@@ -17,6 +17,7 @@ import json
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, functions as F
@@ -128,17 +129,20 @@ class Tokenizer(dict):
         symbols[-1] += self.end
         return [self.vocab[s] for s in merge(symbols, self.ranks) if s in self.vocab]
 
-    def __missing__(self, chunk: str) -> tuple[str, str, int]:
+    def __missing__(self, chunk: str) -> tuple[str, str, int, bytes]:
         """Of a text's part between spaces, which no word crosses: ids as text, vocabulary
-        strings joined by a space, number of ids."""
-        ids = [i for word in self.word.find(self.normal(chunk)) for i in self.word_ids(word)]
-        found = (" ".join(map(str, ids)), self.decode(ids), len(ids))
+        strings joined by a space, number of ids, ids as 32-bit integers."""
+        found = self.told([i for w in self.word.find(self.normal(chunk)) for i in self.word_ids(w)])
         if len(chunk) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
                 self.clear()
             self[chunk] = found
         return found
 
+    def told(self, ids: list[int]) -> tuple[str, str, int, bytes]:
+        packed = np.array(ids, np.int32).tobytes()
+        return " ".join(map(str, ids)), self.decode(ids), len(ids), packed
+
     def word_ids(self, word: str) -> list[int]:
         ids = self.known.get(word)
         if ids is None:
@@ -149,18 +153,19 @@ class Tokenizer(dict):
                 self.known[word] = ids
         return ids
 
-    def chunks(self, text: str) -> list[tuple[str, str, int]]:
+    def chunks(self, text: str) -> list[tuple[str, str, int, bytes]]:
+        """The text's parts that have ids."""
         if self.mark is None or not self.mark.search(text):
-            return list(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+            return [c for c in map(self.__getitem__, text.replace("\n", " ").split(" ")) if c[2]]
         out, at = [], 0
         for m in self.mark.finditer(text):
             out += self.chunks(text[at : m.start()])
-            out.append((str(self.added[m.group()]), m.group(), 1))
+            out.append(self.told([self.added[m.group()]]))
             at = m.end()
         return out + self.chunks(text[at:])
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for c in self.chunks(text) for i in c[0].split()]
+        return np.frombuffer(b"".join([c[3] for c in self.chunks(text)]), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Vocabulary strings, joined by a space as the file names no decoder of its own."""
@@ -184,11 +189,15 @@ def encoded(text: Column, content) -> Column:
     @F.arrow_udf(RESULT)
     def encode(texts: pa.Array) -> pa.Array:
         own = _tokenizer(content.value)
-        ids = [own.encode(t or "") for t in texts.to_pylist()]
-        return pa.StructArray.from_arrays(
-            [pa.array(ids, pa.list_(pa.int32())), pa.array(map(own.decode, ids), pa.string())],
-            ["ids", "decoded"],
-        )
+        ends, ids, decoded = [0], [], []
+        for text in texts:
+            found = own.chunks(text.as_py() or "")
+            ends.append(ends[-1] + sum([c[2] for c in found]))
+            ids.append(b"".join([c[3] for c in found]))
+            decoded.append(" ".join([c[1] for c in found]))
+        flat = pa.array(np.frombuffer(b"".join(ids), np.int32), pa.int32())
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+        return pa.StructArray.from_arrays([lists, pa.array(decoded, pa.string())], ["ids", "decoded"])
 
     return encode(text)
 
@@ -201,11 +210,11 @@ def digested(text: Column, content) -> Column:
         own = _tokenizer(content.value)
         counts, ids, decoded = [], [], []
         for text in texts:
-            found = [w for w in own.chunks(text.as_py() or "") if w[2]]
-            id_texts, strings, each = zip(*found, strict=True) if found else ((), (), ())
-            counts.append(sum(each))
-            for out, part in ((ids, id_texts), (decoded, strings)):
-                out.append(hashlib.sha256(" ".join(part).encode()).hexdigest())
+            found = own.chunks(text.as_py() or "")
+            counts.append(sum([c[2] for c in found]))
+            for out, k in ((ids, 0), (decoded, 1)):
+                joined = " ".join([c[k] for c in found])
+                out.append(hashlib.sha256(joined.encode()).hexdigest())
         return pa.StructArray.from_arrays(
             [pa.array(counts, pa.int64()), pa.array(ids), pa.array(decoded)],
             ["n_tokens", "ids_sha256", "decoded_sha256"],

@@ -13,8 +13,7 @@ from shiftlens.functions.text import (
     decimals,
     numbers,
 )
-
-RATE_LIMIT = 600  # fixed value: how many rates enter the differences
+from shiftlens.operators.ordering import position
 
 
 def evidence_numbers(texts: Column) -> Column:
@@ -53,11 +52,13 @@ def _matches(item: Column, pool: Column, rates: Column) -> Column:
     has_unit = item["unit"] != ""
     plain = F.exists(pool, lambda c: F.abs(F.abs(c) - size) <= tol)
     scaled = has_unit & F.exists(pool, lambda c: F.abs(F.abs(c * 100) - size) <= tol)
-    # differences of rates stay inside the row and stop at the first hit
-    gap = item["unit"].isin(POINT_UNITS) & F.exists(
-        rates,
-        lambda a: F.exists(rates, lambda b: F.abs(F.abs(a - b) * 100 - size) <= tol),
-    )
+
+    # the rates are sorted: the last one that is not too far above ``a`` decides for ``a``
+    def apart(a: Column) -> Column:
+        n = position(a + (size + tol) / 100, rates, F.size(rates))
+        return F.coalesce((F.get(rates, n - 1) - a) * 100 >= size - tol, F.lit(False))
+
+    gap = item["unit"].isin(POINT_UNITS) & F.exists(rates, apart)
     return plain | scaled | gap
 
 
@@ -70,7 +71,7 @@ def ungrounded(reports: DataFrame, report: str, evidence: str) -> DataFrame:
         "__nums", report_numbers(F.col(report))
     )
     pool = F.col("__pool")
-    rates = F.slice(F.filter(pool, lambda x: (x >= 0) & (x <= 1)), 1, RATE_LIMIT)
+    rates = F.filter(pool, lambda x: (x >= 0) & (x <= 1))
     missing = F.filter("__nums", lambda x: ~_matches(x, F.col("__pool"), F.col("__rates")))
     written = F.transform(missing, lambda x: F.concat(x["raw"], x["unit"]))
     return (
@@ -88,7 +89,7 @@ def ungrounded(reports: DataFrame, report: str, evidence: str) -> DataFrame:
 def rate_differences(evidence: DataFrame, keys: list[str], texts: str) -> DataFrame:
     """``keys, n_rates, max_diff`` — how far apart the rates of one piece of evidence lie."""
     pool = evidence_numbers(F.col(texts))
-    rates = F.slice(F.filter(pool, lambda x: (x >= 0) & (x <= 1)), 1, RATE_LIMIT)
+    rates = F.filter(pool, lambda x: (x >= 0) & (x <= 1))
     return evidence.select(*keys, rates.alias("__r")).select(
         *keys,
         F.size("__r").alias("n_rates"),

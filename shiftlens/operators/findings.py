@@ -18,7 +18,7 @@ from shiftlens.catalog import (
     RATE_NAME,
 )
 from shiftlens.operators import attribution, cohort as cohorts, monitor
-from shiftlens.operators.quality import undefined
+from shiftlens.operators.quality import missing, undefined
 
 COLUMNS = ["check_name", "subject", "severity", "value"]
 
@@ -72,7 +72,7 @@ def result_findings(result: DataFrame) -> DataFrame:
         return F.col(f"`{c}`")
 
     stats = [F.count(F.lit(1)).alias("rows")]
-    stats += [F.count_if(q(c).isNull()).alias(f"null {c}") for c in result.columns]
+    stats += [F.count_if(missing(result, c)).alias(f"null {c}") for c in result.columns]
     stats += [F.min(q(c).cast("double")).alias(f"min {c}") for c in rates]
     stats += [F.max(q(c).cast("double")).alias(f"max {c}") for c in rates]
     stats += [
@@ -190,15 +190,16 @@ def score_findings(view: DataFrame, score: str = "risk_score") -> DataFrame:
     """Missing scores, else scores outside [0, 1]."""
     s = F.col(score)
     row = view.agg(
-        F.count_if(s.isNull()).alias("missing"), F.count_if((s < 0) | (s > 1)).alias("outside")
+        F.count_if(missing(view, score)).alias("missing"),
+        F.count_if(~missing(view, score) & ((s < 0) | (s > 1))).alias("outside"),
     )
-    missing, beyond = F.col("missing"), F.col("outside")
+    lacking, beyond = F.col("missing"), F.col("outside")
     return emit(
         row,
         [
-            F.when(missing > 0, finding("score_missing", score, "error", missing)),
+            F.when(lacking > 0, finding("score_missing", score, "error", lacking)),
             F.when(
-                (missing == 0) & (beyond > 0),
+                (lacking == 0) & (beyond > 0),
                 finding("score_out_of_range", score, "error", beyond),
             ),
         ],

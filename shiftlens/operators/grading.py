@@ -43,30 +43,38 @@ def contains_any(answer: Column, words: Column) -> Column:
     return F.exists(words, lambda w: F.contains(low, F.lower(w)))
 
 
-# JSON values that do not count as passed.
-FALSE_TEXTS = ["false", "0", "0.0", "", "[]", "{}"]
+# JSON literals that do not count as passed; of strings only the empty one does not.
+FALSE_LITERALS = ["false", "null", "0", "0.0", "-0", "-0.0", "[]", "{}"]
 
 
 def judgement(text: Column) -> Column:
-    """struct<passed, reason> out of a judge's text: its JSON object, else the wording."""
-    parsed = F.from_json(
-        F.regexp_extract(text, r"(?s)\{.*\}", 0),
-        "passed string, reason string, broken string",
-        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"},
-    )
+    """struct<passed, reason> out of a judge's text: its JSON object, else the wording.
 
-    def read(p: Column) -> Column:
-        readable = p.isNotNull() & p["broken"].isNull()
-        truthy = p["passed"].isNotNull() & ~p["passed"].isin(FALSE_TEXTS)
+    The text from the first to the last brace has to be one JSON object and nothing else, by the
+    strict grammar: what is quoted with apostrophes or followed by more text is read as wording.
+    """
+    braced = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    listed = F.try_parse_json(F.concat(F.lit("["), braced, F.lit("]")))
+
+    def read(v: Column) -> Column:
+        one = F.try_variant_get(v, "$[1]", "variant").isNull() & F.schema_of_variant(
+            F.try_variant_get(v, "$[0]", "variant")
+        ).startswith("OBJECT")
+        readable = F.coalesce((braced != "") & v.isNotNull() & one, F.lit(False))
+        passed = F.try_variant_get(v, "$[0].passed", "variant")
+        kind, value = F.schema_of_variant(passed), F.to_json(passed)
+        truthy = F.when(kind == "STRING", value != '""').otherwise(~value.isin(FALSE_LITERALS))
+        reason = F.try_variant_get(v, "$[0].reason", "string")
         worded = text.rlike(r'(?i)"?passed"?\s*[:：]\s*true')
-        fallback = F.concat(F.lit("(JSON 解析失败) "), F.substring(text, 1, 200))
         return F.struct(
-            F.when(readable, truthy).otherwise(worded).alias("passed"),
-            F.when(readable, F.coalesce(p["reason"], F.lit(""))).otherwise(fallback).alias("reason"),
+            F.when(readable, F.coalesce(truthy, F.lit(False))).otherwise(worded).alias("passed"),
+            F.when(readable, F.coalesce(reason, F.lit("")))
+            .otherwise(F.concat(F.lit("(JSON 解析失败) "), text))
+            .alias("reason"),
         )
 
     # one-element transform: parsed once, used several times
-    return F.get(F.transform(F.array(parsed), read), F.lit(0))
+    return F.get(F.transform(F.array(listed), read), F.lit(0))
 
 
 def check_results(checks: Column, answer: Column, found: Column) -> Column:

@@ -11,7 +11,7 @@ from shiftlens.operators.cohort import cohort, member
 from shiftlens.operators.ordering import exact_quantiles, running_totals
 from shiftlens.sources.tables import stored
 
-SCORE_DECIMALS = 4  # fixed value: how scores are stored
+STORED_DECIMALS = 4  # fixed value: how scores are stored; for an explicit ``decimals``
 
 
 def risk_level(score: Column) -> Column:
@@ -84,13 +84,13 @@ def score_bins(
     base: str | None,
     bins: int = 10,
     score: str = "risk_score",
-    decimals: int | None = SCORE_DECIMALS,
+    decimals: int | None = None,
 ) -> DataFrame:
     """Counts of both cohorts between the base cohort's quantiles, empty bins included.
 
     The outer bins are open-ended, a bin holds its left edge, and equal quantiles merge. Scores
-    are taken at four decimals, as they are stored, and so collapse to few rows; ``decimals=None``
-    takes them in full and cuts their order up instead.
+    count as they come. ``decimals`` rounds them first, for probabilities stored at that many: they
+    then collapse to few rows and need no cut order.
     """
     return _all_bins(_binned(view, target, base, bins, score, decimals))
 
@@ -105,7 +105,7 @@ def _binned(
         counts = stored(counts)
         quantiles = exact_quantiles(counts.where("n_base > 0"), "score", "n_base", probs).scalar()
     else:
-        # at most 10,001 rows: the quantiles ride along as a window instead of a second scan
+        # the caller has asked for few distinct scores: the quantiles ride along as a window
         grid = F.array(*[F.lit(p) for p in probs])
         share = F.when(F.col("n_base") > 0, F.col("score"))
         quantiles = F.percentile(share, grid, F.col("n_base")).over(Window.partitionBy())
@@ -149,7 +149,7 @@ def psi(
     base: str | None,
     bins: int = 10,
     score: str = "risk_score",
-    decimals: int | None = SCORE_DECIMALS,
+    decimals: int | None = None,
 ) -> DataFrame:
     """Population stability index of the target against the base: one row."""
     everyone = Window.partitionBy()
@@ -192,7 +192,7 @@ def score_counts(
     keys: list[str],
     label: str = "is_bad",
     score: str = "risk_score",
-    decimals: int | None = SCORE_DECIMALS,
+    decimals: int | None = None,
 ) -> DataFrame:
     """Positives and negatives per distinct score (and key)."""
     known = view.where(F.col(label).isNotNull() & F.col(score).isNotNull())
@@ -206,7 +206,7 @@ def roc_points(
     keys: list[str] | None = None,
     label: str = "is_bad",
     score: str = "risk_score",
-    decimals: int | None = SCORE_DECIMALS,
+    decimals: int | None = None,
 ) -> DataFrame:
     """True and false positive rate at every score threshold, from the highest score down.
 
@@ -217,7 +217,7 @@ def roc_points(
     if decimals is None:
         run = running_totals(counts, keys, "score", ["pos", "neg"], descending=True)
     else:
-        # scores of four decimals: at most 10,001 rows per key
+        # the caller has asked for few distinct scores per key
         above = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(
             Window.unboundedPreceding, -1
         )
@@ -244,7 +244,7 @@ def auc_ks(
     keys: list[str] | None = None,
     label: str = "is_bad",
     score: str = "risk_score",
-    decimals: int | None = SCORE_DECIMALS,
+    decimals: int | None = None,
 ) -> DataFrame:
     """``n, auc, ks`` per key; both null when only one label occurs.
 
@@ -264,11 +264,13 @@ def auc_ks(
     )
 
 
-def performance(view: DataFrame, expression: str | None = None) -> DataFrame:
+def performance(
+    view: DataFrame, expression: str | None = None, decimals: int | None = None
+) -> DataFrame:
     """Test-split size, rate, mean score, AUC and KS of a cohort."""
     part = cohort(view.where(F.col("dataset") == "test"), expression)
     # collapsed to scores, everything else follows from the counts
-    points = roc_points(part)
+    points = roc_points(part, decimals=decimals)
     won = F.col("neg").cast("double") * (F.col("pos_before") + F.col("pos") / F.lit(2.0))
     size = F.col("pos") + F.col("neg")
     both = (F.sum("pos") > 0) & (F.sum("neg") > 0)
@@ -282,25 +284,25 @@ def performance(view: DataFrame, expression: str | None = None) -> DataFrame:
     )
 
 
-def grouped_auc(view: DataFrame, by: str) -> DataFrame:
+def grouped_auc(view: DataFrame, by: str, decimals: int | None = None) -> DataFrame:
     """Test-split AUC and KS per group."""
-    return auc_ks(view.where(F.col("dataset") == "test"), [by])
+    return auc_ks(view.where(F.col("dataset") == "test"), [by], decimals=decimals)
 
 
-def weakest_group(view: DataFrame, by: str) -> DataFrame:
+def weakest_group(view: DataFrame, by: str, decimals: int | None = None) -> DataFrame:
     """The group the score separates worst."""
     first = F.min(F.struct(F.col("auc"), F.col(by).alias("g")))
     return (
-        grouped_auc(view, by)
+        grouped_auc(view, by, decimals)
         .where(F.col("auc").isNotNull())
         .agg(first.alias("m"))
         .select(F.col("m.g").alias(by), F.col("m.auc").alias("auc"))
     )
 
 
-def split_gap(view: DataFrame) -> DataFrame:
+def split_gap(view: DataFrame, decimals: int | None = None) -> DataFrame:
     """AUC per split beside the gap of the training split over the test split."""
-    per = auc_ks(view, ["dataset"])
+    per = auc_ks(view, ["dataset"], decimals=decimals)
     test = F.max(F.when(F.col("dataset") == "test", F.col("auc"))).over(Window.partitionBy())
     return per.withColumn("gap_to_test", F.col("auc") - test)
 

@@ -1,20 +1,17 @@
 """Ranks, running totals and exact quantiles over orders too long for one task.
 
 A window without a partition key (or with a hot one) puts all its rows into one task. Here the
-order is cut at approximate quantiles, each cut is totalled on its own, and the small table of
-totals per cut supplies what came before. Results are exact; only the cut points are approximate.
+order is cut up by a range exchange, each stretch is totalled on its own, and the small table of
+totals per stretch supplies what came before. Results are exact; only the bounds are approximate.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from shiftlens.sources.tables import stored
 
-CUTS = 1000
-
 
 def null_safe_join(
     left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
@@ -30,18 +27,15 @@ def null_safe_join(
     return left.join(other, condition, how).drop(*[f"__{k}" for k in keys])
 
 
-def cut_points(df: DataFrame, column: str, cuts: int = CUTS) -> Column:
-    """Approximate quantiles of a column as a one-value subquery."""
-    # one array literal; a thousand single ones would slow every planning rule
-    probs = F.lit(np.arange(1, cuts) / cuts)
-    bounds = F.array_sort(F.array_distinct(F.percentile_approx(column, probs, 10 * cuts)))
-    return df.agg(bounds).scalar()
-
-
-def position(value: Column, bounds: Column, most: int) -> Column:
+def position(value: Column, bounds: Column, most: Column | int) -> Column:
     """How many of the sorted bounds (``most`` at most) are <= value, by halving steps."""
-    top = 1 << (most.bit_length() - 1)
-    steps = F.lit(np.array([top >> i for i in range(most.bit_length())], dtype="int32"))
+    if isinstance(most, int):
+        steps = F.lit([1 << i for i in reversed(range(most.bit_length()))])
+    else:
+        bits = F.greatest(F.ceil(F.log2(most + 1)), F.lit(1)).cast("int")
+        steps = F.transform(
+            F.sequence(bits - 1, F.lit(0), F.lit(-1)), lambda i: F.pow(F.lit(2), i).cast("int")
+        )
 
     def advance(at: Column, step: Column) -> Column:
         reached = at + step
@@ -51,46 +45,44 @@ def position(value: Column, bounds: Column, most: int) -> Column:
     return F.aggregate(steps, F.lit(0), advance)
 
 
-def running_totals(
-    df: DataFrame,
-    keys: list[str],
-    order: str,
-    values: list[str],
-    then: str | None = None,
-    descending: bool = False,
-    cuts: int = CUTS,
-    store: bool = True,
-) -> DataFrame:
-    """Add ``<v>_before`` and ``<v>_total`` per key group for every value column.
+def _cut_up(df: DataFrame, sort: list[Column]) -> DataFrame:
+    """The rows with the number of their stretch of the order, written once.
 
-    ``df`` holds one row per (keys, order[, then]); collapse equal order values first, so that no
-    cut can be made of one value. It is read three times, hence stored unless it already is.
+    Stretches are the partitions of a range exchange, so their number follows the session's shuffle
+    partitions and their bounds the data.
     """
-    if store:
-        df = stored(df)
-    at = position(F.col(order), F.col("__bounds"), cuts)
-    cut = df.withColumn("__bounds", cut_points(df, order, cuts)).withColumn(
-        "__cut", F.negate(at) if descending else at
-    ).drop("__bounds")
-    sort = [F.col(order).desc() if descending else F.col(order).asc()]
-    if then:
-        sort.append(F.col(then).asc())
-    inside = Window.partitionBy(*keys, "__cut").orderBy(*sort).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    # one row per key group and cut
+    return stored(df.repartitionByRange(*sort).withColumn("__cut", F.spark_partition_id()))
+
+
+def _before(cut: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Per key group and stretch the sums of all earlier stretches, and those of the group."""
     earlier = Window.partitionBy(*keys).orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    totals = cut.groupBy(*keys, "__cut").agg(*[F.sum(v).alias(f"__{v}") for v in values]).select(
+    return cut.groupBy(*keys, "__cut").agg(*[F.sum(v).alias(f"__{v}") for v in values]).select(
         *keys,
         "__cut",
         *[F.coalesce(F.sum(f"__{v}").over(earlier), F.lit(0)).alias(f"__{v}_off") for v in values],
         *[F.sum(f"__{v}").over(whole).alias(f"{v}_total") for v in values],
     )
+
+
+def running_totals(
+    df: DataFrame, keys: list[str], order: str, values: list[str], descending: bool = False
+) -> DataFrame:
+    """Add ``<v>_before`` and ``<v>_total`` per key group for every value column.
+
+    ``df`` holds one row per (keys, order); collapse equal order values first, so that no stretch
+    can be made of one value.
+    """
+    by = F.col(order).desc() if descending else F.col(order).asc()
+    cut = _cut_up(df, [*map(F.col, keys), by])
+    inside = Window.partitionBy(*keys, "__cut").orderBy(by).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
     local = cut.select(
         "*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"__{v}_in") for v in values]
     )
-    joined = null_safe_join(local, totals, keys + ["__cut"])
+    joined = null_safe_join(local, _before(cut, keys, values), keys + ["__cut"])
     return joined.select(
         *df.columns,
         *[(F.col(f"__{v}_off") + F.col(f"__{v}_in")).alias(f"{v}_before") for v in values],
@@ -99,31 +91,21 @@ def running_totals(
 
 
 def global_rank(
-    df: DataFrame,
-    keys: list[str],
-    score: str,
-    tie: str,
-    rank: str = "rank",
-    cuts: int = CUTS,
+    df: DataFrame, keys: list[str], score: str, tie: str, rank: str = "rank"
 ) -> DataFrame:
     """Rank from 1 by descending score, ties by ascending ``tie``, without one task per key group.
 
-    Equal scores (say all the zeros) are cut again along the tie column. The rows are read
-    several times and stored first.
+    Equal scores (say all the zeros) are cut up along the tie column.
     """
-    df = stored(df)
-    cut = df.withColumn("__tb", cut_points(df, tie, cuts)).withColumn(
-        "__tie_cut", position(F.col(tie), F.col("__tb"), cuts)
-    ).drop("__tb")
-    counts = cut.groupBy(*keys, score, "__tie_cut").agg(F.count(F.lit(1)).alias("__n"))
-    before = running_totals(
-        counts, keys, score, ["__n"], then="__tie_cut", descending=True, cuts=cuts
-    ).drop("__n", "__n_total")
-    within = Window.partitionBy(*keys, score, "__tie_cut").orderBy(tie)
-    ranked = null_safe_join(cut, before, keys + [score, "__tie_cut"])
-    return ranked.withColumn(
-        rank, (F.col("__n_before") + F.row_number().over(within)).cast("bigint")
-    ).drop("__n_before", "__tie_cut")
+    sort = [F.col(score).desc(), F.col(tie).asc()]
+    cut = _cut_up(df, [*map(F.col, keys), *sort]).withColumn("__n", F.lit(1))
+    place = F.row_number().over(Window.partitionBy(*keys, "__cut").orderBy(*sort))
+    ranked = null_safe_join(
+        cut.withColumn("__place", place), _before(cut, keys, ["__n"]), keys + ["__cut"]
+    )
+    return ranked.select(
+        *df.columns, (F.col("____n_off") + F.col("__place")).cast("bigint").alias(rank)
+    )
 
 
 def exact_quantiles(
@@ -132,12 +114,11 @@ def exact_quantiles(
     weight: str,
     probs: list[float],
     keys: list[str] | None = None,
-    cuts: int = CUTS,
 ) -> DataFrame:
     """``quantiles array<double>`` per key, linearly interpolated, from (value, weight) rows."""
     keys = keys or []
     known = counts.where(F.col(value).isNotNull())
-    run = running_totals(known, keys, value, [weight], cuts=cuts)
+    run = running_totals(known, keys, value, [weight])
     upto = F.col(f"{weight}_before") + F.col(weight)
     picks = []
     for i, p in enumerate(probs):

@@ -38,10 +38,16 @@ def quality_rules() -> dict[str, Column]:
     }
 
 
+def missing(df: DataFrame, name: str) -> Column:
+    """Null, or NaN in a floating-point column."""
+    c = F.col(f"`{name}`")
+    return c.isNull() | F.isnan(c) if df.schema[name].dataType.typeName() in ("float", "double") else c.isNull()
+
+
 def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``column_name, n_null`` for every column from one aggregate row."""
     names = columns or df.columns
-    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in names])
+    row = df.agg(*[F.count_if(missing(df, c)).alias(c) for c in names])
     return row.unpivot([], names, "column_name", "n_null")
 
 
@@ -59,7 +65,7 @@ def quality_check(
     names = null_columns or view.columns
     row = cohort(view, expression).agg(
         F.count(F.lit(1)).alias("n_rows"),
-        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in names],
+        *[F.count_if(missing(view, c)).alias(f"null_{c}") for c in names],
         *[F.count_if(rule).alias(f"rule_{name}") for name, rule in rules.items()],
     )
     found = F.array(

@@ -24,6 +24,7 @@ FIRST_LINE = r"^## ([^\n\r\f\x0B\x1c-\x1e\x{85}\x{2028}\x{2029}]*)"
 DEFAULT_TOP_K = 4
 
 SCORE_DECIMALS = 9
+NO_VECTOR = -2.0
 QUERY_BLOCK = 512  # queries handed to a task at a time
 SALTS = 32
 
@@ -147,7 +148,8 @@ def _meet(chunks: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def _similarity(a: Column, b: Column) -> Column:
-    return F.round(dot(a, b), SCORE_DECIMALS)
+    """Cosine of unit vectors; a chunk without a vector comes behind all that have one."""
+    return F.coalesce(F.round(dot(a, b), SCORE_DECIMALS), F.lit(NO_VECTOR))
 
 
 def dense(chunks: DataFrame, queries: DataFrame) -> DataFrame:

@@ -7,8 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from shiftlens.functions.numeric import ratio
 from shiftlens.operators.ordering import exact_quantiles, null_safe_join
 
-NOTE_LIMIT = 200  # fixed value: length of a failure note
-
 
 def latest(records: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last record per key by ``order``; an aggregate, so a hot key is combined map-side."""
@@ -23,8 +21,12 @@ def pending(questions: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame
     return questions.join(done.select(*keys), keys, "left_anti")
 
 
-def requested(questions: DataFrame, wanted: DataFrame, key: str = "id") -> DataFrame:
-    return questions.join(wanted.select(key), key, "left_semi")
+def requested(
+    questions: DataFrame, wanted: DataFrame, key: str = "id", first: int | None = None
+) -> DataFrame:
+    """The wanted questions; with ``first`` only so many of them, by key."""
+    found = questions.join(wanted.select(key), key, "left_semi")
+    return found if first is None else found.orderBy(key).limit(first)
 
 
 def with_cost(records: DataFrame, prices: DataFrame) -> DataFrame:
@@ -90,9 +92,7 @@ def failures(records: DataFrame) -> DataFrame:
     failed = F.filter("grade.checks", lambda c: ~c["passed"])
     notes = F.array_join(F.transform(failed, lambda c: c["note"]), "; ")
     why = F.when(notes != "", notes).otherwise(F.col("status"))
-    return records.where(~F.col("success")).select(
-        "id", "question", F.substring(why, 1, NOTE_LIMIT).alias("why")
-    )
+    return records.where(~F.col("success")).select("id", "question", why.alias("why"))
 
 
 def tool_usage(records: DataFrame) -> DataFrame:

@@ -172,7 +172,7 @@ def score(
 
 def metrics_record(scored: DataFrame, n_trees: Column | int, n_features: int) -> DataFrame:
     """One row of test AUC and KS, training AUC and split sizes, on unrounded scores."""
-    per = auc_ks(scored, ["dataset"], score="score", decimals=None)
+    per = auc_ks(scored, ["dataset"], score="score")
 
     def of(split: str, column: str) -> Column:
         return F.max(F.when(F.col("dataset") == split, F.col(column)))

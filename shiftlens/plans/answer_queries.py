@@ -175,11 +175,32 @@ TOOLS = [
     "model_performance",
     "data_quality_check",
 ]
+# invented: tokens per kind at so much a million
 PRICES = {
-    "BUILDING": {"input": 4.0, "output": 20.0, "cache_read": 0.2},
-    "FURNITURE": {"input": 2.0, "output": 10.0, "cache_read": 0.2},
-    "HOUSEHOLD": {"input": 1.0, "output": 5.0},
+    "BUILDING": {"input": 3.25, "output": 17.5},
+    "MACHINERY": {"input": 0.75, "output": 2.25},
+    "HOUSEHOLD": {"input": 6.5, "output": 0.0},
 }
+# judge's texts: what is stored, whether it counts as passed, the reason read from it
+UNREADABLE = "(JSON 解析失败) "
+VERDICTS = [
+    ('{"reason": "ok", "passed": true}', True, "ok"),
+    ('verdict: {"passed": false, "reason": "missing figure"} end', False, "missing figure"),
+    ("passed: true, but not as an object", True, None),
+    ("no verdict {", False, None),
+    ('{"passed": "false"}', True, ""),
+    ('{"passed": "0", "reason": "text"}', True, "text"),
+    ('{"passed": ""}', False, ""),
+    ("{'passed': true}", False, None),
+    ('{"passed": false} then {"passed": true}', True, None),
+    ('{"passed": true', True, None),
+    ('{"passed": 0}', False, ""),
+    ('{"passed": 0.5, "reason": "half"}', True, "half"),
+    ('{"passed": null}', False, ""),
+    ('{"passed": []}', False, ""),
+    ('{"passed": [0]}', True, ""),
+    ('{"reason": "no field"}', False, "no field"),
+]
 SYSTEMS = ["baseline", "agent_norag", "agent"]
 
 
@@ -200,12 +221,7 @@ def answers(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("%，额度 "),
         fixed_text(F.col("credit_limit") * F.when(u % 13 == 0, 1.05).otherwise(1.0), 2),
     )
-    verdict = (
-        F.when(u % 4 == 0, '{"reason": "ok", "passed": true}')
-        .when(u % 4 == 1, 'verdict: {"passed": false, "reason": "missing figure"} end')
-        .when(u % 4 == 2, "passed: true, but not as an object")
-        .otherwise("no verdict {")
-    )
+    verdict = F.get(F.lit([text for text, _, _ in VERDICTS]), (u % len(VERDICTS)).cast("int"))
 
     def check(kind: str, value=None, number: str = None, any_=None, judged=None):
         return F.struct(
@@ -272,6 +288,11 @@ def prices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(PRICES.items()), "model string, price map<string,double>")
 
 
+def _text_sql(text: str) -> str:
+    quoted = text.replace("'", "''")
+    return f"'{quoted}'"
+
+
 def _answers_sql() -> str:
     shown = "(risk_score + CASE WHEN user_id % 7 = 0 THEN 0.02 ELSE 0.0 END)"
     limit = "credit_limit * CASE WHEN user_id % 13 = 0 THEN 1.05 ELSE 1.0 END"
@@ -281,9 +302,12 @@ def _answers_sql() -> str:
         "'期望数值 ' || risk_score",
         "'期望数值 ' || credit_limit",
         "'期望包含 [''' || channel || ''', ''' || city_tier || ''']'",
-        """CASE user_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'missing figure'
-          WHEN 2 THEN '(JSON 解析失败) passed: true, but not as an object'
-          ELSE '(JSON 解析失败) no verdict {' END""",
+        f"CASE user_id % {len(VERDICTS)}"
+        + "".join(
+            f" WHEN {i} THEN {_text_sql(UNREADABLE + t if r is None else r)}"
+            for i, (t, _, r) in enumerate(VERDICTS)
+        )
+        + " END",
     ]
     steps = " UNION ALL ".join(
         f"SELECT user_id, '{tool}' AS tool, pay_status_{i} = 2 AS is_error,"
@@ -311,12 +335,12 @@ def _answers_sql() -> str:
         bool_or(abs(x-credit_limit) <= greatest(0.5, 0.01*abs(credit_limit))) AS k3
         FROM an JOIN v USING (user_id) GROUP BY 1),
       chk AS (SELECT a.*, k1, k2, k3, contains(lower(answer), lower(channel))
-          OR contains(lower(answer), lower(city_tier)) AS k4, a.user_id % 4 IN (0, 2) AS k5
+          OR contains(lower(answer), lower(city_tier)) AS k4, a.user_id % {len(VERDICTS)} IN ({', '.join(str(i) for i, v in enumerate(VERDICTS) if v[1])}) AS k5
         FROM ans a LEFT JOIN found USING (user_id)),
       graded AS (SELECT *, executed AND k1 AND k2 AND k3 AND k4 AND k5 AS success,
         {price} ELSE 0 END AS cost,
-        CASE WHEN NOT executed THEN status ELSE left(concat_ws('; ',
-          {", ".join(f"CASE WHEN NOT k{i} THEN {n} END" for i, n in enumerate(notes, 1))}), 200) END AS why
+        CASE WHEN NOT executed THEN status ELSE coalesce(nullif(concat_ws('; ',
+          {", ".join(f"CASE WHEN NOT k{i} THEN {n} END" for i, n in enumerate(notes, 1))}), ''), status) END AS why
         FROM chk),
       st AS ({steps}),
       calls AS (SELECT user_id, count(*) AS n_tool_calls,
@@ -327,11 +351,11 @@ def _answers_sql() -> str:
 
 def _attempts(spark: SparkSession, folder: str) -> DataFrame:
     """First answers, and a second attempt for those that did not run."""
-    first = answers(spark, folder).select("id", "status", "seq")
+    first = answers(spark, folder).select("id", "status")
     again = first.where("status <> 'ok'").select(
-        "id", F.lit("retried").alias("status"), (F.col("seq") + 10**9).alias("seq")
+        "id", F.lit("retried").alias("status"), F.lit(2).alias("attempt")
     )
-    return first.unionByName(again)
+    return first.select("id", "status", F.lit(1).alias("attempt")).unionByName(again)
 
 
 RESULT_SCHEMA = "id string, status string, elapsed double"
@@ -522,13 +546,12 @@ def register() -> None:
         .select("verdict", G.judgement(F.col("verdict")).alias("j"))
         .groupBy("verdict", F.col("j.passed").cast("string").alias("passed"), "j.reason")
         .agg(F.count(F.lit(1)).alias("n")),
-        """SELECT verdict, passed, reason, count(*) AS n FROM v JOIN (VALUES
-          (0, '{"reason": "ok", "passed": true}', 'true', 'ok'),
-          (1, 'verdict: {"passed": false, "reason": "missing figure"} end', 'false', 'missing figure'),
-          (2, 'passed: true, but not as an object', 'true',
-            '(JSON 解析失败) passed: true, but not as an object'),
-          (3, 'no verdict {', 'false', '(JSON 解析失败) no verdict {')) t(k, verdict, passed, reason)
-          ON user_id % 4 = k GROUP BY 1, 2, 3""",
+        "SELECT verdict, passed, reason, count(*) AS n FROM v JOIN (VALUES "
+        + ", ".join(
+            f"({i}, {_text_sql(t)}, '{str(p).lower()}', {_text_sql(UNREADABLE + t if r is None else r)})"
+            for i, (t, p, r) in enumerate(VERDICTS)
+        )
+        + f") t(k, verdict, passed, reason) ON user_id % {len(VERDICTS)} = k GROUP BY 1, 2, 3",
     )
     add(
         "check_pass_rates",
@@ -546,10 +569,10 @@ def register() -> None:
     add(
         "latest_attempts",
         "W5",
-        "id, status, seq:i",
-        lambda s, d: R.latest(_attempts(s, d), ["id"], "seq"),
+        "id, status, attempt:i",
+        lambda s, d: R.latest(_attempts(s, d), ["id"], "attempt"),
         """SELECT 'Q' || user_id AS id, CASE WHEN status = 'ok' THEN status ELSE 'retried' END AS status,
-          CASE WHEN status = 'ok' THEN user_id ELSE user_id + 1000000000 END AS seq FROM ans""",
+          CASE WHEN status = 'ok' THEN 1 ELSE 2 END AS attempt FROM ans""",
         run,
     )
     add(
@@ -568,11 +591,8 @@ def register() -> None:
         "id, category",
         lambda s, d: R.requested(
             answers(s, d).select("id", "category"), answers(s, d).where("model = 'BUILDING'")
-        )
-        .orderBy("id")
-        .limit(50),
-        """SELECT 'Q' || user_id AS id, category FROM ans WHERE model = 'BUILDING'
-        ORDER BY 1 LIMIT 50""",
+        ),
+        "SELECT 'Q' || user_id AS id, category FROM ans WHERE model = 'BUILDING'",
         run,
     )
     add(

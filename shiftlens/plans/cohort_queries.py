@@ -299,7 +299,6 @@ def register() -> None:
         "month_rows_shown",
         "L5",
         "loan_month, n:i, bad_rate:6",
-        lambda s, d: C.rate_by(obs(s, d), "loan_month").orderBy("loan_month").limit(60),
-        """SELECT loan_month, count(*) AS n, avg(is_bad) AS bad_rate FROM v GROUP BY 1
-        ORDER BY 1 LIMIT 60""",
+        lambda s, d: C.rate_by(obs(s, d), "loan_month").orderBy("loan_month"),
+        "SELECT loan_month, count(*) AS n, avg(is_bad) AS bad_rate FROM v GROUP BY 1 ORDER BY 1",
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import DataFrame, functions as F
 
 from shiftlens.catalog import CHANNELS, CITY_TIERS, FEATURES, MONTHS
@@ -100,17 +101,32 @@ def _split_sql() -> str:
         FROM r JOIN d4 ON is_bad = lab)"""
 
 
+STORED = M.STORED_DECIMALS  # of risk_score
+
+
 def _boosted(spark, folder) -> tuple:
-    # few trees: enough to exercise training, scoring and attribution on the whole table
     features = S.build_features(loans(spark, folder), "user_id", "is_bad")
     rows = stored(S.stratified_split(features))
-    return S.train(rows, max_trees=4), rows
+    return S.train(rows), rows
 
 
 def _boosted_metrics(spark, folder) -> DataFrame:
+    """Split sizes, and whether the record's AUC agrees with Spark's own over the stored scores."""
     model, rows = _boosted(spark, folder)
-    scored = S.score(model, rows)
-    return S.metrics_record(scored, len(model.trees), len(FEATURES))
+    scored = stored(S.score(model, rows))
+    other = BinaryClassificationEvaluator(
+        rawPredictionCol="score", labelCol="is_bad", metricName="areaUnderROC", numBins=0
+    ).evaluate(scored.where("dataset = 'test'").withColumn("is_bad", F.col("is_bad").cast("double")))
+    record = S.metrics_record(scored, len(model.trees), len(FEATURES))
+    return record.select(
+        "n_features",
+        "n_train",
+        "n_valid",
+        "n_test",
+        (F.abs(F.col("test_auc") - other) <= 0.5e-4 + 1e-9).cast("string").alias("auc_agrees"),
+        F.col("best_iteration").between(1, S.MAX_TREES).cast("string").alias("trees_bounded"),
+        (F.col("train_auc") >= 0.5).cast("string").alias("fits_training_rows"),
+    )
 
 
 def _boosted_gap(spark, folder) -> DataFrame:
@@ -204,7 +220,7 @@ def register() -> None:
         "auc_ks_unrounded",
         "O7 O8 W4",
         "dataset, " + AUC_SPEC,
-        lambda s, d: M.auc_ks(obs(s, d), ["dataset"], score="p", decimals=None),
+        lambda s, d: M.auc_ks(obs(s, d), ["dataset"], score="p"),
         auc_sql("v", "p", "dataset"),
     )
     add(
@@ -223,7 +239,7 @@ def register() -> None:
             f"performance{name}",
             "O9",
             "n:i, bad_rate:6, avg_score:6, auc:6, ks:6",
-            lambda s, d, expr=expr: M.performance(obs(s, d), expr),
+            lambda s, d, expr=expr: M.performance(obs(s, d), expr, STORED),
             f"""SELECT a.*, b.bad_rate, b.avg_score FROM
               ({auc_sql(f"(SELECT * FROM v WHERE dataset='test' AND ({expr}))")}) a,
               (SELECT avg(is_bad) AS bad_rate, avg(risk_score) AS avg_score FROM v
@@ -234,7 +250,7 @@ def register() -> None:
         "grouped_auc_channel",
         "O10",
         "channel, " + AUC_SPEC,
-        lambda s, d: M.grouped_auc(obs(s, d), "channel"),
+        lambda s, d: M.grouped_auc(obs(s, d), "channel", STORED),
         by_channel,
     )
     add(
@@ -432,9 +448,17 @@ def register() -> None:
     add(
         "boosted_tree_metrics",
         "M7 M8 M10",
-        "test_auc:4, test_ks:4, train_auc:4, best_iteration:i, n_features:i, n_train:i,"
-        " n_valid:i, n_test:i",
+        "n_features:i, n_train:i, n_valid:i, n_test:i, auc_agrees, trees_bounded, fits_training_rows",
         _boosted_metrics,
-        None,
+        f"""SELECT {len(FEATURES)} AS n_features, count(*) FILTER (dataset = 'train') AS n_train,
+          count(*) FILTER (dataset = 'valid') AS n_valid, count(*) FILTER (dataset = 'test') AS n_test,
+          'true' AS auc_agrees, 'true' AS trees_bounded, 'true' AS fits_training_rows FROM sp""",
+        (OBS_SQL, _split_sql()),
+    )
+    add(
+        "boosted_tree_attributions",
+        "M9",
+        "n:i, spread:6",
+        _boosted_gap,
+        "SELECT count(*) AS n, 0.0 AS spread FROM v",
     )
-    add("boosted_tree_attributions", "M9", "n:i, spread:6", _boosted_gap, None)

@@ -159,13 +159,13 @@ def test_ranks_with_hot_ties_and_quantiles(spark):
     rnd = random.Random(3)
     rows = [(q, i, rnd.choice([0.0, 0.0, 0.0, rnd.random()])) for q in (1, 2) for i in range(500)]
     df = spark.createDataFrame(rows, "q int, id int, s double")
-    got = {(r["q"], r["id"]): r["rank"] for r in O.global_rank(df, ["q"], "s", "id", cuts=16).collect()}
+    got = {(r["q"], r["id"]): r["rank"] for r in O.global_rank(df, ["q"], "s", "id").collect()}
     for q in (1, 2):
         order = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))
         assert [got[(q, r[1])] for r in order] == list(range(1, 501))
     counts = df.groupBy("q", "s").agg(F.count("*").alias("n"))
     probs = [0, 0.1, 0.5, 0.9, 1]
-    for r in O.exact_quantiles(counts, "s", "n", probs, ["q"], cuts=16).collect():
+    for r in O.exact_quantiles(counts, "s", "n", probs, ["q"]).collect():
         want = np.quantile([s for q, _, s in rows if q == r["q"]], probs)
         assert r["quantiles"] == pytest.approx(list(want))
 
@@ -336,6 +336,13 @@ def test_ungrounded_numbers(spark):
 
 def test_judgements_and_failures(spark):
     texts = ['{"passed": true}', '{"passed": 1, "reason": "x"}', '{"passed": "', "passed：TRUE", "no"]
+    more = {'{"passed": "false"}': True, "{'passed': true}": False, '{"passed": 0}': False,
+            '{"passed": false} then {"passed": true}': True, '{"passed": ""}': False, '[]': False}
+    df = spark.createDataFrame([(t,) for t in more], "t string")
+    got = {r["t"]: r["p"] for r in df.select("t", G.judgement(F.col("t"))["passed"].alias("p")).collect()}
+    assert got == more
+    long = spark.createDataFrame([("x" * 500,)], "t string").select(G.judgement(F.col("t"))["reason"])
+    assert len(long.first()[0]) > 500
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(G.judgement(F.col("t")).alias("j"))
     assert [r["j"]["passed"] for r in df.collect()] == [True, True, False, True, False]
 
@@ -361,3 +368,24 @@ def test_planted_period_is_the_only_flag(spark):
 def test_fixed_text(spark):
     df = spark.createDataFrame([(1.5,), (-0.004,), (12.345,), (-3.0,)], "x double")
     assert [r[0] for r in df.select(fixed_text(F.col("x"), 2)).collect()] == ["1.50", "0.00", "12.35", "-3.00"]
+
+
+def test_scores_count_as_they_come(spark):
+    rows = [(0.12341, 0), (0.12342, 1), (0.12343, 0), (0.12344, 0)]
+    df = spark.createDataFrame(rows, "risk_score double, is_bad int")
+    assert M.auc_ks(df).first()["auc"] == pytest.approx(1 / 3)
+    assert M.auc_ks(df, decimals=4).first()["auc"] == 0.5
+
+
+def test_rate_differences_have_no_cap(spark):
+    rates = [f"{i / 1000:.4f}" for i in range(1, 900)]
+    df = spark.createDataFrame([("gap 89.70pp and 95.10pp", [" ".join(rates)])], "r string, e array<string>")
+    assert E.ungrounded(df, "r", "e").first()["ungrounded"] == ["95.10pp"]
+
+
+def test_nan_counts_as_missing(spark):
+    from shiftlens.operators import findings, quality
+
+    df = spark.createDataFrame([(float("nan"),), (None,), (0.5,)], "risk_score double")
+    assert quality.null_counts(df).first()["n_null"] == 2
+    assert [r[0] for r in findings.score_findings(df).select("check_name").collect()] == ["score_missing"]

@@ -28,11 +28,3 @@ def tables(llm, tmp_path_factory):
         return str(folder)
 
     return write
-
-
-#: Columns that the operators' own names could clash with.
-DOCS = "doc_id bigint, text string, key string, n bigint, spans string, doc string, text_hash string"
-
-
-def doc(doc_id, text):
-    return (doc_id, text, "k", 1, "s", "d", "h")

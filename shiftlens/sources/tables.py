@@ -116,4 +116,8 @@ def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> Data
     """A user's SELECT over named frames."""
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    return spark.sql(sql)
+    try:
+        return spark.sql(sql)
+    finally:  # the result is resolved already and no longer needs the names
+        for name in tables:
+            spark.catalog.dropTempView(name)

@@ -15,7 +15,7 @@ and text are one class. A null id comes before all others.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import lgamma
 
@@ -34,8 +34,9 @@ HASHES = BANDS * ROWS
 #: Values compared between two looks at the posterior.
 STRETCH = 16
 TOLERANCE = 1e-6
-#: Members of one chunk of a bucket, on average.
+#: Members of one chunk of a bucket, on average, and of a cluster of candidates.
 CHUNK = 256
+CLUSTER_CHUNK = 64
 #: Buckets of the filter on documents to verify: its size whatever the input.
 SIEVE = 1 << 20
 #: Words whose hashes a task keeps.
@@ -45,6 +46,7 @@ SIGNED = (
     "doc bigint, text_hash bigint, n bigint, set_low bigint, set_high bigint, signature binary"
 )
 PAIR = "a_doc bigint, a_text bigint, b_doc bigint, b_text bigint"
+VERIFIED = f"{PAIR}, n_links bigint"
 
 
 class _Hashes(dict):
@@ -138,76 +140,133 @@ def least_matches() -> np.ndarray:
     return need
 
 
-def surviving(
-    left: np.ndarray, right: np.ndarray, sizes_left: np.ndarray, sizes_right: np.ndarray, pairs, band: int
-) -> np.ndarray:
-    """Of index pairs, those that may reach the threshold and share no band before this one."""
+def surviving(signed: np.ndarray, sizes: np.ndarray, pairs: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Of index pairs, those that may reach the threshold."""
     a, b = pairs
-    small = np.minimum(sizes_left[a], sizes_right[b])
-    large = np.maximum(sizes_left[a], sizes_right[b])
+    small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
     fits = small >= THRESHOLD * large - 1e-9
     a, b = a[fits], b[fits]
     need, matches = least_matches(), np.zeros(len(a), int)
     for at in range(0, HASHES, STRETCH):
         part = slice(at, at + STRETCH)
-        matches += (left[a, part] == right[b, part]).sum(axis=1)
+        matches += (signed[a, part] == signed[b, part]).sum(axis=1)
         stay = matches >= need[at + STRETCH]
         a, b, matches = a[stay], b[stay], matches[stay]
-    agree = (left[a] == right[b]).reshape(len(a), BANDS, ROWS).all(axis=2)
-    own = agree.argmax(axis=1) == band
-    return np.stack([a[own], b[own]])
+    return a, b
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each bucket's two chunks; rows come sorted by bucket and chunks."""
-    rest: pa.Table | None = None
-    for batch in batches:
-        now = pa.Table.from_batches([batch])
-        rest = now if rest is None else pa.concat_tables([rest, now])
-        group = _group_ids(rest)
-        whole = int(np.searchsorted(group, group[-1])) if len(group) else 0
-        if whole:
-            yield from _pairs(rest.slice(0, whole), group[:whole])
-            rest = rest.slice(whole)
-    if rest is not None and rest.num_rows:
-        yield from _pairs(rest, _group_ids(rest))
-
-
-def _group_ids(rows: pa.Table) -> np.ndarray:
-    keys = [rows.column(c).to_numpy() for c in ("band", "bucket", "i", "j")]
-    if not len(keys[0]):
-        return np.zeros(0, int)
-    new = np.zeros(len(keys[0]), bool)
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return np.cumsum(new)
-
-
-def _pairs(rows: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-    signed = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint16)
-    signed = signed.reshape(-1, HASHES)
-    sizes, chunk = rows.column("n").to_numpy(), rows.column("chunk").to_numpy()
-    band, i, j = (rows.column(c).to_numpy() for c in ("band", "i", "j"))
-    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that connect what the pairs before them have not."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
     kept = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            root[y] = x
+            kept.append(k)
+    return a[kept], b[kept]
+
+
+def exact(texts: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the two shingle sets of each pair reach the threshold."""
+    sets = [shingles(t) for t in texts]
+    whole, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    bit = np.cumsum(times > 1) - 1  # shingles of one text alone are in no intersection
+    masks, at = [], 0
+    for own in sets:
+        mine = place[at : at + len(own)]
+        at += len(own)
+        bits = np.zeros(int(bit[-1]) + 1 if len(bit) else 0, bool)
+        bits[bit[mine[times[mine] > 1]]] = True
+        masks.append(int.from_bytes(np.packbits(bits).tobytes(), "big"))
+    return np.array(
+        [
+            (common := (masks[x] & masks[y]).bit_count())
+            >= THRESHOLD * (len(sets[x]) + len(sets[y]) - common) - 1e-9
+            for x, y in zip(a.tolist(), b.tolist(), strict=True)
+        ],
+        bool,
+    )
+
+
+def _by_group(keys: list[str], of_group: Callable[[pa.Table], Iterator[pa.RecordBatch]]):
+    """A function over batches that come sorted by ``keys``, which hands on whole groups."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            rest = now if rest is None else pa.concat_tables([rest, now])
+            starts = _starts(rest, keys)
+            yield from _each(rest, starts[:-1], of_group)
+            rest = rest.slice(starts[-2]) if len(starts) > 1 else rest
+        if rest is not None:
+            yield from _each(rest, _starts(rest, keys), of_group)
+
+    return over
+
+
+def _starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where groups start, and the number of rows."""
+    if not rows.num_rows:
+        return np.zeros(1, int)
+    new = np.zeros(rows.num_rows, bool)
+    new[0] = True
+    for key in keys:
+        values = rows.column(key).to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return np.append(np.flatnonzero(new), rows.num_rows)
+
+
+def _each(rows: pa.Table, starts: np.ndarray, of_group) -> Iterator[pa.RecordBatch]:
     for start, end in zip(starts[:-1], starts[1:], strict=True):
-        if i[start] == j[start]:
-            a, b = np.triu_indices(end - start, 1)
-        else:
-            mine = chunk[start:end] == i[start]
-            a, b = (x.ravel() for x in np.meshgrid(np.flatnonzero(mine), np.flatnonzero(~mine)))
-        if len(a):
-            part, n = signed[start:end], sizes[start:end]
-            found = surviving(part, part, n, n, (a, b), int(band[start]))
-            if found.size:
-                kept.append(found + start)
-    if kept:
-        a, b = np.concatenate(kept, axis=1)
-        sides = [rows.select(["doc", "text_hash"]).take(pa.array(x)) for x in (a, b)]
-        yield pa.RecordBatch.from_arrays(
-            [side.column(c).combine_chunks() for side in sides for c in ("doc", "text_hash")],
-            ["a_doc", "a_text", "b_doc", "b_text"],
-        )
+        yield from of_group(rows.slice(start, end - start))
+
+
+def _met(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Surviving pairs of a group: within a chunk, or between its two chunks."""
+    signed = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint16)
+    i, j = (group.column(c)[0].as_py() for c in ("i", "j"))
+    if i == j:
+        pairs = np.triu_indices(group.num_rows, 1)
+    else:
+        first = group.column("chunk").to_numpy() == i
+        pairs = tuple(x.ravel() for x in np.meshgrid(np.flatnonzero(first), np.flatnonzero(~first)))
+    return surviving(signed.reshape(-1, HASHES), group.column("n").to_numpy(), pairs)
+
+
+def _ends(group: pa.Table, a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
+    sides = [group.select(["doc", "text_hash"]).take(pa.array(x, pa.int64())) for x in (a, b)]
+    return [side.column(c).combine_chunks() for side in sides for c in ("doc", "text_hash")]
+
+
+ENDS = ["a_doc", "a_text", "b_doc", "b_text"]
+
+
+def _candidate_forest(group: pa.Table) -> Iterator[pa.RecordBatch]:
+    a, b = _met(group)
+    if len(a):
+        yield pa.RecordBatch.from_arrays(_ends(group, *forest(a, b)), ENDS)
+
+
+def _verified(group: pa.Table) -> Iterator[pa.RecordBatch]:
+    """A forest of the links, without a count, and each member's count under itself twice."""
+    a, b = _met(group)
+    if not len(a):
+        return
+    true = exact(group.column("text").to_pylist(), a, b)
+    a, b = a[true], b[true]
+    count = np.bincount(np.concatenate([a, b]), minlength=group.num_rows)
+    linked = np.flatnonzero(count)
+    for x, y, links in ((*forest(a, b), None), (linked, linked, count[linked])):
+        links = pa.nulls(len(x), pa.int64()) if links is None else pa.array(links, pa.int64())
+        yield pa.RecordBatch.from_arrays([*_ends(group, x, y), links], [*ENDS, "n_links"])
 
 
 def signed_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -248,40 +307,25 @@ def _candidates(reps: DataFrame) -> DataFrame:
     ).select("doc", "text_hash", "k.*")
     counts = members.groupBy("band", "bucket").agg(F.count("*").alias("members")).where("members > 1")
     shared = kept_aside(members.join(kept_aside(counts), ["band", "bucket"]))
-    chunks = F.ceil(F.col("members") / CHUNK).cast("int")
-    dealt = shared.withColumn("chunks", chunks).withColumn(
-        "chunk", F.pmod(F.xxhash64("doc", "text_hash"), F.col("chunks")).cast("int")
-    )
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    placed = met.select(
-        "band",
-        "bucket",
-        F.least("chunk", "other").alias("i"),
-        F.greatest("chunk", "other").alias("j"),
-        "chunk",
-        "doc",
-        "text_hash",
-    )
+    placed = _dealt(shared, CHUNK).select("band", "bucket", "i", "j", "chunk", "doc", "text_hash")
     signatures = reps.select(
         F.col("rep.doc").alias("s_doc"), F.col("rep.text_hash").alias("s_text"), "n", "signature"
     )
     same = placed["doc"].eqNullSafe(signatures["s_doc"]) & placed["text_hash"].eqNullSafe(signatures["s_text"])
     full = placed.join(signatures, same).select(*placed.columns, "n", "signature")
     groups = ["band", "bucket", "i", "j"]
-    return full.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(_compare, PAIR)
+    sorted_rows = full.repartition(*groups).sortWithinPartitions(*groups)
+    return sorted_rows.mapInArrow(_by_group(groups, _candidate_forest), PAIR)
 
 
-def _similarity(a: Column, b: Column) -> Column:
-    @F.arrow_udf("double")
-    def jaccard(left: pa.Array, right: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(left, right, strict=True):
-            one, other = shingles(x.as_py()), shingles(y.as_py())
-            common = len(np.intersect1d(one, other, assume_unique=True))
-            out.append(common / max(1, len(one) + len(other) - common))
-        return pa.array(out, pa.float64())
-
-    return jaccard(a, b)
+def _dealt(rows: DataFrame, size: int) -> DataFrame:
+    """Members of groups, dealt into chunks and to every two of them: adds ``chunk, i, j``."""
+    chunks = F.ceil(F.col("members") / size).cast("int")
+    chunk = F.pmod(F.xxhash64("doc", "text_hash"), chunks).cast("int")
+    met = rows.withColumn("chunk", chunk).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), chunks - 1))
+    )
+    return met.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
 
 
 def _sieved(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -296,24 +340,34 @@ def _sieved(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, reps: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``a_doc, a_text, b_doc, b_text, similarity`` of representatives at the threshold."""
+    """``a_doc, a_text, b_doc, b_text, n_links`` over representatives.
+
+    Rows without ``n_links`` are links that connect all that is linked; the others count the links
+    of one representative, several rows of one add up.
+    """
     pairs = kept_aside(_candidates(reps))
+    clusters = kept_aside(components(pairs.select(_vertex("a").alias("a"), _vertex("b").alias("b"))))
+    sizes = kept_aside(clusters.groupBy("label").agg(F.count("*").alias("members")))
+    placed = _dealt(
+        clusters.join(sizes, "label").select(
+            "label", "members", _known("vertex").alias("doc"), F.col("vertex.text").alias("text_hash")
+        ),
+        CLUSTER_CHUNK,
+    ).select(F.xxhash64("label").alias("cluster"), "i", "j", "chunk", "doc", "text_hash")
     own = docs.select(
         F.col(doc).cast("bigint").alias("doc"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")
     )
     texts = _sieved(own, pairs).dropDuplicates(["doc", "text_hash"])
-    sides = {
-        s: texts.select(
-            F.col("doc").alias(f"{s}d"), F.col("text_hash").alias(f"{s}h"), F.col("text").alias(f"{s}_string")
-        )
-        for s in "ab"
-    }
-    met = pairs
-    for s, side in sides.items():
-        same = met[f"{s}_doc"].eqNullSafe(side[f"{s}d"]) & (met[f"{s}_text"] == side[f"{s}h"])
-        met = met.join(side, same).drop(f"{s}d", f"{s}h")
-    exact = met.withColumn("similarity", _similarity(F.col("a_string"), F.col("b_string")))
-    return exact.where(F.col("similarity") >= THRESHOLD).select(*pairs.columns, "similarity")
+    texts = texts.select(F.col("doc").alias("t_doc"), F.col("text_hash").alias("t_text"), "text")
+    signatures = reps.select(
+        F.col("rep.doc").alias("s_doc"), F.col("rep.text_hash").alias("s_text"), "n", "signature"
+    )
+    full = placed
+    for side, d, h in ((signatures, "s_doc", "s_text"), (texts, "t_doc", "t_text")):
+        full = full.join(side, full["doc"].eqNullSafe(side[d]) & (full["text_hash"] == side[h])).drop(d, h)
+    groups = ["cluster", "i", "j"]
+    sorted_rows = full.repartition(*groups).sortWithinPartitions(*groups)
+    return sorted_rows.mapInArrow(_by_group(groups, _verified), VERIFIED)
 
 
 def _vertex(side: str) -> Column:
@@ -324,6 +378,11 @@ def _vertex(side: str) -> Column:
     )
 
 
+def _known(vertex: str) -> Column:
+    """The id of a vertex, which may be null."""
+    return F.when(F.col(f"{vertex}.known"), F.col(f"{vertex}.doc"))
+
+
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: its class, the class's links, and the group that links connect.
 
@@ -333,14 +392,17 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     signed = kept_aside(signed_documents(docs, doc, text))
     reps = kept_aside(classes(signed))
     found = kept_aside(links(docs, reps, doc, text))
-    edges = found.select(_vertex("a").alias("a"), _vertex("b").alias("b"))
-    ends = edges.select("a").union(edges.select("b"))
-    counted = ends.groupBy(F.col("a").alias("vertex")).agg(F.count("*").alias("n_links"))
+    edges = found.where("n_links IS NULL").select(_vertex("a").alias("a"), _vertex("b").alias("b"))
+    counted = (
+        found.where("n_links IS NOT NULL")
+        .groupBy(_vertex("a").alias("vertex"))
+        .agg(F.sum("n_links").alias("n_links"))
+    )
     linked = counted.join(components(edges), "vertex").select(
-        F.when(F.col("vertex.known"), F.col("vertex.doc")).alias("l_doc"),
+        _known("vertex").alias("l_doc"),
         F.col("vertex.text").alias("l_text"),
         "n_links",
-        F.when(F.col("label.known"), F.col("label.doc")).alias("group_doc"),
+        _known("label").alias("group_doc"),
         F.col("label.text").alias("group_text"),
     )
     keys = ["n", "set_low", "set_high"]

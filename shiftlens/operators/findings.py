@@ -17,6 +17,7 @@ from shiftlens.catalog import (
     MIN_SAMPLE,
     RATE_NAME,
 )
+from shiftlens.functions.numeric import logit
 from shiftlens.operators import attribution, cohort as cohorts, monitor
 from shiftlens.operators.quality import missing, undefined
 
@@ -226,6 +227,102 @@ def additivity_findings(
     return emit(row, [F.when(broken, finding("additivity", "log_odds", "error", F.col("gap")))])
 
 
+def _size_checks(side: str) -> list[Column]:
+    """An empty cohort, else one that is too small; over ``n_<side>``."""
+    n = F.col(f"n_{side}")
+    severity = sample_severity(n)
+    return [
+        F.when((n > 0) & severity.isNotNull(), finding("sample_size", side, severity, n)),
+        F.when(n == 0, finding(f"empty_{side}", side, "error", n)),
+    ]
+
+
+def summary_findings(
+    view: DataFrame, target: str | None, base: str | None = None, score: str = "risk_score"
+) -> DataFrame:
+    """Checks that accompany a score summary, in one scan; without ``base`` of the target alone."""
+    t, b = cohorts.member(target), cohorts.member(base)
+    lacking = missing(view, score)
+    row = view.agg(
+        F.count_if(t).alias("n_target"),
+        F.count_if(b).alias("n_base"),
+        F.count_if(t & lacking).alias("missing"),
+        F.count_if(t & ~lacking & ((F.col(score) < 0) | (F.col(score) > 1))).alias("outside"),
+    )
+    checks = _size_checks("target") + (_size_checks("base") if base else [])
+    none, beyond = F.col("missing"), F.col("outside")
+    checks.append(F.when(none > 0, finding("score_missing", score, "error", none)))
+    checks.append(
+        F.when((none == 0) & (beyond > 0), finding("score_out_of_range", score, "error", beyond))
+    )
+    return emit(row, checks)
+
+
+def performance_findings(
+    view: DataFrame, expression: str | None = None, label: str = "is_bad"
+) -> DataFrame:
+    """Size of a cohort's test split, and whether it has both labels; one scan."""
+    inside = cohorts.member(expression) & (F.col("dataset") == "test")
+    row = view.agg(
+        F.count_if(inside).alias("n_target"),
+        F.count_if(inside & (F.col(label) == 1)).alias("pos"),
+        F.count_if(inside & (F.col(label) != 1)).alias("neg"),
+    )
+    one = (F.col("n_target") > 0) & ((F.col("pos") == 0) | (F.col("neg") == 0))
+    single = F.when(one, finding("single_label", label, "error", F.col("n_target")))
+    return emit(row, [*_size_checks("target"), single])
+
+
+def quality_findings(
+    view: DataFrame, expression: str | None = None, codes: dict[str, list] | None = None
+) -> DataFrame:
+    """Size of a cohort and values outside the defined codes; one scan."""
+    from shiftlens.catalog import EDUCATION_CODES, MARRIAGE_CODES
+
+    known = codes or {"education": EDUCATION_CODES, "marriage": MARRIAGE_CODES}
+    inside = cohorts.member(expression)
+    row = view.agg(
+        F.count_if(inside).alias("n_target"),
+        *[F.count_if(inside & undefined(c, values)).alias(f"off_{c}") for c, values in known.items()],
+    )
+    off = [
+        F.when(F.col(f"off_{c}") > 0, finding("undefined_code", c, "warn", F.col(f"off_{c}")))
+        for c in known
+    ]
+    return emit(row, [*_size_checks("target"), *off])
+
+
+def attribution_findings(
+    shap: DataFrame,
+    view: DataFrame,
+    target: str | None,
+    base: str | None = None,
+    tolerance: float = ADDITIVITY_TOLERANCE,
+) -> DataFrame:
+    """Sizes of both cohorts, and whether their attributions add up to their mean log-odds."""
+    sums = shap.groupBy("user_id").agg(F.sum("shap_value").alias("total"))
+    users = view.select(
+        "user_id",
+        logit(F.col("risk_score")).alias("odds"),
+        cohorts.member(target).alias("target"),
+        cohorts.member(base).alias("base"),
+    ).join(sums, "user_id", "left")
+    rest = F.col("odds") - F.col("total")
+    sides = ["target", "base"] if base else ["target"]
+    row = users.agg(
+        F.avg(rest).alias("constant"),
+        *[F.count_if(F.col(s)).alias(f"n_{s}") for s in sides],
+        *[F.avg(F.when(F.col(s), F.col("odds"))).alias(f"odds_{s}") for s in sides],
+        *[F.avg(F.when(F.col(s), F.col("total"))).alias(f"total_{s}") for s in sides],
+    )
+    checks = []
+    for s in sides:
+        gap = F.abs(F.col(f"odds_{s}") - F.col("constant") - F.col(f"total_{s}"))
+        checks += _size_checks(s)
+        checks.append(F.when(gap > tolerance, finding("additivity", s, "error", gap)))
+    return emit(row, checks)
+
+
 def compare_findings(
     view: DataFrame, dim: str, target: str, base: str | None, codes: dict[str, list] | None = None
 ) -> DataFrame:
@@ -236,15 +333,7 @@ def compare_findings(
     sizes = view.select(
         cohorts.member(base).alias("b"), cohorts.member(target).alias("t")
     ).agg(F.count_if("b").alias("n_base"), F.count_if("t").alias("n_target"))
-    checks = []
-    for side in ("target", "base"):
-        n = F.col(f"n_{side}")
-        severity = sample_severity(n)
-        checks.append(
-            F.when((n > 0) & severity.isNotNull(), finding("sample_size", side, severity, n))
-        )
-        checks.append(F.when(n == 0, finding(f"empty_{side}", side, "error", n)))
-    out = emit(sizes, checks)
+    out = emit(sizes, _size_checks("target") + _size_checks("base"))
     segments = cohorts.segment_profile(view, dim, target).select("segment", "n")
     out = out.unionByName(result_findings(segments))
     if dim in known:

@@ -21,8 +21,11 @@ def risk_level(score: Column) -> Column:
 
 
 def score_summary(view: DataFrame, target: str | None, base: str | None = None) -> DataFrame:
-    """Size, mean score, mean label and level shares; base row first. One scan for both cohorts."""
-    cohorts = [("base", base)] if base is not None else []
+    """Size, mean score, mean label and level shares; base row first. One scan for both cohorts.
+
+    Without a base, or with a blank one, there is the target's row alone.
+    """
+    cohorts = [("base", base)] if base and base.strip() else []
     cohorts.append(("target", target))
     flags = [member(e).alias(f"in_{name}") for name, e in cohorts]
     needed = view.select("risk_score", "risk_level", "is_bad", *flags)

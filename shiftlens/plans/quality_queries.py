@@ -298,3 +298,59 @@ def register() -> None:
         UNION ALL SELECT 'undefined_code', 'education', 'warn', count(*) FROM v
           WHERE {S2_T} AND education NOT IN (1,2,3,4) HAVING count(*) > 0""",
     )
+
+    def sizes_sql(**sides: str) -> str:
+        counts = " UNION ALL ".join(
+            f"SELECT '{k}' AS side, count(*) AS n FROM v WHERE {c}" for k, c in sides.items()
+        )
+        return f"""SELECT CASE WHEN n = 0 THEN 'empty_' || side ELSE 'sample_size' END AS check_name,
+          side AS subject, CASE WHEN n = 0 THEN 'error' WHEN n < 100 THEN 'insufficient'
+          ELSE 'indicative' END AS severity, CAST(n AS DOUBLE) AS value FROM ({counts}) WHERE n < 300"""
+
+    few, nobody = "user_id % 97 = 3", "user_id < 0"
+    add(
+        "summary_findings",
+        "Q1 Q13 O5",
+        SPEC,
+        lambda s, d: N.summary_findings(
+            obs(s, d).withColumn(
+                "risk_score", F.when(F.col("user_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("risk_score"))
+            ),
+            few,
+            nobody,
+        ),
+        f"""{sizes_sql(target=few, base=nobody)} UNION ALL SELECT 'score_missing', 'risk_score', 'error',
+          count(*) FROM v WHERE {few} AND user_id % 5 = 0 HAVING count(*) > 0""",
+    )
+    one_label = "is_bad = 1"
+    add(
+        "performance_findings",
+        "Q1 O9",
+        SPEC,
+        lambda s, d: N.performance_findings(obs(s, d), one_label),
+        f"""{sizes_sql(target=f"{one_label} AND dataset = 'test'")} UNION ALL SELECT 'single_label',
+          'is_bad', 'error', count(*) FROM v WHERE {one_label} AND dataset = 'test' HAVING count(*) > 0""",
+    )
+    add(
+        "quality_findings",
+        "Q1 Q8 O15",
+        SPEC,
+        lambda s, d: N.quality_findings(obs(s, d), few),
+        f"""{sizes_sql(target=few)} UNION ALL SELECT 'undefined_code', 'education', 'warn', count(*) FROM v
+          WHERE {few} AND NOT coalesce(education IN (1,2,3,4), FALSE) HAVING count(*) > 0
+        UNION ALL SELECT 'undefined_code', 'marriage', 'warn', count(*) FROM v
+          WHERE {few} AND NOT coalesce(marriage IN (1,2,3), FALSE) HAVING count(*) > 0""",
+    )
+    add(
+        "attribution_findings",
+        "Q1 Q15 O12",
+        SPEC,
+        lambda s, d: N.attribution_findings(attributions(obs(s, d)), obs(s, d), few, nobody, 1e-12),
+        f"""WITH per AS (SELECT user_id, sum(shap_value) AS total FROM shap GROUP BY 1),
+          u AS (SELECT v.*, total, ln(greatest(least(risk_score, 1-1e-6), 1e-6)
+            /(1-greatest(least(risk_score, 1-1e-6), 1e-6))) AS odds FROM v LEFT JOIN per USING (user_id)),
+          g AS (SELECT abs(avg(odds) FILTER ({few}) - avg(odds - total) - avg(total) FILTER ({few})) AS gap FROM u)
+        SELECT * FROM ({sizes_sql(target=few, base=nobody)}) UNION ALL
+          SELECT 'additivity', 'target', 'error', gap FROM g WHERE gap > 1e-12""",
+        (OBS_SQL, SHAP_SQL),
+    )

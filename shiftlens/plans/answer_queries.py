@@ -278,10 +278,13 @@ def answers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def records(spark: SparkSession, folder: str) -> DataFrame:
-    """Graded answers, stored once as results are before they are summarised."""
+SUMMARY_COLUMNS = ["system", "model", "usage", "success", "executed", "elapsed", "n_tool_calls"]
+
+
+def records(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The named columns of graded answers, stored once as results are before they are summarised."""
     graded = G.grade(answers(spark, folder))
-    return T.stored(graded.withColumn("n_tool_calls", F.size("steps")))
+    return T.stored(graded.withColumn("n_tool_calls", F.size("steps")).select(*columns))
 
 
 def prices(spark: SparkSession) -> DataFrame:
@@ -557,7 +560,7 @@ def register() -> None:
         "check_pass_rates",
         "G9",
         "type, n:i, n_passed:i",
-        lambda s, d: G.check_pass_rates(records(s, d)),
+        lambda s, d: G.check_pass_rates(G.grade(answers(s, d))),
         """SELECT type, count(*) AS n, count(*) FILTER (k) AS n_passed FROM (
           SELECT 'number' AS type, k1 AS k FROM rec WHERE executed
           UNION ALL SELECT 'number', k2 FROM rec WHERE executed
@@ -608,7 +611,9 @@ def register() -> None:
         "G10 A18 A13",
         "system, n:i, success_rate:6, completion_rate:6, avg_elapsed:6, p90_elapsed:6,"
         " avg_tool_calls:6, avg_cost:6",
-        lambda s, d: R.system_summary(R.with_cost(records(s, d), prices(s))),
+        lambda s, d: R.system_summary(
+            R.with_cost(records(s, d, *SUMMARY_COLUMNS), prices(s))
+        ),
         """SELECT system, count(*) AS n, avg(CAST(coalesce(success, FALSE) AS INT)) AS success_rate,
           avg(CAST(executed AS INT)) AS completion_rate, avg(elapsed) AS avg_elapsed,
           quantile_cont(elapsed, 0.9) AS p90_elapsed, avg(n_tool_calls) AS avg_tool_calls,
@@ -619,7 +624,7 @@ def register() -> None:
         "category_matrix",
         "G11 A19",
         "category, baseline, agent_norag, agent",
-        lambda s, d: R.category_matrix(records(s, d), SYSTEMS),
+        lambda s, d: R.category_matrix(G.grade(answers(s, d)), SYSTEMS),
         "SELECT category, "
         + ", ".join(
             f"coalesce(count(*) FILTER (success AND system='{s}') || '/' ||"
@@ -633,7 +638,7 @@ def register() -> None:
         "category_success",
         "A19",
         "category, system, k:i, n:i, success_rate:6",
-        lambda s, d: R.category_success(records(s, d)),
+        lambda s, d: R.category_success(G.grade(answers(s, d))),
         """SELECT category, system, count(*) FILTER (success) AS k, count(*) AS n,
           count(*) FILTER (success)/CAST(count(*) AS DOUBLE) AS success_rate FROM rec GROUP BY 1, 2""",
         run,
@@ -642,7 +647,7 @@ def register() -> None:
         "failures",
         "G12",
         "id, question, why",
-        lambda s, d: R.failures(records(s, d)),
+        lambda s, d: R.failures(G.grade(answers(s, d))),
         """SELECT 'Q' || user_id AS id, '客户 ' || user_id || ' 的风险如何？' AS question, why
         FROM rec WHERE NOT coalesce(success, FALSE)""",
         run,

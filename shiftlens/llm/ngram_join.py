@@ -1,7 +1,7 @@
 """Documents whose shingle sets overlap, by MinHash with Bayesian pruning.
 
-A document's set holds its runs of ``SHINGLE`` consecutive words (of white-space-free characters),
-or all its words where it has fewer. Documents of one set are a class; the member with the smallest
+Words are runs of digits, letters a-z (A-Z are lower-cased) and characters beyond ASCII. A document's
+set holds its runs of ``SHINGLE`` consecutive words, or all its words where it has fewer. Documents of one set are a class; the member with the smallest
 id stands for it and is the only one that is compared. Signatures have ``HASHES`` MinHash values in
 bands; two sets meet where a band agrees, which misses a pair at the threshold less than once in ten
 million. Members of a large bucket are dealt into chunks, and every two chunks meet in a task of
@@ -9,7 +9,7 @@ their own. There the pairs are compared a stretch of values at a time, and dropp
 the posterior probability of reaching the threshold (uniform prior) is below ``TOLERANCE``; a pair
 stays with the first band it shares. The rest are verified exactly on the two texts.
 
-Null and empty texts have no shingles, link to nothing and are classes of their own. Rows of one id
+Null texts and texts without words have no shingles, link to nothing and are classes of their own. Rows of one id
 and text are one class. A null id comes before all others.
 """
 
@@ -49,6 +49,10 @@ PAIR = "a_doc bigint, a_text bigint, b_doc bigint, b_text bigint"
 VERIFIED = f"{PAIR}, n_links bigint"
 
 
+#: Bytes to what they count as: A-Z in lower case, blanks for all of ASCII that is in no word.
+WORDS = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256)).lower()
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
@@ -69,7 +73,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None) -> np.ndarray:
     """Distinct 64-bit shingle hashes, sorted."""
-    split = (text or "").encode().split()
+    split = (text or "").encode().translate(WORDS).split()
     h = np.fromiter(map(_words().__getitem__, split), np.uint64, len(split))
     if not len(h):
         return h

@@ -1,4 +1,5 @@
 import random
+import re
 from itertools import combinations
 
 import numpy as np
@@ -10,7 +11,8 @@ from llm.helpers import DOCS, doc, numbered
 
 
 def shingle_set(text):
-    w = (text or "").encode().split()
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
     k = min(5, len(w))
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else frozenset()
 
@@ -52,7 +54,7 @@ def corpus():
     for i in range(8):  # a chain whose ends are far apart
         chain[i * 25] = f"step{i}"
         texts.append(" ".join(chain))
-    texts += [" ".join(base)] * 40 + ["a b", "a b", "b a", "", None, " ", "solo"] + [" ".join(text(60)) for _ in range(40)]
+    texts += [" ".join(base)] * 40 + ["a b", "A, b.", "b a", "", None, "?!", "solo", "É é", "é é"] + [" ".join(text(60)) for _ in range(40)]
     draw.shuffle(texts)
     return texts
 
@@ -80,6 +82,12 @@ def test_empty_table(llm, tables):
     assert queries.op7_ngram_join(llm, tables(documents=([], DOCS))).count() == 0
 
 
+def test_words():
+    text = "It's 12 Ünits, ÉTÉ—x_y\u00a0z\x7f9 A"
+    assert text.encode().translate(ngram_join.WORDS).split() == [w.encode() for w in re.findall(
+        r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate({c: c + 32 for c in range(65, 91)}))]
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     need = ngram_join.least_matches()
     draw = np.random.default_rng(1)

@@ -26,6 +26,43 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN c USING (n) LEFT JOIN m USING (n)
 """
 
+# op3: a hash of every window, the smallest document of each
+SUBSTRINGS = r"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id,
+    coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+k AS (SELECT n, doc_id, unnest(hs) AS h, generate_subscripts(hs, 1) AS s FROM (SELECT n, doc_id,
+    list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i : i + 49], ' '))) AS hs
+    FROM d WHERE len(w) >= 50 AND doc_id IS NOT NULL)),
+f AS (SELECT h, min(doc_id) AS first FROM k GROUP BY h),
+g AS (SELECT DISTINCT n, unnest(range(s, s + 50)) AS x FROM k JOIN f USING (h) WHERE first < doc_id),
+u AS (SELECT n, unnest(w) AS word, generate_subscripts(w, 1) AS x FROM d),
+r AS (SELECT u.n, string_agg(word, ' ' ORDER BY u.x) AS kept, count(*) AS stay
+    FROM u ANTI JOIN g ON u.n = g.n AND u.x = g.x GROUP BY u.n)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(stay, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (n)
+"""
+
+# op7: classes by their sorted shingles, pairs by shared shingles, groups by reachability
+NGRAM_JOIN = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text,
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, len(w) - least(5, len(w)) + 2),
+      lambda i: array_to_string(w[i : i + least(5, len(w)) - 1], ' ')))) AS sh FROM d WHERE len(w) > 0),
+c AS (SELECT sh, min(doc_id) AS rep FROM s GROUP BY sh),
+x AS (SELECT rep, len(sh) AS n, unnest(sh) AS t FROM c),
+p AS (SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.t = b.t AND a.rep < b.rep
+    GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(v, l) AS (SELECT rep, rep FROM c UNION SELECT e.b, r.l FROM r JOIN e ON e.a = r.v),
+g AS (SELECT v, min(l) AS label FROM r GROUP BY v),
+k AS (SELECT a, count(*) AS links FROM e GROUP BY a)
+SELECT d.doc_id, coalesce(rep, d.doc_id) AS class_id, CAST(coalesce(links, 0) AS BIGINT) AS n_links,
+  coalesce(label, d.doc_id) AS group_id
+FROM d LEFT JOIN s USING (doc_id) LEFT JOIN c ON s.sh = c.sh LEFT JOIN g ON g.v = rep LEFT JOIN k ON k.a = rep
+"""
+
 # op8: the rules as rows, the longest that fits wins
 URL_FILTER = r"""
 WITH r(rule, host, path, verdict) AS (VALUES
@@ -64,6 +101,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 ORACLES = {
     "op1_decontaminate": DECONTAMINATE,
+    "op3_substrings": SUBSTRINGS,
+    "op7_ngram_join": NGRAM_JOIN,
     "op8_url_filter": URL_FILTER,
     "op9_exact_topk": EXACT_TOPK,
 }

@@ -3,8 +3,9 @@
 A vocabulary file in the JSON format of the public ``tokenizers`` library gives the merges, the
 vocabulary and the added tokens; the word pattern, the end-of-word mark and the lower-casing are
 those of such word-level files. A task keeps what it has encoded, words and the chunks between
-spaces, in bounded caches. For a word that is not there a priority queue of merge ranks runs over a doubly linked list of symbols, and entries whose
-pair has changed since they were queued are skipped.
+spaces, in bounded caches. For a word that is not there, a priority queue of merge ranks runs over a
+doubly linked list of symbols, and entries whose pair has changed since they were queued are
+skipped. Decoding joins vocabulary strings.
 
 Null and empty texts give no ids and an empty decoded text. Repeated rows are encoded alike.
 """

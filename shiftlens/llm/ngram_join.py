@@ -1,16 +1,20 @@
 """Documents whose shingle sets overlap, by MinHash with Bayesian pruning.
 
 Words are runs of digits, letters a-z (A-Z are lower-cased) and characters beyond ASCII. A document's
-set holds its runs of ``SHINGLE`` consecutive words, or all its words where it has fewer. Documents of one set are a class; the member with the smallest
-id stands for it and is the only one that is compared. Signatures have ``HASHES`` MinHash values in
-bands; two sets meet where a band agrees, which misses a pair at the threshold less than once in ten
-million. Members of a large bucket are dealt into chunks, and every two chunks meet in a task of
-their own. There the pairs are compared a stretch of values at a time, and dropped as soon as
-the posterior probability of reaching the threshold (uniform prior) is below ``TOLERANCE``; a pair
-stays with the first band it shares. The rest are verified exactly on the two texts.
-
-Null texts and texts without words have no shingles, link to nothing and are classes of their own. Rows of one id
-and text are one class. A null id comes before all others.
+set holds its runs of ``SHINGLE`` consecutive words, or all its words where it has fewer. Documents
+of one set are a class; the member with the smallest id stands for it and is the only one that is
+compared. Signatures have ``HASHES`` MinHash values in bands; two sets meet where a band agrees,
+which misses a pair at the threshold less than once in ten million. Pairs are compared a stretch of
+values at a time, and dropped as soon as the posterior probability of reaching the threshold
+(uniform prior) is below ``TOLERANCE``. What is left connects candidates to clusters. All pairs of a
+cluster that pass the same comparison are verified exactly on their texts.
+
+Pairs never become rows: large buckets and clusters are dealt into chunks, every two chunks meet in
+a group of their own of bounded size, and a group hands over its members' link counts and a forest
+of the links, no more rows than it has members.
+
+Null texts and texts without words have no shingles, link to nothing and are classes of their own.
+Rows of one id and text are one class. A null id comes before all others.
 """
 
 from __future__ import annotations
@@ -315,7 +319,9 @@ def _candidates(reps: DataFrame) -> DataFrame:
     signatures = reps.select(
         F.col("rep.doc").alias("s_doc"), F.col("rep.text_hash").alias("s_text"), "n", "signature"
     )
-    same = placed["doc"].eqNullSafe(signatures["s_doc"]) & placed["text_hash"].eqNullSafe(signatures["s_text"])
+    same = placed["doc"].eqNullSafe(signatures["s_doc"]) & (
+        placed["text_hash"] == signatures["s_text"]
+    )
     full = placed.join(signatures, same).select(*placed.columns, "n", "signature")
     groups = ["band", "bucket", "i", "j"]
     sorted_rows = full.repartition(*groups).sortWithinPartitions(*groups)

@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shiftlens.llm import bpe, decontaminate, exact_topk, ngram_join, pii, secret_scan, sql, substrings, token_counts, toxicity, url_filter
+from shiftlens.llm import (
+    bpe,
+    decontaminate,
+    exact_topk,
+    ngram_join,
+    pii,
+    secret_scan,
+    sql,
+    substrings,
+    token_counts,
+    toxicity,
+    url_filter,
+)
 from shiftlens.llm.common import sha, table
 
 Runner = Callable[[SparkSession, str], DataFrame]

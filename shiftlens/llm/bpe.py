@@ -16,6 +16,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -144,6 +145,11 @@ class Tokenizer(dict):
         packed = np.array(ids, np.int32).tobytes()
         return " ".join(map(str, ids)), self.decode(ids), len(ids), packed
 
+    def forget(self) -> None:
+        """Give the caches back at a task's end: the process may go on with other work."""
+        self.clear()
+        self.known.clear()
+
     def word_ids(self, word: str) -> list[int]:
         ids = self.known.get(word)
         if ids is None:
@@ -188,17 +194,20 @@ def encoded(text: Column, content) -> Column:
     """``ids`` and ``decoded`` of each text; ``content`` is a broadcast vocabulary text."""
 
     @F.arrow_udf(RESULT)
-    def encode(texts: pa.Array) -> pa.Array:
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = _tokenizer(content.value)
-        ends, ids, decoded = [0], [], []
-        for text in texts:
-            found = own.chunks(text.as_py() or "")
-            ends.append(ends[-1] + sum([c[2] for c in found]))
-            ids.append(b"".join([c[3] for c in found]))
-            decoded.append(" ".join([c[1] for c in found]))
-        flat = pa.array(np.frombuffer(b"".join(ids), np.int32), pa.int32())
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-        return pa.StructArray.from_arrays([lists, pa.array(decoded, pa.string())], ["ids", "decoded"])
+        for texts in batches:
+            ends, ids, decoded = [0], [], []
+            for text in texts:
+                found = own.chunks(text.as_py() or "")
+                ends.append(ends[-1] + sum([c[2] for c in found]))
+                ids.append(b"".join([c[3] for c in found]))
+                decoded.append(" ".join([c[1] for c in found]))
+            flat = pa.array(np.frombuffer(b"".join(ids), np.int32), pa.int32())
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            both = [lists, pa.array(decoded, pa.string())]
+            yield pa.StructArray.from_arrays(both, ["ids", "decoded"])
+        own.forget()
 
     return encode(text)
 
@@ -207,18 +216,20 @@ def digested(text: Column, content) -> Column:
     """Number of ids and the SHA-256 of the ids' text and of the decoded text."""
 
     @F.arrow_udf(DIGEST)
-    def digest(texts: pa.Array) -> pa.Array:
+    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = _tokenizer(content.value)
-        counts, ids, decoded = [], [], []
-        for text in texts:
-            found = own.chunks(text.as_py() or "")
-            counts.append(sum([c[2] for c in found]))
-            for out, k in ((ids, 0), (decoded, 1)):
-                joined = " ".join([c[k] for c in found])
-                out.append(hashlib.sha256(joined.encode()).hexdigest())
-        return pa.StructArray.from_arrays(
-            [pa.array(counts, pa.int64()), pa.array(ids), pa.array(decoded)],
-            ["n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+        for texts in batches:
+            counts, ids, decoded = [], [], []
+            for text in texts:
+                found = own.chunks(text.as_py() or "")
+                counts.append(sum([c[2] for c in found]))
+                for out, k in ((ids, 0), (decoded, 1)):
+                    joined = " ".join([c[k] for c in found])
+                    out.append(hashlib.sha256(joined.encode()).hexdigest())
+            columns = [pa.array(counts, pa.int64()), pa.array(ids), pa.array(decoded)]
+            names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+            columns = [c.cast(k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)]
+            yield pa.StructArray.from_arrays(columns, names)
+        own.forget()
 
     return digest(text)

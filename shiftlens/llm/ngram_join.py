@@ -44,7 +44,7 @@ CLUSTER_CHUNK = 64
 #: Buckets of the filter on documents to verify: its size whatever the input.
 SIEVE = 1 << 20
 #: Words whose hashes a task keeps.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 100_000
 
 SIGNED = (
     "doc bigint, text_hash bigint, n bigint, set_low bigint, set_high bigint, signature binary"

@@ -34,7 +34,7 @@ GRAM = 8
 #: Buckets of the filter on documents to read again: its size whatever the input.
 SIEVE = 1 << 20
 #: Words whose hashes a task keeps.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 100_000
 
 BLOCK = "doc bigint, text_hash bigint, anchor bigint, block bigint, start int, windows int"
 PLACE = "doc bigint, text_hash bigint, anchor bigint, content bigint, start int"

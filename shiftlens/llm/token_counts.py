@@ -21,7 +21,7 @@ MARK = "▁"
 #: A character that no piece holds costs one token per UTF-8 byte, each at this log probability.
 BYTE_SCORE = -25.0
 #: A task's trie starts anew beyond so many nodes, which changes no result.
-TRIE_NODES = 2_000_000
+TRIE_NODES = 700_000
 #: Longer pre-tokens are scored without entering the trie.
 TRIE_DEPTH = 128
 

@@ -163,21 +163,24 @@ def surviving(signed: np.ndarray, sizes: np.ndarray, pairs: tuple) -> tuple[np.n
     return a, b
 
 
+def _joined(root: dict, x, y) -> bool:
+    """Whether the pair connects what was apart; from then on it is connected."""
+
+    def find(v):
+        while root.setdefault(v, v) != v:
+            root[v] = v = root[root[v]]
+        return v
+
+    x, y = find(x), find(y)
+    root[y] = x
+    return x != y
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pairs that connect what the pairs before them have not."""
     root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    kept = []
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        x, y = find(x), find(y)
-        if x != y:
-            root[y] = x
-            kept.append(k)
+    pairs = zip(a.tolist(), b.tolist(), strict=True)
+    kept = [k for k, (x, y) in enumerate(pairs) if _joined(root, x, y)]
     return a[kept], b[kept]
 
 
@@ -257,10 +260,19 @@ def _ends(group: pa.Table, a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
 ENDS = ["a_doc", "a_text", "b_doc", "b_text"]
 
 
-def _candidate_forest(group: pa.Table) -> Iterator[pa.RecordBatch]:
-    a, b = _met(group)
-    if len(a):
-        yield pa.RecordBatch.from_arrays(_ends(group, *forest(a, b)), ENDS)
+def _candidate_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest of the candidate pairs of a task, over all of its groups."""
+    root: dict = {}
+
+    def of_group(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        a, b = _met(group)
+        if len(a):
+            a, b = forest(a, b)
+            names = list(zip(*(group.column(c).to_pylist() for c in ("doc", "text_hash")), strict=True))
+            new = [k for k, (x, y) in enumerate(zip(a, b, strict=True)) if _joined(root, names[x], names[y])]
+            yield pa.RecordBatch.from_arrays(_ends(group, a[new], b[new]), ENDS)
+
+    return _by_group(["band", "bucket", "i", "j"], of_group)(batches)
 
 
 def _verified(group: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -325,7 +337,7 @@ def _candidates(reps: DataFrame) -> DataFrame:
     full = placed.join(signatures, same).select(*placed.columns, "n", "signature")
     groups = ["band", "bucket", "i", "j"]
     sorted_rows = full.repartition(*groups).sortWithinPartitions(*groups)
-    return sorted_rows.mapInArrow(_by_group(groups, _candidate_forest), PAIR)
+    return sorted_rows.mapInArrow(_candidate_forest, PAIR)
 
 
 def _dealt(rows: DataFrame, size: int) -> DataFrame:

@@ -7,7 +7,9 @@ distance. A document's score comes from how many of its windows save at least 1,
 logistic curve calibrated on the labelled documents.
 
 Toxic training text: of each toxic document the words, or parts of words, made of five-byte grams
-that no ordinary training document has and several toxic ones share. Training uses labelled
+that several toxic training documents share and that are at least ``TIMES`` as frequent among toxic
+documents as among ordinary ones. Ordinary training text leaves out words with such grams, so an
+ordinary document that quotes one or is labelled wrongly does not hide it. Training uses labelled
 documents only, never more than ``MAX_TOXIC`` and ``MAX_ORDINARY``, drawn by a hash of their id,
 none longer than ``MAX_CHARS`` characters. Labels of one document that disagree count as toxic.
 
@@ -37,6 +39,9 @@ MAX_CHARS = 200_000
 GRAM = 5
 #: Toxic documents that must share a gram: a hundredth of them, between these.
 MIN_SUPPORT, MAX_SUPPORT = 3, 8
+#: How many times as frequent among toxic documents a gram must be that ordinary ones have, too; one
+#: more ordinary document is counted than have it. Below that are words of a topic or a language.
+TIMES = 25
 TOXIC_BYTES = 4096
 ORDINARY_BYTES = 16384
 #: Words of one window, and how far windows are apart.
@@ -142,18 +147,31 @@ def _parts(word: bytes, strong: set[bytes]) -> list[bytes]:
     return [word[m.start() : m.end()] for m in re.finditer(rb"\x01+", bytes(covered))]
 
 
-def toxic_samples(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> list[bytes]:
-    """One sample for each toxic document that has something ordinary text lacks."""
-    known: set[bytes] = set()
-    for own in ordinary:
-        for word in own:
-            known |= _grams(word)
+def _support(documents: list[set[bytes]]) -> Counter[bytes]:
+    """In how many documents each gram is."""
+    found: Counter[bytes] = Counter()
+    for own in documents:
+        found.update(set().union(*(_grams(w) for w in own)))
+    return found
+
+
+def strong_grams(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> set[bytes]:
+    """Grams that enough toxic documents share, and far more of them than of ordinary ones."""
+    least = _least(toxic)
+    shared = {g: n for g, n in _support(toxic).items() if n >= least}
+    known = _support(ordinary)
+    times = TIMES * len(toxic)
+    return {g for g, n in shared.items() if not known[g] or n * len(ordinary) >= times * (known[g] + 1)}
+
+
+def _least(toxic: list[set[bytes]]) -> int:
+    return min(MAX_SUPPORT, max(MIN_SUPPORT, len(toxic) // 100))
+
+
+def toxic_samples(toxic: list[set[bytes]], strong: set[bytes]) -> list[bytes]:
+    """One sample for each toxic document that has strong grams."""
     in_documents = Counter(w for own in toxic for w in own)
-    support: Counter[bytes] = Counter()
-    for own in toxic:
-        support.update(set().union(*(_grams(w) for w in own)) - known)
-    least = min(MAX_SUPPORT, max(MIN_SUPPORT, len(toxic) // 100))
-    strong = {g for g, n in support.items() if n >= least}
+    least = _least(toxic)
     samples = []
     for own in toxic:
         found = []
@@ -187,11 +205,13 @@ def fit(toxic: list[str], ordinary: list[str], ordinary_weight: float = 1.0) ->
     # each word is held once, however many documents have it
     held: dict[bytes, bytes] = {}
     bad, good = ([{held.setdefault(w, w) for w in words(t)} for t in side] for side in (toxic, ordinary))
-    prepared = toxic_samples(bad, good)
+    strong = strong_grams(bad, good)
+    prepared = toxic_samples(bad, strong)
     mixed = random.Random(0)
     of_toxic = prepared * 8
     mixed.shuffle(of_toxic)
-    of_good = [b" " + b" ".join(sorted(own)) + b" " for own in good]
+    marked = {w for w in held if not _grams(w).isdisjoint(strong)}
+    of_good = [b" " + b" ".join(sorted(own - marked)) + b" " for own in good]
     mixed.shuffle(of_good)
     model = Model(_trained(of_toxic, TOXIC_BYTES), _trained(of_good, ORDINARY_BYTES))
     x = np.array([features(savings(model, t)) for t in [*toxic, *ordinary]])

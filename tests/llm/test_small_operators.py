@@ -198,3 +198,20 @@ def test_training_ignores_held_out_labels(llm):
     docs = llm.createDataFrame([(i, "some words here") for i in ids], "doc_id bigint, text string")
     labels = llm.createDataFrame([(i, 1, i % 2) for i in ids], "doc_id bigint, quality int, toxic int")
     assert toxicity.train(docs, labels) == toxicity.Model()
+
+
+def test_toxic_words_that_some_ordinary_documents_hold():
+    draw = random.Random(11)
+    syllables = ["an", "the", "or", "tion", "es", "in", "ly", "re", "st", "on"]
+    marks = ["wretched", "vermin", "despicable", "lowlife"]
+
+    def text(bad):
+        own = ["".join(draw.choices(syllables, k=draw.randrange(1, 5))) for _ in range(60)]
+        return " ".join([*own, *(draw.choices(marks, k=6) if bad else [])])
+
+    toxic, ordinary = ([text(bad) for _ in range(n)] for bad, n in ((True, 150), (False, 750)))
+    quoted = [text(False) + " " + " ".join(marks) for _ in range(6)]
+    model = toxicity.fit(toxic, ordinary + quoted)
+    assert all(m.encode() in model.toxic and m.encode() not in model.ordinary for m in marks)
+    assert sum(toxicity.score(model, text(True)) >= 0.5 for _ in range(100)) >= 95
+    assert sum(toxicity.score(model, text(False)) >= 0.5 for _ in range(100)) <= 5

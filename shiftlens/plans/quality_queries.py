@@ -354,3 +354,41 @@ def register() -> None:
           SELECT 'additivity', 'target', 'error', gap FROM g WHERE gap > 1e-12""",
         (OBS_SQL, SHAP_SQL),
     )
+    # the same checks over whole cohorts; those above are of a handful of rows and of nobody
+    late_and_early = sizes_sql(target=LATE, base=EARLY)
+    add(
+        "summary_findings_late",
+        "Q1 Q13 O5",
+        SPEC,
+        lambda s, d: N.summary_findings(
+            obs(s, d).withColumn("risk_score", F.col("p") * F.signum("bill_amt_6")), LATE, EARLY
+        ),
+        f"""{late_and_early} UNION ALL SELECT 'score_missing', 'risk_score', 'error', count(*)
+          FROM v WHERE {LATE} AND bill_amt_6 IS NULL HAVING count(*) > 0""",
+    )
+    add(
+        "quality_findings_all",
+        "Q1 Q8 O15",
+        SPEC,
+        lambda s, d: N.quality_findings(obs(s, d)),
+        f"""{sizes_sql(target="TRUE")} UNION ALL SELECT 'undefined_code', 'education', 'warn', count(*) FROM v
+          WHERE NOT coalesce(education IN (1,2,3,4), FALSE) HAVING count(*) > 0
+        UNION ALL SELECT 'undefined_code', 'marriage', 'warn', count(*) FROM v
+          WHERE NOT coalesce(marriage IN (1,2,3), FALSE) HAVING count(*) > 0""",
+    )
+    add(
+        "attribution_findings_late",
+        "Q1 Q15 O12",
+        SPEC,
+        lambda s, d: N.attribution_findings(attributions(obs(s, d)), obs(s, d), LATE, EARLY, 1e-12),
+        f"""WITH per AS (SELECT user_id, sum(shap_value) AS total FROM shap GROUP BY 1),
+          u AS (SELECT v.*, total, ln(greatest(least(risk_score, 1-1e-6), 1e-6)
+            /(1-greatest(least(risk_score, 1-1e-6), 1e-6))) AS odds FROM v LEFT JOIN per USING (user_id)),
+          g AS (SELECT avg(odds - total) AS rest, avg(odds) FILTER ({LATE}) AS ot, avg(total) FILTER ({LATE}) AS tt,
+            avg(odds) FILTER ({EARLY}) AS ob, avg(total) FILTER ({EARLY}) AS tb FROM u)
+        SELECT * FROM ({late_and_early}) UNION ALL
+          SELECT 'additivity', side, 'error', gap FROM
+            (SELECT 'target' AS side, abs(ot - rest - tt) AS gap FROM g
+             UNION ALL SELECT 'base', abs(ob - rest - tb) FROM g) WHERE gap > 1e-12""",
+        (OBS_SQL, SHAP_SQL),
+    )

@@ -63,6 +63,15 @@ def test_matches_oracle(spark, oracle, name):
     assert plain(got) == plain(want)
 
 
+@pytest.mark.parametrize(
+    "name", ["summary_findings_late", "quality_findings_all", "attribution_findings_late"]
+)
+def test_findings_of_whole_cohorts(spark, oracle, name):
+    got = entry.queries()[name](spark, FOLDER).toPandas()
+    assert plain(got) == plain(oracle.execute(entry.oracle_sql()[name]).df())
+    assert len(got) > 0 and not (got.check_name == "empty_base").any()
+
+
 def test_entry_and_names(spark):
     assert entry.entry(spark).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())

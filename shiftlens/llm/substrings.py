@@ -1,4 +1,4 @@
-"""Passages repeated across documents, by relative Lempel-Ziv parsing against indexed blocks.
+"""Passages repeated across documents, by hashes of windows in content-cut blocks.
 
 Words are runs of characters that are not white space. Every document is cut into reference blocks
 at places that its own words choose: a block is the longest stretch of windows of ``WINDOW`` words
@@ -6,10 +6,9 @@ that share the smallest hash of ``GRAM`` words, its anchor. Equal passages are c
 they stand, so a passage of an earlier document can only lie in blocks of the same anchor.
 
 The index holds, for every anchor, the earliest document and whether all its blocks are the same
-text. A document is parsed greedily against it: a whole block that an earlier document has extends
-the factor at once; where a factor begins or ends inside a block, that is where blocks of one anchor
-differ, the windows of those blocks are indexed and compared one by one. Factors of at least
-``WINDOW`` words are duplicate spans. Documents are compared by id: only a smaller id counts as
+text. A whole block that an earlier document has is a duplicate span at once; where blocks of one
+anchor differ, their windows are indexed and compared one by one. No text is parsed into factors:
+spans are unions of repeated windows. Documents are compared by id: only a smaller id counts as
 earlier, and windows are judged on the input.
 
 Null and empty texts have no words. Texts of fewer than ``WINDOW`` words keep them all. Rows with a
@@ -171,7 +170,7 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def kept_words(text: str | None, spans: list[dict] | None) -> tuple[list[bytes], list[bytes]]:
-    """All words, and those outside the factors that the spans of windows make."""
+    """All words, and those outside the spans of windows."""
     words = (text or "").encode().split()
     kept, at = [], 0
     for span in sorted(spans or [], key=lambda s: s["start"]):

@@ -10,6 +10,7 @@ from shiftlens.llm import (
     bpe,
     decontaminate,
     exact_topk,
+    line_dedup,
     ngram_join,
     pii,
     secret_scan,
@@ -122,6 +123,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.without_repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("doc").alias("doc_id"), "n_lines", "n_dropped", sha(F.col("kept")).alias("kept_sha256")
+    )
+
+
 RUNNERS: dict[str, Runner] = {
     f.__name__: f
     for f in (
@@ -135,6 +143,7 @@ RUNNERS: dict[str, Runner] = {
         op8_url_filter,
         op9_exact_topk,
         op10_token_counts,
+        op11_line_dedup,
     )
 }
 

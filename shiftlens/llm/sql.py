@@ -99,10 +99,26 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+# op11: every line with its key, the documents of each
+LINE_DEDUP = r"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT n, doc_id, line, i, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k
+    FROM (SELECT n, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d)),
+r AS (SELECT k, max(doc_id) AS last FROM l WHERE length(k) >= 20 AND doc_id IS NOT NULL
+    GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+x AS (SELECT l.n, l.line, l.i, coalesce(l.doc_id < r.last, false) AS gone FROM l LEFT JOIN r ON l.k = r.k),
+o AS (SELECT n, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept FROM x GROUP BY n)
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS n_dropped, sha256(kept) AS kept_sha256
+FROM d JOIN o USING (n)
+"""
+
 ORACLES = {
     "op1_decontaminate": DECONTAMINATE,
     "op3_substrings": SUBSTRINGS,
     "op7_ngram_join": NGRAM_JOIN,
     "op8_url_filter": URL_FILTER,
     "op9_exact_topk": EXACT_TOPK,
+    "op11_line_dedup": LINE_DEDUP,
 }

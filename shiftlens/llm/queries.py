@@ -10,6 +10,7 @@ from shiftlens.llm import (
     bpe,
     decontaminate,
     exact_topk,
+    hard_negatives,
     line_dedup,
     ngram_join,
     pii,
@@ -19,6 +20,7 @@ from shiftlens.llm import (
     token_counts,
     toxicity,
     url_filter,
+    whitening,
 )
 from shiftlens.llm.common import sha, table
 
@@ -130,6 +132,18 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings")
+    rows = hard_negatives.stored(vectors, F.col("vec_id"), label, F.col("embedding"))
+    return hard_negatives.mined(rows, F.col("id") % 100 == 0)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whole(table(spark, sf_dir, "embeddings"))
+    return whitening.whitened(rows, whitening.refined(rows)).withColumnRenamed("id", "vec_id")
+
+
 RUNNERS: dict[str, Runner] = {
     f.__name__: f
     for f in (
@@ -144,6 +158,8 @@ RUNNERS: dict[str, Runner] = {
         op9_exact_topk,
         op10_token_counts,
         op11_line_dedup,
+        op12_hard_negatives,
+        op13_whitening,
     )
 }
 

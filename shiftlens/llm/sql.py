@@ -114,6 +114,25 @@ SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS
 FROM d JOIN o USING (n)
 """
 
+# op12: every anchor against every row
+HARD_NEGATIVES = r"""
+WITH v AS (SELECT row_number() OVER () AS n, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+      list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS ints FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.n, a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id,
+      CAST(list_sum(list_transform(list_zip(a.ints, c.ints), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM v a JOIN v c ON a.n <> c.n WHERE a.vec_id % 100 = 0),
+p AS (SELECT n, vec_id AS positive_id, score AS positive_score,
+      row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS place FROM s WHERE same),
+r AS (SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+      row_number() OVER (PARTITION BY s.n, place ORDER BY score DESC, vec_id) AS rank
+    FROM s JOIN p ON s.n = p.n WHERE NOT same AND place <= 5
+      AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM r WHERE rank <= 10
+"""
+
 ORACLES = {
     "op1_decontaminate": DECONTAMINATE,
     "op3_substrings": SUBSTRINGS,
@@ -121,4 +140,5 @@ ORACLES = {
     "op8_url_filter": URL_FILTER,
     "op9_exact_topk": EXACT_TOPK,
     "op11_line_dedup": LINE_DEDUP,
+    "op12_hard_negatives": HARD_NEGATIVES,
 }

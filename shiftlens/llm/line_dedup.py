@@ -48,6 +48,8 @@ SMALLEST, LARGEST = 20, 28
 FOLDS = 3
 #: Of the folded filter, the most that goes to the tasks at once.
 FILTER_BYTES = 64 << 20
+#: Documents whose lines are cut at a time.
+DOCS = 512
 #: Hashes that a task gathers before it hands over its slots.
 FLUSH = 1 << 22
 
@@ -95,8 +97,9 @@ def _lines(texts: pa.Array, least: int) -> tuple[np.ndarray, pa.Array, np.ndarra
     return places[first], keys.take(pa.array(first)), hashes[first]
 
 
-def _whole(column: pa.ChunkedArray | pa.Array) -> pa.Array:
-    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from (batch.slice(at, DOCS) for at in range(0, len(batch), DOCS))
 
 
 def twice_seen(docs: DataFrame, layout: Layout, least: int = LEAST) -> DataFrame:
@@ -118,8 +121,8 @@ def twice_seen(docs: DataFrame, layout: Layout, least: int = LEAST) -> DataFrame
             )
 
         held, size = [], 0
-        for batch in batches:
-            held.append(_lines(_whole(batch.column("text")), least)[2])
+        for batch in _few(batches):
+            held.append(_lines(batch.column("text"), least)[2])
             size += len(held[-1])
             if size >= FLUSH:
                 yield handed_over(held)
@@ -153,8 +156,8 @@ def _suspects(docs: DataFrame, layout: Layout, filters: DataFrame, first: int, l
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            places, keys, hashes = _lines(_whole(batch.column("text")), least)
+        for batch in _few(batches):
+            places, keys, hashes = _lines(batch.column("text"), least)
             segments = layout.segment(hashes).astype(np.int64) - first
             inside = (segments >= 0) & (segments < len(held) // size)
             at = np.where(inside, segments, 0) * layout.folded

@@ -50,9 +50,11 @@ def whole(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") ->
     """``id, x``: usable rows with their whole entries."""
     scaled = F.transform(F.col(vector), lambda c: SCALE * c.cast("double"))
     rows = vectors.select(F.col(key).alias("id"), scaled.alias("x"))
-    # comparisons with NaN: it is greater than any number
-    usable = F.forall("x", lambda c: c.isNotNull() & (F.abs(c) < float(1 << 62)))
-    shifted = F.transform("x", lambda c: F.floor(c) + F.lit(SHIFT).cast("bigint"))
+    # NaN compares as greater than any number
+    fits = lambda c: c.isNotNull() & (F.abs(c) < float(1 << 62))
+    usable = F.forall("x", fits)
+    # a plan may take the entries before it drops rows, so this must not overflow on any
+    shifted = F.transform("x", lambda c: F.floor(F.when(fits(c), c)) + F.lit(SHIFT).cast("bigint"))
     return rows.where(F.coalesce(usable, F.lit(False))).select("id", shifted.alias("x"))
 
 

@@ -19,7 +19,8 @@ def tokens(text: Column) -> Column:
         )
         return F.when(run.rlike(r"^\p{IsHan}"), pairs).otherwise(F.array(run))
 
-    return F.flatten(F.transform(runs, expand))
+    # most texts hold no Han character, and their runs are the tokens
+    return F.when(text.rlike(r"\p{IsHan}"), F.flatten(F.transform(runs, expand))).otherwise(runs)
 
 
 # all that counts as white space, also outside ASCII

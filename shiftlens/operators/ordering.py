@@ -108,6 +108,17 @@ def global_rank(
     )
 
 
+def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Rows with their number from 0 in the order of ``by``, which should tell all rows apart."""
+    cut = _cut_up(df, [F.col(c).asc() for c in by])
+    place = F.row_number().over(Window.partitionBy("__cut").orderBy(*by))
+    before = _before(cut.select("__cut", F.lit(1).alias("__n")), [], ["__n"])
+    placed = null_safe_join(cut.withColumn("__place", place), before, ["__cut"])
+    return placed.select(
+        (F.col("____n_off") + F.col("__place") - 1).cast("bigint").alias(name), *df.columns
+    )
+
+
 def exact_quantiles(
     counts: DataFrame,
     value: str,

@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 
 from shiftlens.functions.text import strip
 from shiftlens.functions.vectors import dot, unit
-from shiftlens.operators.ordering import global_rank, position
-from shiftlens.sources.tables import spread, stored
+from shiftlens.operators.ordering import global_rank
+from shiftlens.sources.tables import stored
 
 # Parameters of the ranking functions and the name of the part before any heading.
 RRF_K = 60
@@ -26,7 +26,7 @@ DEFAULT_TOP_K = 4
 SCORE_DECIMALS = 9
 NO_VECTOR = -2.0
 QUERY_BLOCK = 512  # queries handed to a task at a time
-SALTS = 32
+SALTED = 10_000  # chunks that meet a block of queries in one task
 
 
 def split_sections(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
@@ -78,6 +78,11 @@ def term_weights(indexed: DataFrame) -> DataFrame:
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
     )
+    return weights(df, chunks)
+
+
+def weights(df: DataFrame, chunks: Column) -> DataFrame:
+    """``term, idf`` from ``term, df`` and the number of chunks."""
     raw = df.select(
         "term", (F.log(chunks - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")
     )
@@ -89,19 +94,18 @@ def bm25(indexed: DataFrame, queries: DataFrame) -> DataFrame:
     """``query_id, chunk_id, sparse`` for pairs that share a term.
 
     ``indexed`` is ``chunk_id, terms`` and ``queries`` is ``query_id, terms``; a term repeated in a
-    query counts repeatedly. Term frequencies are combined per chunk before any exchange, and the
-    join on terms is salted, as a few terms occur in nearly every chunk.
+    query counts repeatedly. Term frequencies are combined per chunk before any exchange. The join
+    has a row for each query that asks for a term: few queries travel to the chunks, and of many the large
+    terms are split by adaptive execution.
     """
-    asked = (
+    held = indexed.select(F.explode(F.array_distinct("terms")).alias("term"))
+    df = stored(held.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    asked = stored(
         queries.select("query_id", F.explode("terms").alias("term"))
         .groupBy("query_id", "term")
         .agg(F.count(F.lit(1)).alias("times"))
-    )
-    wanted = (
-        asked.join(term_weights(indexed), "term")
-        .groupBy("term", "idf")
-        .agg(F.collect_list(F.struct("query_id", "times")).alias("asked"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        .join(weights(df, _sizes(indexed)["n"]), "term")
+        .select("query_id", "term", (F.col("idf") * F.col("times")).alias("weight"))
     )
     mean_length = _sizes(indexed)["length"]
     counted = (
@@ -111,15 +115,12 @@ def bm25(indexed: DataFrame, queries: DataFrame) -> DataFrame:
         .join(asked.select("term").distinct(), "term", "left_semi")
         .groupBy("chunk_id", "length", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
-        .withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int"))
     )
     tf = F.col("tf").cast("double")
     slack = F.lit(BM25_K1) * (1 - BM25_B + BM25_B * F.col("length") / mean_length)
-    weight = F.col("idf") * tf * (BM25_K1 + 1) / (tf + slack)
-    pairs = counted.join(wanted, ["term", "salt"]).select(
-        "chunk_id", weight.alias("w"), F.inline("asked")
-    )
-    score = F.round(F.sum(F.col("w") * F.col("times")), SCORE_DECIMALS)
+    gain = F.col("weight") * tf * (BM25_K1 + 1) / (tf + slack)
+    pairs = counted.join(asked, "term").select("query_id", "chunk_id", gain.alias("w"))
+    score = F.round(F.sum("w"), SCORE_DECIMALS)
     return pairs.groupBy("query_id", "chunk_id").agg(score.alias("sparse"))
 
 
@@ -127,22 +128,23 @@ def _meet(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """Each chunk row with every query as ``q`` — the query side in blocks of checked size.
 
     One block travels as a single value with the plan. More blocks are joined by block number and
-    salt, so that neither side is ever held whole.
+    salt, of which there is one for every ``SALTED`` chunks, so that neither side is ever held whole.
     """
     packed = F.struct(*queries.columns)
     blocks = math.ceil(queries.count() / QUERY_BLOCK)
     if blocks <= 1:
         held = queries.agg(F.collect_list(packed)).scalar()
         return chunks.select("*", F.explode(held).alias("q"))
+    salts = max(1, math.ceil(chunks.count() / SALTED))
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
     groups = (
         queries.groupBy(block.alias("__block"))
         .agg(F.collect_list(packed).alias("__qs"))
-        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     spread = chunks.withColumn(
         "__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    ).withColumn("__salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int"))
+    ).withColumn("__salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
     met = spread.join(groups, ["__block", "__salt"])
     return met.select(*chunks.columns, F.explode("__qs").alias("q"))
 
@@ -177,30 +179,9 @@ def all_pairs(chunks: DataFrame, queries: DataFrame) -> DataFrame:
 
     ``chunks`` is ``chunk_id, terms, vec`` and ``queries`` is ``query_id, terms, vec``.
     """
-    return _scored(_prepared(chunks, queries), queries)
-
-
-def _prepared(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Chunks with their unit vector and their sparse scores as a map by query."""
-    found = (
-        bm25(chunks.select("chunk_id", "terms"), queries.select("query_id", "terms"))
-        .groupBy("chunk_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("query_id", "sparse"))).alias("found"))
-    )
-    units = chunks.select("chunk_id", unit(F.col("vec")).alias("vec"))
-    return units.join(found, "chunk_id", "left")
-
-
-def _scored(prepared: DataFrame, queries: DataFrame, *carry: str) -> DataFrame:
-    right = queries.select("query_id", unit(F.col("vec")).alias("vec"), *carry)
-    shared = F.try_element_at(F.col("found"), F.col("q.query_id"))
-    return _meet(prepared, right).select(
-        F.col("q.query_id").alias("query_id"),
-        "chunk_id",
-        _similarity(F.col("vec"), F.col("q.vec")).alias("dense"),
-        F.coalesce(shared, F.lit(0.0)).alias("sparse"),
-        *[F.col(f"q.{c}").alias(c) for c in carry],
-    )
+    shared = bm25(chunks.select("chunk_id", "terms"), queries.select("query_id", "terms"))
+    pairs = dense(chunks, queries).join(shared, ["query_id", "chunk_id"], "left")
+    return pairs.withColumn("sparse", F.coalesce("sparse", F.lit(0.0)))
 
 
 def sparse_ranks(chunks: DataFrame, queries: DataFrame) -> DataFrame:
@@ -228,79 +209,3 @@ def candidate_depth(top_k: int) -> int:
     at most 2/(61+N). With N = 60+2k the second is smaller, so such chunks cannot enter the top k.
     """
     return RRF_K + 2 * top_k
-
-
-def _listed(name: str) -> Column:
-    """A list's marks with their place in it."""
-    return F.transform(
-        f"{name}_marks",
-        lambda m, i: F.struct(
-            F.lit(name).alias("list"), (i + 1).alias("place"), m["c"].alias("chunk_id")
-        ),
-    )
-
-
-def hybrid_search(chunks: DataFrame, queries: DataFrame, top_k: int = DEFAULT_TOP_K) -> DataFrame:
-    """``query_id, hit_rank, chunk_id, score``: the exact fused top-k of every query.
-
-    Both lists rank all chunks, but only chunks near the top of one list can win. Their exact
-    ranks come from counting how many pairs fall between them: one pass with counts combined
-    before the exchange, and no full sort.
-    """
-    prepared = spread(stored(_prepared(chunks, queries)))
-    pairs = _scored(prepared, queries)
-    depth = candidate_depth(top_k)
-
-    def best(score: str) -> DataFrame:
-        # the limit is applied per task before the exchange
-        order = Window.partitionBy("query_id").orderBy(F.desc(score), "chunk_id")
-        return pairs.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= depth)
-
-    # at most 2·depth rows per query from here on
-    candidates = best("dense").unionByName(best("sparse")).drop("__r").distinct()
-
-    def key(score: str) -> Column:
-        return F.struct((-F.col(score)).alias("s"), F.col("chunk_id").alias("c"))
-
-    marks = candidates.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(key("dense"))).alias("dense_marks"),
-        F.array_sort(F.collect_list(key("sparse"))).alias("sparse_marks"),
-    )
-    marked = stored(queries.select("query_id", "vec").join(marks, "query_id"))
-    places = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("list"),
-                position(key(name), F.col(f"{name}_marks"), 2 * depth).alias("place"),
-            )
-            for name in ("dense", "sparse")
-        ]
-    )
-    counts = (
-        _scored(prepared, marked, "dense_marks", "sparse_marks")
-        .select("query_id", F.inline(places))
-        .groupBy("query_id", "list", "place")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    upto = Window.partitionBy("query_id", "list").orderBy("place")
-    seen = counts.select(
-        "query_id", "list", "place", F.sum("n").over(upto).alias("upto"), F.col("n")
-    )
-    # place p holds the p-th mark first, so the mark's rank is what came before this place, plus 1
-    ranks = seen.where("place > 0").select(
-        "query_id", "list", "place", (F.col("upto") - F.col("n") + 1).alias("rank")
-    )
-    listed = marked.select(
-        "query_id", F.inline(F.concat(_listed("dense"), _listed("sparse")))
-    )
-    fused = (
-        listed.join(ranks, ["query_id", "list", "place"])
-        .groupBy("query_id", "chunk_id")
-        .agg(F.sum(F.lit(1.0) / (F.col("rank") + RRF_K)).alias("fused"))
-    )
-    order = Window.partitionBy("query_id").orderBy(F.desc("fused"), "chunk_id")
-    return (
-        fused.withColumn("hit_rank", F.row_number().over(order))
-        .where(F.col("hit_rank") <= top_k)
-        .select("query_id", "hit_rank", "chunk_id", F.round("fused", 4).alias("score"))
-    )

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shiftlens.functions.text import tokens
-from shiftlens.operators import retrieval as R
+from shiftlens.operators import retrieval as R, search_index as I, vector_index as V
 from shiftlens.plans.binding import table
 from shiftlens.plans.registry import add
 from shiftlens.session import shared_folder
-from shiftlens.sources.corpus import build_index
+from shiftlens.sources.corpus import search_sections, write_section_index
 from shiftlens.sources.tables import spread, stored
 
 TOP_K = 4
@@ -160,15 +160,40 @@ def _fused(spark: SparkSession, folder: str) -> DataFrame:
     return R.fuse(lists)
 
 
-def _index_counts(spark: SparkSession, folder: str) -> DataFrame:
+def _section_index(spark: SparkSession, folder: str) -> str:
+    """The folder of a written index; a section has the vector of its document."""
+    held = table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("doc"), F.col("embedding").alias("vec")
+    )
     path = shared_folder(spark)
-    build_index(markdown(spark, folder), path)
-    kept = spark.read.parquet(path)
-    return kept.groupBy("doc").agg(
-        F.count(F.lit(1)).alias("n_sections"), F.sum(F.size("terms")).alias("n_terms")
+    write_section_index(markdown(spark, folder), held, path)
+    return path
+
+
+def _index_counts(spark: SparkSession, folder: str) -> DataFrame:
+    path = _section_index(spark, folder)
+    kept = spark.read.parquet(f"{path}/sections").select("chunk_id", "doc")
+    placed = spark.read.parquet(f"{path}/chunks").select("chunk_id", "length", "has_vector")
+    return kept.join(placed, "chunk_id").groupBy("doc").agg(
+        F.count(F.lit(1)).alias("n_sections"),
+        F.sum("length").alias("n_terms"),
+        F.count_if("has_vector").alias("n_vectors"),
     )
 
 
+DEPTH = R.candidate_depth(TOP_K)
+# sections as chunks: numbered by document and part, each with its document's vector
+SECTION_SQL = (
+    _sections_sql(MARKDOWN_SQL),
+    "ns AS (SELECT row_number() OVER (ORDER BY doc, part) - 1 AS c, * FROM sections)",
+    f"dt AS (SELECT c, {_tokens_sql('text')} AS ts FROM ns)",
+    BM25_SQL,
+    DENSE_SQL.replace("de AS (", "dd AS ("),
+    "de AS (SELECT q, ns.c, dense FROM dd JOIN ns ON dd.c = ns.doc)",
+    RANKED_SQL,
+)
+
+
 def register() -> None:
     for name, frame, sql in (
         ("documents", markdown, MARKDOWN_SQL),
@@ -185,12 +210,22 @@ def register() -> None:
     add(
         "section_index",
         "S7 T1 T2",
-        "doc:i, n_sections:i, n_terms:i",
+        "doc:i, n_sections:i, n_terms:i, n_vectors:i",
         _index_counts,
-        f"""SELECT doc, count(*) AS n_sections, sum(len({_tokens_sql("text")})) AS n_terms
-        FROM sections GROUP BY 1""",
+        f"""SELECT doc, count(*) AS n_sections, sum(len({_tokens_sql("text")})) AS n_terms,
+          count(vec_id) AS n_vectors FROM sections LEFT JOIN embeddings ON vec_id = doc GROUP BY 1""",
         (_sections_sql(MARKDOWN_SQL),),
     )
+    add(
+        "section_search",
+        "S7 T7 L4",
+        "query_id:i, hit_rank:i, doc:i, section, text, score:4",
+        lambda s, d: search_sections(s, _section_index(s, d), queries(s, d), TOP_K),
+        f"""SELECT query_id, hit_rank, doc, section, text, score FROM (SELECT q AS query_id,
+          row_number() OVER (PARTITION BY q ORDER BY f DESC, c) AS hit_rank, c, f AS score FROM fused)
+        JOIN ns USING (c) WHERE hit_rank <= {TOP_K}""",
+        SECTION_SQL,
+    )
     add(
         "document_terms",
         "T2",
@@ -211,8 +246,13 @@ def register() -> None:
         "T5",
         "term, idf:6",
         lambda s, d: R.term_weights(all_documents(s, d)),
-        "SELECT t AS term, w AS idf FROM idf",
-        (DOC_TERMS, BM25_SQL),
+        "SELECT t AS term, CASE WHEN w < 0 THEN 0.25 * avg(w) OVER () ELSE w END AS idf FROM raw",
+        (
+            DOC_TERMS,
+            "held AS (SELECT unnest(list_distinct(ts)) AS t FROM dt)",
+            """raw AS (SELECT t, ln((SELECT count(*) FROM dt) - count(*) + 0.5) - ln(count(*) + 0.5) AS w
+              FROM held GROUP BY t)""",
+        ),
     )
     add(
         "bm25_scores",
@@ -240,6 +280,25 @@ def register() -> None:
           row_number() OVER (PARTITION BY q ORDER BY dense DESC, c) AS dense_rank FROM de""",
         (DENSE_SQL,),
     )
+    add(
+        "dense_first",
+        "T4 T7",
+        "query_id:i, chunk_id:i, dense:6, dense_rank:i",
+        lambda s, d: V.nearest(V.blocks(vectors(s, d)), queries(s, d), DEPTH),
+        f"""SELECT * FROM (SELECT q AS query_id, c AS chunk_id, dense,
+          row_number() OVER (PARTITION BY q ORDER BY dense DESC, c) AS dense_rank FROM de)
+        WHERE dense_rank <= {DEPTH}""",
+        (DENSE_SQL,),
+    )
+    add(
+        "sparse_first",
+        "T5 T7",
+        "query_id:i, chunk_id:i, sparse:6, sparse_rank:i",
+        lambda s, d: I.sparse_first(I.build(chunks(s, d)), queries(s, d), DEPTH)[0],
+        f"""SELECT q AS query_id, c AS chunk_id, sparse, sr AS sparse_rank FROM ranked
+        WHERE sr <= {DEPTH}""",
+        everything,
+    )
     add(
         "sparse_ranks",
         "W2 T5",
@@ -260,7 +319,7 @@ def register() -> None:
         "hybrid_search",
         "T7 L4",
         "query_id:i, hit_rank:i, chunk_id:i, score:4",
-        lambda s, d: R.hybrid_search(chunks(s, d), queries(s, d), TOP_K),
+        lambda s, d: I.hybrid_search(chunks(s, d), queries(s, d), TOP_K),
         f"""SELECT * FROM (SELECT q AS query_id, row_number() OVER (PARTITION BY q
           ORDER BY f DESC, c) AS hit_rank, c AS chunk_id, f AS score FROM fused)
         WHERE hit_rank <= {TOP_K}""",

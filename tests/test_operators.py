@@ -23,6 +23,8 @@ from shiftlens.operators import (
     retrieval as R,
     runs as U,
     scoring as S,
+    search_index as I,
+    vector_index as V,
 )
 from shiftlens.operators.significance import two_proportion_p
 from shiftlens.sources import corpus, tables as T
@@ -293,7 +295,10 @@ def brute_search(chunks, queries, k):
 
 @pytest.mark.parametrize("block", [512, 2])
 def test_hybrid_search_is_exact(spark, monkeypatch, block):
-    monkeypatch.setattr(R, "QUERY_BLOCK", block)
+    monkeypatch.setattr(V, "QUERIES", block)
+    monkeypatch.setattr(V, "PACK", block)
+    monkeypatch.setattr(V, "BLOCK", 8 * block)
+    monkeypatch.setattr(I, "BUNCH", block)
     rnd = random.Random(5)
     vocab = ["the"] * 20 + [f"w{i}" for i in range(60)]
     chunks = [
@@ -303,7 +308,7 @@ def test_hybrid_search_is_exact(spark, monkeypatch, block):
     # a third of all chunks are copies of one
     chunks += [(400 + i, chunks[0][1], chunks[0][2]) for i in range(200)]
     queries = [(q, [rnd.choice(vocab) for _ in range(5)], [rnd.gauss(0, 1) for _ in range(4)]) for q in range(5)]
-    got = R.hybrid_search(
+    got = I.hybrid_search(
         spark.createDataFrame(chunks, "chunk_id bigint, terms array<string>, vec array<double>"),
         spark.createDataFrame(queries, "query_id bigint, terms array<string>, vec array<double>"),
         3,

@@ -1,41 +1,18 @@
-"""Features, stratified split, boosted-tree scores and their attributions as batch jobs."""
+"""Features, stratified split and the metrics record as batch jobs; ``boosting`` trains on them."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from math import factorial
-
-import numpy as np
-import pandas as pd
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from shiftlens.catalog import (
-    FEATURES,
-    RAW_FEATURES,
-    REPAY_RATIO_CAP,
-    STATUS_COLUMNS,
-    worst_status,
-)
+from shiftlens.catalog import RAW_FEATURES, REPAY_RATIO_CAP, STATUS_COLUMNS, worst_status
 from shiftlens.functions.numeric import ratio, uniform_draw
-from shiftlens.operators.monitor import auc_ks, risk_level
+from shiftlens.operators.monitor import auc_ks
 from shiftlens.operators.ordering import null_safe_join
-from shiftlens.sources.tables import stored
 
-# Training parameters and split share.
-MAX_TREES = 400
-LEARNING_RATE = 0.03
-MAX_DEPTH = 4
-MIN_ROWS = 5
-ROW_SHARE = 0.8
-FEATURE_SHARE = "0.8"
-SEED = 42
+# Fixed value: split share.
 HOLDOUT = 0.2
 
-MISSING = -1e9  # below every real value, so a split can set the missing rows apart
 SPLIT_SALT = 11
 SPLIT_CUTS = 4096
 
@@ -118,59 +95,7 @@ def stratified_split(
     )
 
 
-def assemble(features: DataFrame, names: list[str] = FEATURES) -> DataFrame:
-    filled = features.withColumns(
-        {f"__f_{c}": F.coalesce(F.col(c).cast("double"), F.lit(MISSING)) for c in names}
-    )
-    vectors = VectorAssembler(inputCols=[f"__f_{c}" for c in names], outputCol="features")
-    return vectors.transform(filled).drop(*[f"__f_{c}" for c in names])
-
-
-def train(
-    features: DataFrame,
-    names: list[str] = FEATURES,
-    label: str = "is_bad",
-    max_trees: int = MAX_TREES,
-) -> GBTClassificationModel:
-    """Boosted trees on the training split; stops once the validation loss no longer falls.
-
-    Every tree reads the assembled rows again, so these are stored first.
-    """
-    rows = assemble(features.where("dataset <> 'test'"), names).select(
-        "features",
-        F.col(label).cast("double").alias(label),
-        (F.col("dataset") == "valid").alias("is_valid"),
-    )
-    return GBTClassifier(
-        labelCol=label,
-        maxIter=max_trees,
-        stepSize=LEARNING_RATE,
-        maxDepth=MAX_DEPTH,
-        minInstancesPerNode=MIN_ROWS,
-        subsamplingRate=ROW_SHARE,
-        featureSubsetStrategy=FEATURE_SHARE,
-        validationIndicatorCol="is_valid",
-        validationTol=0.0,
-        seed=SEED,
-    ).fit(stored(rows))
-
-
-def score(
-    model: GBTClassificationModel, features: DataFrame, names: list[str] = FEATURES
-) -> DataFrame:
-    """``user_id, score, risk_score, risk_level``: the band is set on the unrounded score."""
-    scored = model.transform(assemble(features, names))
-    probability = vector_to_array("probability")[1]
-    kept = [c for c in ("user_id", "dataset", "is_bad") if c in features.columns]
-    return scored.select(*kept, probability.alias("score")).select(
-        *kept,
-        "score",
-        F.round("score", 4).alias("risk_score"),
-        risk_level(F.col("score")).alias("risk_level"),
-    )
-
-
-def metrics_record(scored: DataFrame, n_trees: Column | int, n_features: int) -> DataFrame:
+def metrics_record(scored: DataFrame, best_iteration: Column | int, n_features: int) -> DataFrame:
     """One row of test AUC and KS, training AUC and split sizes, on unrounded scores."""
     per = auc_ks(scored, ["dataset"], score="score")
 
@@ -181,80 +106,7 @@ def metrics_record(scored: DataFrame, n_trees: Column | int, n_features: int) ->
         F.round(of("test", "auc"), 4).alias("test_auc"),
         F.round(of("test", "ks"), 4).alias("test_ks"),
         F.round(of("train", "auc"), 4).alias("train_auc"),
-        F.first(F.lit(n_trees)).alias("best_iteration"),
+        F.first(F.lit(best_iteration)).alias("best_iteration"),
         F.first(F.lit(n_features)).alias("n_features"),
         *[F.coalesce(of(s, "n"), F.lit(0)).alias(f"n_{s}") for s in ("train", "valid", "test")],
     )
-
-
-def _leaf_boxes(model: GBTClassificationModel) -> list[tuple[float, dict]]:
-    """Every leaf as (value, {feature: (low, high, share of rows that stay on its path)})."""
-    boxes = []
-
-    def walk(node, value_scale: float, box: dict) -> None:
-        if node.subtreeDepth() == 0:
-            boxes.append((node.prediction() * value_scale, dict(box)))
-            return
-        split = node.split()
-        feature, at = split.featureIndex(), split.threshold()
-        size = node.impurityStats().count()
-        for child, left in ((node.leftChild(), True), (node.rightChild(), False)):
-            low, high, share = box.get(feature, (-np.inf, np.inf, 1.0))
-            part = child.impurityStats().count() / size
-            bounds = (low, min(high, at)) if left else (max(low, at), high)
-            walk(child, value_scale, {**box, feature: (*bounds, share * part)})
-
-    for tree, weight in zip(model.trees, model.treeWeights):
-        # the model's probability is the logistic of twice its margin
-        walk(tree._call_java("rootNode"), 2.0 * weight, {})
-    return boxes
-
-
-def tree_attributions(
-    model: GBTClassificationModel,
-    features: DataFrame,
-    names: list[str] = FEATURES,
-    key: str = "user_id",
-) -> DataFrame:
-    """Wide ``key, <feature>…``: Shapley values of every row's log-odds under the trees' cover.
-
-    For one leaf the payout is a product over the features on its path: 1 or 0 where the feature
-    is known, the share of training rows where it is not. Its Shapley value follows from the
-    coefficients of a short polynomial. Rows are independent, so batches are enough; the leaves
-    (trees × 16 at most) travel with the task.
-    """
-    boxes = _leaf_boxes(model)
-
-    def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = batch[names].to_numpy(dtype="float64")
-            x[np.isnan(x)] = MISSING
-            out = np.zeros(x.shape)
-            for value, box in boxes:
-                used = list(box)
-                d = len(used)
-                kept = [
-                    ((x[:, f] > box[f][0]) & (x[:, f] <= box[f][1])).astype("float64")
-                    for f in used
-                ]
-                for j in range(d):
-                    poly = [np.ones(len(x))]
-                    for i in range(d):
-                        if i != j:
-                            z = box[used[i]][2]
-                            grown = [z * c for c in poly] + [np.zeros(len(x))]
-                            for n, c in enumerate(poly):
-                                grown[n + 1] = grown[n + 1] + c * kept[i]
-                            poly = grown
-                    mass = sum(
-                        c * (factorial(n) * factorial(d - n - 1) / factorial(d))
-                        for n, c in enumerate(poly)
-                    )
-                    out[:, used[j]] += value * mass * (kept[j] - box[used[j]][2])
-            yield pd.concat([batch[[key]], pd.DataFrame(out, columns=names)], axis=1)
-
-    schema = f"{key} bigint, " + ", ".join(f"`{c}` double" for c in names)
-    plain = features.select(
-        F.col(key).cast("bigint").alias(key), *[F.col(c).cast("double").alias(c) for c in names]
-    )
-    return plain.mapInPandas(attribute, schema)

@@ -7,7 +7,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from shiftlens.catalog import CHANNELS, CITY_TIERS, FEATURES, MONTHS
 from shiftlens.functions.numeric import logit, uniform_draw
-from shiftlens.operators import assignment, attribution as A, cohort as C, monitor as M, scoring as S
+from shiftlens.operators import (
+    assignment,
+    attribution as A,
+    boosting as B,
+    cohort as C,
+    monitor as M,
+    scoring as S,
+)
 from shiftlens.operators.ordering import exact_quantiles
 from shiftlens.plans.binding import OBS_SQL, SHAP_SQL, attributions, loans, observations as obs
 from shiftlens.plans.cohort_queries import EARLY, LATE, S1_B, S1_T
@@ -107,35 +114,44 @@ STORED = M.STORED_DECIMALS  # of risk_score
 def _boosted(spark, folder) -> tuple:
     features = S.build_features(loans(spark, folder), "user_id", "is_bad")
     rows = stored(S.stratified_split(features))
-    return S.train(rows), rows
+    return B.train(rows), rows
 
 
 def _boosted_metrics(spark, folder) -> DataFrame:
-    """Split sizes, and whether the record's AUC agrees with Spark's own over the stored scores."""
+    """Split sizes, what one feature alone tells, and what must hold of the record."""
     model, rows = _boosted(spark, folder)
-    scored = stored(S.score(model, rows))
+    scored = stored(B.score(model, rows))
     other = BinaryClassificationEvaluator(
         rawPredictionCol="score", labelCol="is_bad", metricName="areaUnderROC", numBins=0
     ).evaluate(scored.where("dataset = 'test'").withColumn("is_bad", F.col("is_bad").cast("double")))
-    record = S.metrics_record(scored, len(model.trees), len(FEATURES))
-    return record.select(
+    best = len(model.trees) - 1
+    patience, history = model.settings.patience, model.history
+    # no later tree is better, and growing ended when patience did
+    ended = len(history) == model.settings.max_trees or len(history) == best + 1 + patience
+    chosen = max(history) == history[best] and ended
+    record = S.metrics_record(scored, best, len(FEATURES))
+    status = M.auc_ks(rows.where("dataset = 'train'"), score="max_pay_status")
+    single = status.select(F.col("auc").alias("status_auc"))
+    return record.join(F.broadcast(single), F.lit(True)).select(
         "n_features",
         "n_train",
         "n_valid",
         "n_test",
+        "status_auc",
+        F.lit(patience).alias("patience"),
         (F.abs(F.col("test_auc") - other) <= 0.5e-4 + 1e-9).cast("string").alias("auc_agrees"),
-        F.col("best_iteration").between(1, S.MAX_TREES).cast("string").alias("trees_bounded"),
-        (F.col("train_auc") >= 0.5).cast("string").alias("fits_training_rows"),
+        (F.lit(chosen) & (F.col("best_iteration") == best)).cast("string").alias("best_iteration_holds"),
+        (F.col("train_auc") > F.col("status_auc")).cast("string").alias("beats_status"),
     )
 
 
 def _boosted_gap(spark, folder) -> DataFrame:
     """How far tree attributions are from adding up to the log-odds, over all rows."""
     model, rows = _boosted(spark, folder)
-    wide = S.tree_attributions(model, rows)
+    wide = B.tree_attributions(model, rows)
     total = sum((F.col(f"`{c}`") for c in FEATURES), F.lit(0.0))
     sums = wide.select("user_id", total.alias("total"))
-    odds = S.score(model, rows).select("user_id", logit(F.col("score")).alias("odds"))
+    odds = B.score(model, rows).select("user_id", logit(F.col("score")).alias("odds"))
     gap = F.col("odds") - F.col("total")
     return odds.join(sums, "user_id").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.max(gap) - F.min(gap), 6).alias("spread")
@@ -448,12 +464,20 @@ def register() -> None:
     add(
         "boosted_tree_metrics",
         "M7 M8 M10",
-        "n_features:i, n_train:i, n_valid:i, n_test:i, auc_agrees, trees_bounded, fits_training_rows",
+        "n_features:i, n_train:i, n_valid:i, n_test:i, status_auc:6, patience:i, auc_agrees, "
+        "best_iteration_holds, beats_status",
         _boosted_metrics,
         f"""SELECT {len(FEATURES)} AS n_features, count(*) FILTER (dataset = 'train') AS n_train,
           count(*) FILTER (dataset = 'valid') AS n_valid, count(*) FILTER (dataset = 'test') AS n_test,
-          'true' AS auc_agrees, 'true' AS trees_bounded, 'true' AS fits_training_rows FROM sp""",
-        (OBS_SQL, _split_sql()),
+          (SELECT auc FROM one) AS status_auc, 50 AS patience, 'true' AS auc_agrees,
+          'true' AS best_iteration_holds, 'true' AS beats_status FROM sp""",
+        (
+            OBS_SQL,
+            _split_sql(),
+            """trained AS (SELECT max_pay_status AS status, v.is_bad FROM v JOIN sp USING (user_id)
+              WHERE sp.dataset = 'train' AND max_pay_status IS NOT NULL)""",
+            f"one AS ({auc_sql('trained', 'status')})",
+        ),
     )
     add(
         "boosted_tree_attributions",

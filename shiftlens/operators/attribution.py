@@ -63,12 +63,16 @@ def global_importance(shap: DataFrame) -> DataFrame:
 
 
 def compare(
-    shap: DataFrame, view: DataFrame, target: str, base: str, top_k: int | None = 8
+    shap: DataFrame, view: DataFrame, target: str, base: str | None = None, top_k: int | None = 8
 ) -> DataFrame:
     """Mean attribution of both cohorts per feature, sorted by what raises the target most.
 
-    ``share_of_total`` is of the sum over all features, before the cut to ``top_k``.
+    ``total_diff``, of which ``share_of_total`` is a part, is the sum over all features, before the cut to
+    ``top_k``; ``n_base`` and ``n_target`` are the users with attributions. Without ``base`` this is the target's
+    ``importance``.
     """
+    if not (base and base.strip()):
+        return importance(shap, view, target, top_k)
     members = view.select(
         "user_id", member(base).alias("in_base"), member(target).alias("in_target")
     ).where("in_base OR in_target")
@@ -80,12 +84,18 @@ def compare(
 
     per = (
         sums.groupBy("feature")
-        .agg(mean("base").alias("mean_shap_base"), mean("target").alias("mean_shap_target"))
+        .agg(
+            F.count_if("in_base").alias("n_base"),
+            F.count_if("in_target").alias("n_target"),
+            mean("base").alias("mean_shap_base"),
+            mean("target").alias("mean_shap_target"),
+        )
         .where("mean_shap_base IS NOT NULL AND mean_shap_target IS NOT NULL")
         .withColumn("diff", F.col("mean_shap_target") - F.col("mean_shap_base"))
     )
     total = F.sum("diff").over(Window.partitionBy())
-    out = per.withColumn("share_of_total", ratio(F.col("diff"), total)).orderBy(
+    per = per.withColumn("total_diff", total)
+    out = per.withColumn("share_of_total", ratio(F.col("diff"), F.col("total_diff"))).orderBy(
         F.desc("diff"), "feature"
     )
     return out.limit(top_k) if top_k else out

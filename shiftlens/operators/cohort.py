@@ -35,6 +35,11 @@ def member(expression: str | None) -> Column:
     return F.coalesce(predicate(expression), F.lit(False))
 
 
+def compared(base: str | None) -> Column:
+    """Membership of the base; without one the target stands alone and nobody is in it."""
+    return member(base) if base and base.strip() else F.lit(False)
+
+
 def _dimension(dim: str | Column) -> Dimension:
     return dimension(dim) if isinstance(dim, str) else Dimension(lambda: dim, lambda: F.lit(0))
 
@@ -97,7 +102,7 @@ def _two_cohorts(view: DataFrame, dim: str | Column, target: str, base: str | No
         chosen.label().alias("segment"),
         chosen.rank().alias("seg_ord"),
         "is_bad",
-        member(base).alias("in_base"),
+        compared(base).alias("in_base"),
         member(target).alias("in_target"),
     ).where("in_base OR in_target")
     sides = []
@@ -115,12 +120,22 @@ def _two_cohorts(view: DataFrame, dim: str | Column, target: str, base: str | No
     return groups.where(F.col("all_target") > 0)
 
 
-def segment_compare(view: DataFrame, dim: str | Column, target: str, base: str | None) -> DataFrame:
-    """Mix and rate effect per segment.
+def segment_compare(
+    view: DataFrame, dim: str | Column, target: str, base: str | None = None
+) -> DataFrame:
+    """Mix and rate effect per segment; without ``base`` the target's profile.
 
     A segment that one cohort lacks counts 0 there. An empty base leaves its shares, rates and
     effects null; an empty target gives no rows.
     """
+    if not (base and base.strip()):
+        return segment_profile(view, dim, target)
+    return _segment_effects(view, dim, target, base)
+
+
+def _segment_effects(
+    view: DataFrame, dim: str | Column, target: str, base: str | None
+) -> DataFrame:
     groups = _two_cohorts(view, dim, target, base)
 
     def rate(side: str) -> Column:
@@ -147,9 +162,14 @@ def segment_compare(view: DataFrame, dim: str | Column, target: str, base: str |
     )
 
 
-def compare_summary(view: DataFrame, dim: str | Column, target: str, base: str | None) -> DataFrame:
-    """One row: both sizes and rates, their difference, its p-value and the summed effects."""
-    totals = segment_compare(view, dim, target, base).agg(
+def compare_summary(
+    view: DataFrame, dim: str | Column, target: str, base: str | None = None
+) -> DataFrame:
+    """One row: both sizes and rates, their difference, its p-value and the summed effects.
+
+    Without ``base`` all that needs one is null.
+    """
+    totals = _segment_effects(view, dim, target, base).agg(
         *[
             F.sum(c).alias(c)
             for c in (
@@ -314,10 +334,12 @@ def weighted_vs_simple_rate(view: DataFrame, by: str) -> DataFrame:
     ).withColumn("gap", F.col("simple_rate") - F.col("weighted_rate"))
 
 
-def share_shift(view: DataFrame, part: str, target: str, base: str | None) -> DataFrame:
-    """Share of a sub-cohort within the base and the target."""
+def share_shift(
+    view: DataFrame, part: str, target: str, base: str | None = None
+) -> DataFrame:
+    """Share of a sub-cohort within the base and the target; without ``base`` of the target alone."""
     flags = view.select(
-        member(part).alias("p"), member(base).alias("b"), member(target).alias("t")
+        member(part).alias("p"), compared(base).alias("b"), member(target).alias("t")
     )
     return flags.agg(
         F.avg(F.when(F.col("b"), indicator(F.col("p")))).alias("share_base"),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from shiftlens.catalog import (
     ADDITIVITY_TOLERANCE,
     COUNT_NAME,
+    DIMENSIONS,
     IDENTITY_TOLERANCE,
     INDICATIVE_SAMPLE,
     MIN_SAMPLE,
@@ -180,6 +181,17 @@ def domain_findings(
     )
 
 
+def dimension_findings(requests: DataFrame, name: str = "name") -> DataFrame:
+    """Requested dimensions that do not exist, with how often each is asked for."""
+    asked = requests.groupBy(F.col(name).alias("subject")).agg(F.count(F.lit(1)).alias("value"))
+    return asked.where(~F.coalesce(F.col("subject").isin(*DIMENSIONS), F.lit(False))).select(
+        F.lit("unknown_dimension").alias("check_name"),
+        "subject",
+        F.lit("error").alias("severity"),
+        F.col("value").cast("double").alias("value"),
+    )
+
+
 def groups_sum_findings(groups: DataFrame, n: str, total: DataFrame) -> DataFrame:
     """Group counts that do not add up to the total (a one-value frame)."""
     row = groups.agg(F.coalesce(F.sum(n), F.lit(0)).alias("s")).withColumn("t", total.scalar())
@@ -326,14 +338,14 @@ def attribution_findings(
 def compare_findings(
     view: DataFrame, dim: str, target: str, base: str | None, codes: dict[str, list] | None = None
 ) -> DataFrame:
-    """All checks that accompany a two-cohort comparison."""
+    """All checks that accompany a two-cohort comparison; without ``base`` those of the target alone."""
     from shiftlens.catalog import EDUCATION_CODES, MARRIAGE_CODES
 
     known = codes or {"education": EDUCATION_CODES, "marriage": MARRIAGE_CODES}
     sizes = view.select(
-        cohorts.member(base).alias("b"), cohorts.member(target).alias("t")
+        cohorts.compared(base).alias("b"), cohorts.member(target).alias("t")
     ).agg(F.count_if("b").alias("n_base"), F.count_if("t").alias("n_target"))
-    out = emit(sizes, _size_checks("target") + _size_checks("base"))
+    out = emit(sizes, _size_checks("target") + (_size_checks("base") if base else []))
     segments = cohorts.segment_profile(view, dim, target).select("segment", "n")
     out = out.unionByName(result_findings(segments))
     if dim in known:

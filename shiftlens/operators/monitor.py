@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from shiftlens.catalog import LEVEL_HIGH, LEVEL_MID, PSI_FLOOR, PSI_LARGE, PSI_SLIGHT, RISK_LEVELS
 from shiftlens.functions.numeric import indicator, ratio
-from shiftlens.operators.cohort import cohort, member
+from shiftlens.operators.cohort import cohort, compared, member
 from shiftlens.operators.ordering import exact_quantiles, running_totals
 from shiftlens.sources.tables import stored
 
@@ -72,7 +72,7 @@ def _paired_counts(
 ) -> DataFrame:
     """Rows per distinct score in each cohort."""
     flags = view.select(
-        _taken(score, decimals).alias("score"), member(base).alias("b"), member(target).alias("t")
+        _taken(score, decimals).alias("score"), compared(base).alias("b"), member(target).alias("t")
     )
     return (
         flags.where("(b OR t) AND score IS NOT NULL")
@@ -154,7 +154,7 @@ def psi(
     score: str = "risk_score",
     decimals: int | None = None,
 ) -> DataFrame:
-    """Population stability index of the target against the base: one row."""
+    """Population stability index of the target against the base: one row, null without a base."""
     everyone = Window.partitionBy()
     # a bin that both cohorts lack adds nothing
     shares = _binned(view, target, base, bins, score, decimals).select(

@@ -588,9 +588,20 @@ def register() -> None:
         "SELECT 'Q' || user_id AS id, category FROM ans WHERE status <> 'ok'",
         run,
     )
+    add(
+        "first_questions",
+        "L6",
+        "id, category",
+        lambda s, d: R.requested(
+            answers(s, d).select("id", "category"), answers(s, d).where("model = 'BUILDING'"), first=20
+        ),
+        """SELECT 'Q' || user_id AS id, category FROM ans WHERE model = 'BUILDING'
+        ORDER BY id LIMIT 20""",
+        run,
+    )
     add(
         "requested_questions",
-        "J7 L6",
+        "J7",
         "id, category",
         lambda s, d: R.requested(
             answers(s, d).select("id", "category"), answers(s, d).where("model = 'BUILDING'")

@@ -135,6 +135,32 @@ def register() -> None:
             ctes,
         )
 
+    alone = f"""SELECT {DIMENSION_SQL["channel"]} AS segment, count(*) AS n, avg(is_bad) AS bad_rate,
+      count(*)/CAST(sum(count(*)) OVER () AS DOUBLE) AS share, avg(risk_score) AS avg_score
+      FROM v WHERE {LATE} GROUP BY 1"""
+    add(
+        "segment_compare_alone",
+        "O2",
+        "segment, n:i, share:6, bad_rate:6, avg_score:6",
+        lambda s, d: C.segment_compare(obs(s, d), "channel", LATE),
+        alone,
+    )
+    add(
+        "compare_summary_alone",
+        "O2",
+        "n_base:i, n_target:i, rate_base:6, rate_target:6, diff:6",
+        lambda s, d: C.compare_summary(obs(s, d), "channel", LATE, " "),
+        f"""SELECT 0 AS n_base, count(*) AS n_target, CAST(NULL AS DOUBLE) AS rate_base,
+          avg(is_bad) AS rate_target, CAST(NULL AS DOUBLE) AS diff FROM v WHERE {LATE}""",
+    )
+    add(
+        "share_shift_alone",
+        "O22",
+        "share_base:6, share_target:6, shift:6",
+        lambda s, d: C.share_shift(obs(s, d), YOUNG_LOW, S1_T),
+        f"""SELECT CAST(NULL AS DOUBLE) AS share_base, avg(CAST({YOUNG_LOW} AS INT)) AS share_target,
+          CAST(NULL AS DOUBLE) AS shift FROM v WHERE {S1_T}""",
+    )
     add(
         "indicator_rates",
         "P19 P20 A16",
@@ -297,7 +323,7 @@ def register() -> None:
     )
     add(
         "month_rows_shown",
-        "L5",
+        "A6 L1",
         "loan_month, n:i, bad_rate:6",
         lambda s, d: C.rate_by(obs(s, d), "loan_month").orderBy("loan_month"),
         "SELECT loan_month, count(*) AS n, avg(is_bad) AS bad_rate FROM v GROUP BY 1 ORDER BY 1",

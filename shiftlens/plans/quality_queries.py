@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shiftlens.catalog import EDUCATION_CODES, LOAN_COLUMNS, MARRIAGE_CODES, STATUS_COLUMNS
 from shiftlens.operators import cohort as C, findings as N, quality as K
 from shiftlens.plans.binding import OBS_SQL, SHAP_SQL, attributions, observations as obs, table
-from shiftlens.plans.cohort_queries import EARLY, LATE, S2_B, S2_T
+from shiftlens.plans.cohort_queries import EARLY, LATE, S1_B, S1_T, S2_B, S2_T
 from shiftlens.plans.registry import add
 from shiftlens.plans.sqltext import DIMENSION_SQL, auc_sql
 
@@ -214,6 +214,17 @@ def register() -> None:
           count(*) AS value FROM documents WHERE lang NOT IN ('en', 'fr', 'de') GROUP BY lang""",
         (),
     )
+    add(
+        "dimension_findings",
+        "P12",
+        SPEC,
+        lambda s, d: N.dimension_findings(
+            table(s, d, "customer").selectExpr("IF(c_nationkey < 12, 'channel', lower(c_mktsegment)) AS name")
+        ),
+        """SELECT 'unknown_dimension' AS check_name, lower(c_mktsegment) AS subject, 'error' AS severity,
+          count(*) AS value FROM customer WHERE NOT c_nationkey < 12 GROUP BY 2""",
+        (),
+    )
     add(
         "groups_sum_findings",
         "Q12",
@@ -307,7 +318,7 @@ def register() -> None:
           side AS subject, CASE WHEN n = 0 THEN 'error' WHEN n < 100 THEN 'insufficient'
           ELSE 'indicative' END AS severity, CAST(n AS DOUBLE) AS value FROM ({counts}) WHERE n < 300"""
 
-    few, nobody = "user_id % 97 = 3", "user_id < 0"
+    two = sizes_sql(target=S1_T, base=S1_B)
     add(
         "summary_findings",
         "Q1 Q13 O5",
@@ -316,11 +327,11 @@ def register() -> None:
             obs(s, d).withColumn(
                 "risk_score", F.when(F.col("user_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("risk_score"))
             ),
-            few,
-            nobody,
+            S1_T,
+            S1_B,
         ),
-        f"""{sizes_sql(target=few, base=nobody)} UNION ALL SELECT 'score_missing', 'risk_score', 'error',
-          count(*) FROM v WHERE {few} AND user_id % 5 = 0 HAVING count(*) > 0""",
+        f"""{two} UNION ALL SELECT 'score_missing', 'risk_score', 'error',
+          count(*) FROM v WHERE {S1_T} AND user_id % 5 = 0 HAVING count(*) > 0""",
     )
     one_label = "is_bad = 1"
     add(
@@ -335,26 +346,26 @@ def register() -> None:
         "quality_findings",
         "Q1 Q8 O15",
         SPEC,
-        lambda s, d: N.quality_findings(obs(s, d), few),
-        f"""{sizes_sql(target=few)} UNION ALL SELECT 'undefined_code', 'education', 'warn', count(*) FROM v
-          WHERE {few} AND NOT coalesce(education IN (1,2,3,4), FALSE) HAVING count(*) > 0
+        lambda s, d: N.quality_findings(obs(s, d), S1_T),
+        f"""{sizes_sql(target=S1_T)} UNION ALL SELECT 'undefined_code', 'education', 'warn', count(*) FROM v
+          WHERE {S1_T} AND NOT coalesce(education IN (1,2,3,4), FALSE) HAVING count(*) > 0
         UNION ALL SELECT 'undefined_code', 'marriage', 'warn', count(*) FROM v
-          WHERE {few} AND NOT coalesce(marriage IN (1,2,3), FALSE) HAVING count(*) > 0""",
+          WHERE {S1_T} AND NOT coalesce(marriage IN (1,2,3), FALSE) HAVING count(*) > 0""",
     )
     add(
         "attribution_findings",
         "Q1 Q15 O12",
         SPEC,
-        lambda s, d: N.attribution_findings(attributions(obs(s, d)), obs(s, d), few, nobody, 1e-12),
+        lambda s, d: N.attribution_findings(attributions(obs(s, d)), obs(s, d), S1_T, None, 1e-12),
         f"""WITH per AS (SELECT user_id, sum(shap_value) AS total FROM shap GROUP BY 1),
           u AS (SELECT v.*, total, ln(greatest(least(risk_score, 1-1e-6), 1e-6)
             /(1-greatest(least(risk_score, 1-1e-6), 1e-6))) AS odds FROM v LEFT JOIN per USING (user_id)),
-          g AS (SELECT abs(avg(odds) FILTER ({few}) - avg(odds - total) - avg(total) FILTER ({few})) AS gap FROM u)
-        SELECT * FROM ({sizes_sql(target=few, base=nobody)}) UNION ALL
+          g AS (SELECT abs(avg(odds) FILTER ({S1_T}) - avg(odds - total) - avg(total) FILTER ({S1_T})) AS gap FROM u)
+        SELECT * FROM ({sizes_sql(target=S1_T)}) UNION ALL
           SELECT 'additivity', 'target', 'error', gap FROM g WHERE gap > 1e-12""",
         (OBS_SQL, SHAP_SQL),
     )
-    # the same checks over whole cohorts; those above are of a handful of rows and of nobody
+    # the same checks for other cohorts
     late_and_early = sizes_sql(target=LATE, base=EARLY)
     add(
         "summary_findings_late",

@@ -202,9 +202,16 @@ def register() -> None:
         "psi_of_itself",
         "O6",
         "psi:6, shift",
-        lambda s, d: M.psi(obs(s, d), None, None),
+        lambda s, d: M.psi(obs(s, d), "TRUE", "TRUE"),
         "SELECT 0.0 AS psi, '稳定' AS shift FROM v LIMIT 1",
     )
+    add(
+        "psi_alone",
+        "O6",
+        "psi:6, shift",
+        lambda s, d: M.psi(obs(s, d), LATE, None),
+        "SELECT CAST(NULL AS DOUBLE) AS psi, CAST(NULL AS VARCHAR) AS shift FROM v LIMIT 1",
+    )
     add(
         "score_quantiles",
         "A13",
@@ -358,9 +365,12 @@ def register() -> None:
     add(
         "attribution_compare",
         "O12 J4 L3",
-        "feature, mean_shap_base:6, mean_shap_target:6, diff:6, share_of_total:4",
+        "feature, n_base:i, n_target:i, mean_shap_base:6, mean_shap_target:6, diff:6, total_diff:6,"
+        " share_of_total:4",
         lambda s, d: A.compare(attributions(obs(s, d)), obs(s, d), S1_T, S1_B, 2),
-        f"""SELECT *, diff/sum(diff) OVER () AS share_of_total FROM (SELECT feature,
+        f"""SELECT *, sum(diff) OVER () AS total_diff, diff/sum(diff) OVER () AS share_of_total
+          FROM (SELECT feature, count(DISTINCT user_id) FILTER ({S1_B}) AS n_base,
+            count(DISTINCT user_id) FILTER ({S1_T}) AS n_target,
             avg(shap_value) FILTER ({S1_B}) AS mean_shap_base,
             avg(shap_value) FILTER ({S1_T}) AS mean_shap_target,
             avg(shap_value) FILTER ({S1_T})-avg(shap_value) FILTER ({S1_B}) AS diff
@@ -368,6 +378,16 @@ def register() -> None:
         ORDER BY diff DESC LIMIT 2""",
         view_shap,
     )
+    add(
+        "attribution_alone",
+        "O12 L2",
+        "feature, mean_abs_shap:6, mean_shap:6, n_users:i",
+        lambda s, d: A.compare(attributions(obs(s, d)), obs(s, d), S1_T, None, 2),
+        f"""SELECT feature, avg(abs(shap_value)) AS mean_abs_shap, avg(shap_value) AS mean_shap,
+          count(DISTINCT user_id) AS n_users FROM shap JOIN v USING (user_id) WHERE {S1_T} GROUP BY 1
+        ORDER BY mean_abs_shap DESC, feature LIMIT 2""",
+        view_shap,
+    )
     sums = "(SELECT user_id, sum(shap_value) AS s FROM shap GROUP BY 1)"
     odds = "ln(risk_score/(1-risk_score))"
     add(

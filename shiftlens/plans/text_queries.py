@@ -9,7 +9,7 @@ from shiftlens.operators import retrieval as R, search_index as I, vector_index
 from shiftlens.plans.binding import table
 from shiftlens.plans.registry import add
 from shiftlens.session import shared_folder
-from shiftlens.sources.corpus import search_sections, write_section_index
+from shiftlens.sources.corpus import read_markdown, search_sections, write_section_index
 from shiftlens.sources.tables import spread, stored
 
 TOP_K = 4
@@ -181,6 +181,13 @@ def _index_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _folder_sections(spark: SparkSession, folder: str) -> DataFrame:
+    """Sections of a folder with a file for every page."""
+    path = shared_folder(spark)
+    pages_markdown(spark, folder).write.partitionBy("doc").text(path)
+    return R.split_sections(read_markdown(spark, path, "*.txt"))
+
+
 DEPTH = R.candidate_depth(TOP_K)
 # sections as chunks: numbered by document and part, each with its document's vector
 SECTION_SQL = (
@@ -201,12 +208,20 @@ def register() -> None:
     ):
         add(
             f"sections_{name}",
-            "T1 S6",
+            "T1",
             "doc:i, part:i, section, text",
             lambda s, d, frame=frame: R.split_sections(frame(s, d)),
             "SELECT * FROM sections",
             (_sections_sql(sql),),
         )
+    add(
+        "folder_sections",
+        "S6 T1",
+        "doc:i, part:i, section, text",
+        _folder_sections,
+        "SELECT * FROM sections",
+        (_sections_sql(PAGES_SQL),),
+    )
     add(
         "section_index",
         "S7 T1 T2",

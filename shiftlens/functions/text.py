@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # Runs of Han characters, or runs of other letters, digits and underscores.
-_RUNS = r"(\p{IsHan}+|[\p{L}\p{N}_&&[^\p{IsHan}]]+)"
+RUNS = r"(\p{IsHan}+|[\p{L}\p{N}_&&[^\p{IsHan}]]+)"
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased word tokens; a run of Han characters gives its overlapping pairs."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(_RUNS), F.lit(1))
+    runs = F.regexp_extract_all(F.lower(text), F.lit(RUNS), F.lit(1))
 
     def expand(run: Column) -> Column:
         pairs = F.transform(

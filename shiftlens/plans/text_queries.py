@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shiftlens.functions.text import tokens
-from shiftlens.operators import retrieval as R, search_index as I, vector_index as V
+from shiftlens.operators import (
+    retrieval as R,
+    search_index as I,
+    segmentation as G,
+    vector_index as V,
+)
 from shiftlens.plans.binding import table
 from shiftlens.plans.registry import add
 from shiftlens.session import shared_folder
@@ -188,6 +193,47 @@ def _folder_sections(spark: SparkSession, folder: str) -> DataFrame:
     return R.split_sections(read_markdown(spark, path, "*.txt"))
 
 
+# Stand-ins for letters, as the tables hold no Han text: runs of words without their spaces.
+LETTERS, CHARACTERS = "abcdefghijklmnopqrstuvwxyz", "的一是不了人我在有他这为之大来以个中上们到说国和地也"
+
+
+def han(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents in Han characters, with a run for every line."""
+    text = F.replace(F.lower("text"), F.lit(" "), F.lit(""))
+    return rows(spark, folder, "documents").select(
+        "doc_id", F.translate(text, LETTERS, CHARACTERS).alias("text")
+    )
+
+
+def _segmented(spark: SparkSession, folder: str) -> DataFrame:
+    """How documents are cut up, and that nothing of them is lost."""
+    docs = han(spark, folder)
+    found = G.segmented(docs, G.learn(docs))
+    whole = docs.select("doc_id", F.concat_ws("", G.runs(F.col("text"))).alias("characters"))
+    return found.join(whole, "doc_id").select(
+        "doc_id",
+        F.length("characters").alias("n_characters"),
+        (F.concat_ws("", "terms") == F.col("characters")).cast("string").alias("whole"),
+        (F.size(F.filter("terms", lambda t: (F.length(t) > G.LONGEST) & t.rlike(G.HAN))) == 0)
+        .cast("string")
+        .alias("short"),
+    )
+
+
+HAN_SQL = f"""hr AS (SELECT unnest(regexp_extract_all(translate(replace(lower(text), ' ', ''),
+    '{LETTERS}', '{CHARACTERS}'), '[{CHARACTERS}]+')) AS run FROM documents),
+  hc AS (SELECT run, count(*) AS times FROM hr GROUP BY 1),
+  hg AS (SELECT substr(run, i, z) AS gram, z, sum(times) AS n FROM (SELECT run, times, z,
+      unnest(range(1, len(run) - z + 2)) AS i FROM hc, (VALUES (1), (2), (3), (4)) s(z) WHERE len(run) >= z)
+    GROUP BY 1, 2 HAVING z = 1 OR sum(times) >= {G.LEAST}),
+  ht AS (SELECT sum(n) AS total FROM hg WHERE z = 1),
+  hp AS (SELECT gram, n, unnest(range(1, z)) AS cut FROM hg WHERE z > 1),
+  hb AS (SELECT hp.gram, hp.n, min(CAST(hp.n AS DOUBLE) * total / (CAST(a.n AS DOUBLE) * b.n)) AS bond
+    FROM hp JOIN hg a ON a.gram = substr(hp.gram, 1, cut) JOIN hg b ON b.gram = substr(hp.gram, cut + 1), ht
+    GROUP BY 1, 2),
+  hw AS (SELECT gram, n FROM hb WHERE bond >= {G.COHESION} UNION ALL SELECT gram, n FROM hg WHERE z = 1)"""
+
+
 DEPTH = R.candidate_depth(TOP_K)
 # sections as chunks: numbered by document and part, each with its document's vector
 SECTION_SQL = (
@@ -256,6 +302,24 @@ def register() -> None:
           coalesce(list_min(ts), '') AS first_term, coalesce(list_max(ts), '') AS last_term FROM dt""",
         (DOC_TERMS,),
     )
+    add(
+        "learned_words",
+        "T2",
+        "word, n:i, score:6",
+        lambda s, d: G.learn(han(s, d)),
+        "SELECT gram AS word, n, ln(n / total) AS score FROM hw, ht",
+        (HAN_SQL,),
+    )
+    add(
+        "segmented_terms",
+        "T2",
+        "doc_id:i, n_characters:i, whole, short",
+        _segmented,
+        f"""SELECT doc_id, len(regexp_replace(translate(lower(text), '{LETTERS}', '{CHARACTERS}'),
+            '[^\\p{{L}}\\p{{N}}_]', '', 'g')) AS n_characters, 'true' AS whole, 'true' AS short
+        FROM documents""",
+        (),
+    )
     add(
         "term_weights",
         "T5",

@@ -13,7 +13,7 @@ from shiftlens.functions.text import (
     decimals,
     numbers,
 )
-from shiftlens.operators.ordering import position
+from shiftlens.operators.ordering import null_safe_join, position
 
 
 def evidence_numbers(texts: Column) -> Column:
@@ -86,6 +86,52 @@ def ungrounded(reports: DataFrame, report: str, evidence: str) -> DataFrame:
     )
 
 
+def banded(numbers: DataFrame, pool: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``numbers`` that no number of ``pool`` with the same keys is close to.
+
+    ``numbers`` holds ``raw, unit, value`` as they are written and ``pool`` holds ``value``. Both sides meet by
+    equality of the band that they lie in: bands are as wide as the last written place, which is twice
+    the tolerance, so what is close lies in the same band or in one beside it. A hot key's numbers are
+    spread over their bands, and no list of a key is ever formed. Numbers with a unit also match a hundredth
+    of theirs; differences of rates are not looked at here.
+    """
+    step = decimals(F.col("raw"))
+    tol = F.lit(0.5) * F.pow(F.lit(10.0), -step) + F.lit(1e-9)
+    items = numbers.withColumns(
+        {
+            "__id": F.struct(*numbers.columns),
+            "__size": F.abs("value"),
+            # beyond eight places the fixed part of the tolerance is wider than a band would be
+            "__step": F.least(step, F.lit(8)),
+            "__tol": tol,
+        }
+    )
+    sides = pool.where("value IS NOT NULL").select(*keys, F.abs("value").alias("__held")).distinct()
+    scaled = sides.select(*keys, (F.col("__held") * 100).alias("__held"), F.lit(True).alias("__percent"))
+    both = sides.withColumn("__percent", F.lit(False)).unionByName(scaled)
+
+    def band(size: Column) -> Column:
+        return F.floor(F.least(size * F.pow(F.lit(10.0), F.col("__step")), F.lit(1e18)))
+
+    # only steps that some number of the key is written with
+    steps = items.select(*keys, "__step").distinct()
+    around = F.explode(F.sequence(band(F.col("__held")) - 1, band(F.col("__held")) + 1))
+    placed = null_safe_join(both, steps, keys).withColumn("__band", around)
+    wanted = items.withColumn("__band", band(F.col("__size")))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    close = (
+        same
+        & (F.col("a.__step") == F.col("b.__step"))
+        & (F.col("a.__band") == F.col("b.__band"))
+        & (F.abs(F.col("b.__held") - F.col("a.__size")) <= F.col("a.__tol"))
+        & (~F.col("b.__percent") | (F.col("a.unit") != ""))
+    )
+    missing = wanted.alias("a").join(placed.alias("b"), close, "left_anti")
+    return missing.select(*[F.col(f"__id.{c}").alias(c) for c in numbers.columns])
+
+
 def rate_differences(evidence: DataFrame, keys: list[str], texts: str) -> DataFrame:
     """``keys, n_rates, max_diff`` — how far apart the rates of one piece of evidence lie."""
     pool = evidence_numbers(F.col(texts))

@@ -12,6 +12,7 @@ FAMILIES = [
     "quality_queries",
     "text_queries",
     "answer_queries",
+    "stored_queries",
 ]
 
 

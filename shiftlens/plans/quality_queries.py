@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shiftlens.catalog import EDUCATION_CODES, LOAN_COLUMNS, MARRIAGE_CODES, STATUS_COLUMNS
-from shiftlens.operators import cohort as C, findings as N, quality as K
+from shiftlens.operators import cohort as C, findings as N, predicates as X, quality as K
 from shiftlens.plans.binding import OBS_SQL, SHAP_SQL, attributions, observations as obs, table
 from shiftlens.plans.cohort_queries import EARLY, LATE, S1_B, S1_T, S2_B, S2_T
 from shiftlens.plans.registry import add
@@ -214,6 +214,51 @@ def register() -> None:
           count(*) AS value FROM documents WHERE lang NOT IN ('en', 'fr', 'de') GROUP BY lang""",
         (),
     )
+    wrong = "CASE WHEN n_nationkey % 5 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END"
+    month = "CASE WHEN n_nationkey % 7 = 0 THEN '1998/06' ELSE '1998-06' END"
+    region = "CASE WHEN n_regionkey = 4 THEN 'MIDDLE-EAST' ELSE r_name END"
+
+    def filters(s, d):
+        places = table(s, d, "nation").join(table(s, d, "region"), F.expr("n_regionkey = r_regionkey"))
+        people = table(s, d, "customer").join(places, F.expr("c_nationkey = n_nationkey"))
+        return people.selectExpr(
+            "c_custkey AS id",
+            f"""concat("Channel = '", {wrong}, "' AND city_tier NOT IN ('ASIA', '", {region},
+              "') AND loan_month >= '", {month}, "'", CASE WHEN n_nationkey = 3
+              THEN ' AND user_id IN (SELECT 1)' WHEN n_nationkey = 4 THEN ' -- all' ELSE '' END) AS filter""",
+        )
+
+    add(
+        "filter_findings",
+        "P1 Q11",
+        "id:i, check_name, subject, severity",
+        lambda s, d: X.filter_findings(
+            filters(s, d).withColumn(
+                "filter", F.concat("filter", F.lit(" OR 'GIRO''S' = channel OR channel = 'BUILDING'"))
+            ),
+            X.domain(obs(s, d), ["channel", "city_tier"]),
+            ["channel", "city_tier"],
+            {"loan_month": "^[0-9]{4}-(0[1-9]|1[0-2])$"},
+        ).where("check_name NOT IN ('comment_or_statement', 'subquery_or_command')"),
+        f"""SELECT id, check_name, subject, 'error' AS severity FROM (
+          SELECT c_custkey AS id, 'unknown_value' AS check_name, 'channel=' || lower(c_mktsegment) AS subject
+            FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 5 = 0
+          UNION ALL SELECT c_custkey, 'unknown_value', 'city_tier=MIDDLE-EAST'
+            FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 4
+          UNION ALL SELECT c_custkey, 'odd_format', 'loan_month=1998/06' FROM customer WHERE c_nationkey % 7 = 0
+          UNION ALL SELECT c_custkey, 'unknown_value', 'channel=GIRO''S' FROM customer)""",
+        (),
+    )
+    add(
+        "refused_filters",
+        "P1",
+        "id:i, check_name, severity",
+        lambda s, d: X.refused(filters(s, d)),
+        """SELECT c_custkey AS id, CASE WHEN c_nationkey = 3 THEN 'subquery_or_command'
+          ELSE 'comment_or_statement' END AS check_name, 'error' AS severity
+        FROM customer WHERE c_nationkey IN (3, 4)""",
+        (),
+    )
     add(
         "dimension_findings",
         "P12",

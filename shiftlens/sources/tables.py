@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from shiftlens.catalog import LOAN_COLUMNS, RAW_HEADINGS, SCORE_COLUMNS
 from shiftlens.session import shared_folder
@@ -88,6 +88,55 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+#: Where a line that does not fit its schema is kept as it was.
+UNREADABLE = "unreadable"
+
+
+def read_checked_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Nested records of JSON lines, and ``unreadable`` with the lines that are none."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": UNREADABLE}
+    row = F.from_json("value", f"{schema}, {UNREADABLE} string", options)
+    return spark.read.text(path).where(F.trim("value") != "").select(row.alias("r")).select("r.*")
+
+
+def read_sheet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A raw sheet as comma-separated lines with its headings in the second row of each file.
+
+    The first row names groups of columns. Columns are found by their heading, renamed, and read as
+    the types of ``schema``; columns that the sheet lacks are null. A line whose values do not fit goes to
+    ``unreadable`` whole.
+    """
+    lines = spark.read.text(path)
+    # two lines of one file: the headings are the same in all
+    groups, headings = [r["value"] for r in lines.head(2)]
+    names = [RAW_HEADINGS.get(h.strip().strip('"'), h.strip().strip('"')) for h in headings.split(",")]
+    kinds = {f.name: f.dataType for f in schema}
+    typed = ", ".join(f"`{n}` {kinds[n].simpleString() if n in kinds else 'string'}" for n in names)
+    body = lines.where(~F.col("value").isin(groups, headings) & (F.trim("value") != ""))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": UNREADABLE}
+    row = F.from_csv("value", f"{typed}, {UNREADABLE} string", options)
+    parsed = body.select("value", row.alias("r"))
+    bad = F.col(f"r.{UNREADABLE}").isNotNull()
+    columns = [
+        F.when(~bad, F.col(f"r.{f.name}")) if f.name in names else F.lit(None).cast(f.dataType)
+        for f in schema
+    ]
+    return parsed.select(
+        *[c.alias(f.name) for c, f in zip(columns, schema)],
+        F.when(bad, F.col("value")).alias(UNREADABLE),
+    )
+
+
+def unreadable_findings(rows: DataFrame, source: str) -> DataFrame:
+    """A finding if there are lines that could not be read."""
+    return rows.agg(F.count(UNREADABLE).alias("value")).where("value > 0").select(
+        F.lit("unreadable_lines").alias("check_name"),
+        F.lit(source).alias("subject"),
+        F.lit("error").alias("severity"),
+        F.col("value").cast("double").alias("value"),
+    )
+
+
 def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Stored JSON lines, or no rows where nothing has been stored."""
     try:
@@ -99,9 +148,12 @@ def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def append_new(records: DataFrame, path: str, key: str, schema: str) -> None:
-    """Append the records whose key is not stored yet."""
+    """Append the records whose key is not stored yet; of new ones that repeat a key, one."""
     done = read_if_there(records.sparkSession, path, schema).select(key)
-    records.join(done, key, "left_anti").write.mode("append").json(path)
+    new = records.join(done, key, "left_anti")
+    rest = F.struct(*[c for c in records.columns if c != key])
+    once = new.groupBy(key).agg(F.any_value(rest).alias("__r")).select(key, "__r.*")
+    once.select(*records.columns).write.mode("append").json(path)
 
 
 def write_metrics(row: DataFrame, path: str) -> None:

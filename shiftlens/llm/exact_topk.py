@@ -11,8 +11,10 @@ for each query.
 
 The queries reach the tasks in batches of bounded size; each batch is one pass over the vectors.
 A k-th place is shared out to the smaller id. Vectors that are null or hold null or non-finite
-components, or whose id is null, take no part. A query never meets its own row; other rows of the
-same id count as its own. Vectors of another length than the query's are not compared with it.
+components, or whose id is null, take no part. A query never meets its own row; every other row is a
+candidate, also one of the same id or an equal one. Rows that share an id are queries of their own. Vectors of
+another length than the query's are not compared with it. Products are exact as long as sums of them stay below
+2^53, which components of up to 2^23 in vectors of up to 128 do.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shiftlens.llm.common import kept_aside
 
@@ -33,7 +35,7 @@ QUERY_BYTES = 16 << 20
 #: So many stretches make a list; and the few left are resolved once they are so small a share.
 STRETCH = 4
 
-FOUND = "query_id bigint, vec_id bigint, score bigint"
+FOUND = "row bigint, vec_id bigint, score bigint"
 
 
 def integers(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -46,25 +48,37 @@ def integers(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding")
     return vectors.where(usable).select(F.col(key).cast("bigint").alias("vec_id"), whole.alias("ints"))
 
 
+def rows_of(vectors: DataFrame, k: int) -> DataFrame:
+    """``row, vec_id, ints, copies``: equal rows once, as often as a result of ``k`` can hold them.
+
+    Only the first of them has its ``row``, which is what a query leaves out; the others have -1.
+    """
+    distinct = vectors.groupBy("vec_id", "ints").agg(F.count("*").alias("copies"))
+    held = kept_aside(distinct.select(F.monotonically_increasing_id().alias("row"), "*"))
+    every = F.explode(F.sequence(F.lit(1), F.least(F.col("copies"), F.lit(k + 1)).cast("int")))
+    row = F.when(F.col("copy") == 1, F.col("row")).otherwise(F.lit(-1)).alias("row")
+    return held.select("*", every.alias("copy")).select(row, "vec_id", "ints", "copies")
+
+
 class Lists:
     """The sorted lists of one block of vectors, readable from either end."""
 
-    def __init__(self, ids: np.ndarray, block: np.ndarray) -> None:
-        self.ids, self.block = ids, block
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, block: np.ndarray) -> None:
+        self.own, self.ids, self.block = rows, ids, block
         up = np.argsort(block, axis=0, kind="stable")
         self.rows = {True: up[::-1], False: up}
         self.values = {k: np.take_along_axis(block, v, axis=0) for k, v in self.rows.items()}
         columns = np.arange(block.shape[1])
         self.cells = {k: v * block.shape[1] + columns for k, v in self.rows.items()}
 
-    def best(self, query_id: int, query: np.ndarray, k: int, floor: float) -> tuple:
+    def best(self, query_row: int, query: np.ndarray, k: int, floor: float) -> tuple:
         """Ids and scores of the block's k best that reach ``floor``, a k-th score found before."""
         n, width = self.block.shape
         down = query > 0
         pick = lambda lists, rows: np.where(down, lists[True][rows], lists[False][rows])
         last = pick(self.values, n - 1) * query
         partial, unread = np.zeros(n), np.ones((n, width))
-        alive = self.ids != query_id
+        alive = self.own != query_row
         step = -(-n // STRETCH)
         for at in range(0, n - step, step):
             part = slice(at, at + step)
@@ -85,16 +99,17 @@ class Lists:
         return self.ids[left][first], scores[first]
 
 
-def _matrix(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and components, apart by length."""
+def _matrix(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, ids and components, apart by length."""
     column = batch.column("ints")
+    rows = batch.column("row").to_numpy(zero_copy_only=False)
     ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
     lengths = np.asarray(column.value_lengths())
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     starts = np.concatenate(([0], np.cumsum(lengths)))
     for width in np.unique(lengths):
         own = np.flatnonzero(lengths == width)
-        yield ids[own], flat[starts[own][:, None] + np.arange(width)]
+        yield rows[own], ids[own], flat[starts[own][:, None] + np.arange(width)]
 
 
 def _pass(vectors: DataFrame, queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> DataFrame:
@@ -103,22 +118,23 @@ def _pass(vectors: DataFrame, queries: dict[int, tuple[np.ndarray, np.ndarray]],
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for ids, matrix in _matrix(batch):
+            for rows, ids, matrix in _matrix(batch):
                 asked = shared.value.get(matrix.shape[1])
                 for at in range(0, len(ids) if asked else 0, BLOCK):
-                    lists = Lists(ids[at : at + BLOCK], matrix[at : at + BLOCK])
-                    for query_id, query in zip(*asked, strict=True):
-                        have = best.get(query_id, (ids[:0], np.zeros(0, np.int64)))
+                    part = slice(at, at + BLOCK)
+                    lists = Lists(rows[part], ids[part], matrix[part])
+                    for query_row, query in zip(*asked, strict=True):
+                        have = best.get(query_row, (ids[:0], np.zeros(0, np.int64)))
                         floor = have[1][-1] if len(have[1]) == k else -np.inf
-                        found = lists.best(query_id, query, k, floor)
+                        found = lists.best(query_row, query, k, floor)
                         both = [np.concatenate(x) for x in zip(have, found, strict=True)]
                         first = np.lexsort((both[0], -both[1]))[:k]
-                        best[query_id] = both[0][first], both[1][first]
-        for query_id, (ids, scores) in best.items():
-            asked_by = np.full(len(ids), query_id)
+                        best[query_row] = both[0][first], both[1][first]
+        for query_row, (ids, scores) in best.items():
+            asked_by = np.full(len(ids), query_row)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, pa.int64()) for x in (asked_by, ids, scores)],
-                ["query_id", "vec_id", "score"],
+                ["row", "vec_id", "score"],
             )
 
     return vectors.mapInArrow(search, FOUND)
@@ -130,7 +146,7 @@ def _batches(queries: DataFrame) -> Iterator[dict[int, tuple[np.ndarray, np.ndar
     size = 0
     for row in queries.toLocalIterator():
         ids, vectors = held.setdefault(len(row["ints"]), ([], []))
-        ids.append(row["vec_id"])
+        ids.append(row["row"])
         vectors.append(row["ints"])
         size += 8 * len(row["ints"])
         if size >= QUERY_BYTES:
@@ -139,14 +155,21 @@ def _batches(queries: DataFrame) -> Iterator[dict[int, tuple[np.ndarray, np.ndar
     yield {w: (np.array(i), np.array(v, np.float64)) for w, (i, v) in held.items()}
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``query_id, rank, vec_id, score`` of the ``k`` best; both frames come from ``integers``."""
+def top_k(rows: DataFrame, asks: Column, k: int) -> DataFrame:
+    """``query_id, rank, vec_id, score`` of the ``k`` best for every row that ``asks``.
+
+    ``rows`` comes from ``rows_of`` with the same ``k``.
+    """
+    queries = rows.where((F.col("row") >= 0) & asks)
     passes = _batches(queries)
-    found = _pass(vectors, next(passes), k)
-    more = [kept_aside(_pass(vectors, batch, k)) for batch in passes]
+    found = _pass(rows, next(passes), k)
+    more = [kept_aside(_pass(rows, batch, k)) for batch in passes]
     for other in more:
         found = found.unionByName(other)
     # a task hands over at most k rows a query, so what meets here is small
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(by_score))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    by_score = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
+    # equal queries have equal results
+    every = F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))
+    asked = queries.select("row", F.col("vec_id").alias("query_id"), every.alias("copy"))
+    return ranked.join(asked, "row").select("query_id", "rank", "vec_id", "score")

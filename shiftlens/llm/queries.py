@@ -113,8 +113,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = exact_topk.integers(table(spark, sf_dir, "embeddings"))
-    queries = vectors.where(F.col("vec_id") % 50 == 0).groupBy("vec_id").agg(F.min("ints").alias("ints"))
-    return exact_topk.top_k(vectors, queries, 5)
+    return exact_topk.top_k(exact_topk.rows_of(vectors, 5), F.col("vec_id") % 50 == 0, 5)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,9 +38,8 @@ BASE_KINDS = ("assign", "access", "hex")
 CHECKED_WORDS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_")
 CHECKED = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 KEY_WORD = "-----BEGIN "
-KEY = re.compile(
-    r"-----BEGIN ([A-Z ]{0,32}PRIVATE KEY)-----[A-Za-z0-9+/=\s]{1,16384}-----END \1-----"
-)
+# of any length: a body is read once, without a way back
+KEY = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----[A-Za-z0-9+/=\s]++-----END \1-----")
 KINDS = (*BASE_KINDS, "checked", "key")
 
 DIGITS62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"

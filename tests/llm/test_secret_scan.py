@@ -60,3 +60,12 @@ def test_query_and_redaction(llm, tables):
 
 def test_empty_table(llm, tables):
     assert queries.op2_secret_scan(llm, tables(documents=([], DOCS))).count() == 0
+
+
+def test_long_key_blocks():
+    """Bodies of any length are found, and many openings without an end take linear time."""
+    body = "QUJD" * 50_000
+    text = f"x -----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY----- y"
+    assert [s for s in secret_scan.find(text) if s[0] == "key"] == [("key", 2, len(text) - 2)]
+    broken = ("-----BEGIN " + "A " * 50 + "PRIVATE KEY-----\n" + "A" * 200) * 5000
+    assert not [s for s in secret_scan.find(broken) if s[0] == "key"]

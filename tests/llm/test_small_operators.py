@@ -56,13 +56,12 @@ def plain_top(rows, k=5):
         (i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v, *_ in rows
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
     ]
-    out, asked = [], {}
-    for i, v in usable:
-        if i % 50 == 0:
-            asked[i] = min(v, asked.get(i, v))
-    for q, v in asked.items():
-        scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in usable if i != q and len(w) == len(v))[:k]
-        out += [(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)]
+    out = []
+    for at, (q, v) in enumerate(usable):
+        if q % 50 == 0:
+            others = (x for n, x in enumerate(usable) if n != at and len(x[1]) == len(v))
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in others)[:k]
+            out += [(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)]
     return sorted(out)
 
 
@@ -72,6 +71,7 @@ def test_exact_topk(llm, tables):
     rows += [(600 + i, [1.0] * 16, 0, "i", 1) for i in range(20)]  # ties, at another length too
     rows += [(1000, None, 0, "", 1), (1050, [None] * 16, 0, "", 1), (1100, [math.nan] * 16, 0, "", 1), (None, [0.5] * 16, 0, "", 1),
              (1150, [math.inf] * 16, 0, "", 1), (1200, [], 0, "", 1), (1250, [0.5, 0.5], 0, "", 1), (1251, [1.0, -1.0], 0, "", 1), rows[7], rows[50]]
+    rows += [(50, rows[9][1], 0, "", 1)] + [rows[100]] * 12  # an id with two vectors, and many equal queries
     got = queries.op9_exact_topk(llm, tables(embeddings=(rows, VECTORS)))
     assert sorted(map(tuple, got.collect())) == plain_top(rows)
     assert queries.op9_exact_topk(llm, tables(embeddings=([], VECTORS))).count() == 0

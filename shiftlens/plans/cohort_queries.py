@@ -56,7 +56,7 @@ def register() -> None:
     for name in DIMENSIONS:
         add(
             f"profile_{name}",
-            "O1 A1 A2 A3 L1 P12",
+            "O1 A1 A2 A3 L1",
             "segment, n:i, share:6, bad_rate:6, avg_score:6, overall_rate:6",
             lambda s, d, name=name: C.segment_profile(obs(s, d), name, LATE),
             f"""SELECT {DIMENSION_SQL[name]} AS segment, count(*) AS n,

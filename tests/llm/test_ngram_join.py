@@ -101,3 +101,28 @@ def test_components(llm):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r["vertex"]: r["label"] for r in components(llm.createDataFrame(edges, "a int, b int")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+def test_contracted_edges_grow_with_vertices(llm, monkeypatch):
+    """Groups whose edges number the square of their vertices come down to about one edge a vertex."""
+    from shiftlens.llm import components as module
+
+    monkeypatch.setattr(module, "TOGETHER", 20)
+    for m in (40, 160):
+        edges = [(100 * g + 1000 * (i % 7) + i, 100 * g + 1000 * (j % 7) + j) for g in range(2) for i in range(m) for j in range(i)]
+        frame = llm.createDataFrame(edges, "a int, b int").repartition(8)
+        vertices = {v for e in edges for v in e}
+        once = module.contracted(module.contracted(frame, "a"), "b")
+        assert once.count() <= 3 * len(vertices)
+        got = {r["vertex"]: r["label"] for r in components(frame).collect()}
+        above = {v: v for v in vertices}
+
+        def top(v):
+            while above[v] != v:
+                v = above[v]
+            return v
+
+        for a, b in edges:
+            low, high = sorted((top(a), top(b)))
+            above[high] = low
+        assert got == {v: top(v) for v in vertices}

@@ -33,6 +33,20 @@ NAMES = [
     "system_summary",
     "resumed_results",
     "canonical_loans",
+    "segment_compare_alone",
+    "attribution_alone",
+    "dense_first",
+    "term_weights",
+    "folder_sections",
+    "learned_words",
+    "filter_findings",
+    "grounded_documents",
+    "cohort_overlaps",
+    "sketch_quantiles",
+    "followed_events",
+    "raw_sheet",
+    "nested_runs",
+    "unreadable_lines",
 ]
 
 
@@ -75,3 +89,15 @@ def test_findings_of_whole_cohorts(spark, oracle, name):
 def test_entry_and_names(spark):
     assert entry.entry(spark).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_without_a_package(monkeypatch):
+    """The queries of the library stay where what the training-data operators need cannot be imported."""
+    import sys
+
+    for name in [m for m in sys.modules if m.startswith("shiftlens.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "pyarrow.compute", None)
+    monkeypatch.setitem(sys.modules, "ahocorasick", None)
+    names = set(entry.queries())
+    assert "segment_compare_channel" in names and "pipeline" not in names

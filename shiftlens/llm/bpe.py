@@ -213,7 +213,10 @@ def encoded(text: Column, content) -> Column:
 
 
 def digested(text: Column, content) -> Column:
-    """Number of ids and the SHA-256 of the ids' text and of the decoded text."""
+    """Number of ids and the SHA-256 of the ids' text and of the decoded text.
+
+    The caches, of at most ``CACHE_WORDS`` short words each, stay with the worker for its next task.
+    """
 
     @F.arrow_udf(DIGEST)
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -230,6 +233,5 @@ def digested(text: Column, content) -> Column:
             names = ["n_tokens", "ids_sha256", "decoded_sha256"]
             columns = [c.cast(k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)]
             yield pa.StructArray.from_arrays(columns, names)
-        own.forget()
 
     return digest(text)

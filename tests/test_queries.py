@@ -34,19 +34,10 @@ NAMES = [
     "resumed_results",
     "canonical_loans",
     "segment_compare_alone",
-    "attribution_alone",
     "dense_first",
-    "term_weights",
-    "folder_sections",
-    "learned_words",
     "filter_findings",
     "grounded_documents",
-    "cohort_overlaps",
-    "sketch_quantiles",
-    "followed_events",
-    "raw_sheet",
     "nested_runs",
-    "unreadable_lines",
 ]
 
 

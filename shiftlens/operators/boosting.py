@@ -93,8 +93,9 @@ class Model:
 def bin_cuts(rows: DataFrame, names: list[str], bins: int) -> list[np.ndarray]:
     """Per feature the upper bounds of its bins, at quantiles of ``rows``."""
     shares = [i / bins for i in range(1, bins)]
+    known = {c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in names}
     found = rows.agg(
-        *[F.percentile_approx(F.nanvl(F.col(c).cast("double"), F.lit(None)), shares, 20 * bins).alias(f"c{i}") for i, c in enumerate(names)]
+        *[F.percentile_approx(v, shares, 20 * bins).alias(f"c{i}") for i, v in enumerate(known.values())]
     ).first()
     return [np.unique(np.array(c or [], np.float64)) for c in found]
 

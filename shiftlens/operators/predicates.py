@@ -31,7 +31,8 @@ def literals(expression: Column, column: str) -> Column:
 
 def domain(view: DataFrame, columns: list[str]) -> DataFrame:
     """``column_name, literal``: the values that occur."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("literal")) for c in columns])
+    pair = lambda c: F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("literal"))
+    cells = F.array(*map(pair, columns))
     return view.select(F.inline(cells)).where("literal IS NOT NULL").distinct()
 
 

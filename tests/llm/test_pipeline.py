@@ -72,7 +72,7 @@ def test_run_is_all_stages(llm, steps):
 
 def test_all_are_registered():
     names = [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)] + ["pipeline"]
 
 
 def test_nulls_and_empty_table(llm, tables):

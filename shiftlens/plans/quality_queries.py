@@ -401,13 +401,16 @@ def register() -> None:
         "attribution_findings",
         "Q1 Q15 O12",
         SPEC,
-        lambda s, d: N.attribution_findings(attributions(obs(s, d)), obs(s, d), S1_T, None, 1e-12),
+        lambda s, d: N.attribution_findings(attributions(obs(s, d)), obs(s, d), S1_T, S1_B, 1e-12),
         f"""WITH per AS (SELECT user_id, sum(shap_value) AS total FROM shap GROUP BY 1),
           u AS (SELECT v.*, total, ln(greatest(least(risk_score, 1-1e-6), 1e-6)
             /(1-greatest(least(risk_score, 1-1e-6), 1e-6))) AS odds FROM v LEFT JOIN per USING (user_id)),
-          g AS (SELECT abs(avg(odds) FILTER ({S1_T}) - avg(odds - total) - avg(total) FILTER ({S1_T})) AS gap FROM u)
-        SELECT * FROM ({sizes_sql(target=S1_T)}) UNION ALL
-          SELECT 'additivity', 'target', 'error', gap FROM g WHERE gap > 1e-12""",
+          g AS (SELECT avg(odds - total) AS rest, avg(odds) FILTER ({S1_T}) AS ot, avg(total) FILTER ({S1_T}) AS tt,
+            avg(odds) FILTER ({S1_B}) AS ob, avg(total) FILTER ({S1_B}) AS tb FROM u)
+        SELECT * FROM ({two}) UNION ALL
+          SELECT 'additivity', side, 'error', gap FROM
+            (SELECT 'target' AS side, abs(ot - rest - tt) AS gap FROM g
+             UNION ALL SELECT 'base', abs(ob - rest - tb) FROM g) WHERE gap > 1e-12""",
         (OBS_SQL, SHAP_SQL),
     )
     # the same checks for other cohorts

@@ -77,6 +77,12 @@ def test_findings_of_whole_cohorts(spark, oracle, name):
     assert len(got) > 0 and not (got.check_name == "empty_base").any()
 
 
+def test_findings_of_attributions_have_both_sides(spark, oracle):
+    got = entry.queries()["attribution_findings"](spark, FOLDER).toPandas()
+    assert plain(got) == plain(oracle.execute(entry.oracle_sql()["attribution_findings"]).df())
+    assert {"target", "base"} <= set(got[got.check_name == "additivity"].subject)
+
+
 def test_entry_and_names(spark):
     assert entry.entry(spark).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())

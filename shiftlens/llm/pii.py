@@ -6,8 +6,10 @@ digit counts, the Luhn sum) stay as they are. The loose ones are judged by gradi
 their format and on the words around them; those above a threshold calibrated on data that the trees
 have not seen are added, unless they overlap a base span.
 
-The trees are fitted on the candidates of at most ``FIT_DOCUMENTS`` documents, drawn by a hash of
-their ids: candidates that pass a base check are positive, the others that touch none are negative.
+The trees are fitted on the candidates of all documents, of which three in four by a hash of their ids grow the
+trees and the others set the threshold: candidates that pass a base check are positive, the others that touch none
+are negative. Candidates with the same features are counted once with their number as weight, so what is
+fitted is small and the texts are read once.
 The fitted trees become one column expression, so scoring is a projection without any shuffle.
 
 Offsets count code points, ends are exclusive. Null and empty texts have no spans, repeated rows
@@ -24,8 +26,8 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Bound of the sample that trees and threshold are fitted on.
-FIT_DOCUMENTS = 4000
+from shiftlens.sources.tables import stored
+
 TREES, DEPTH = 10, 4
 #: Share of true spans among those above the threshold, on the calibration part.
 PRECISION = 0.98
@@ -189,27 +191,21 @@ class Model:
         self.trees, self.threshold = trees, threshold
 
     def score(self, span: Column) -> Column:
-        def margin(inputs: Column) -> Column:
-            own = [inputs[i] for i in range(N_FEATURES)]
-            return reduce(Column.__add__, (w * _tree(list(t), own) for w, t in self.trees))
-
         # an array of one array, so that the features are computed once and not at every split
-        once = F.transform(F.array(F.array(*features(span))), margin)[0]
-        return 1 / (1 + F.exp(-2 * once))
+        return F.transform(
+            F.array(F.array(*features(span))),
+            lambda inputs: self.score_of([inputs[i] for i in range(N_FEATURES)]),
+        )[0]
+
+    def score_of(self, inputs: list[Column]) -> Column:
+        """The score of features that are there as columns."""
+        margin = reduce(Column.__add__, (w * _tree(list(t), inputs) for w, t in self.trees))
+        return 1 / (1 + F.exp(-2 * margin))
 
 
 def fit(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Model | None:
-    """Trees from the candidates of a bounded sample, the threshold from a part kept apart."""
-    chosen = (
-        docs.where(F.col(text).rlike("[0-9]"))
-        .select(F.col(doc).alias("chosen"))
-        .distinct()
-        .orderBy(F.xxhash64("chosen"), "chosen")
-        .limit(FIT_DOCUMENTS)
-    )
-    own = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).join(
-        F.broadcast(chosen), F.col("doc") == F.col("chosen"), "left_semi"
-    )
+    """Trees from the candidates of all documents, the threshold from those of documents kept apart."""
+    own = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     found = F.col("_found")
     every = F.concat(*(found[k] for k in KINDS))
     spans = candidates(own).select("doc", _base(found).alias("base"), every.alias("all"))
@@ -219,25 +215,31 @@ def fit(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Model | Non
 
     right, wrong = F.col("base"), _apart(F.col("all"), F.col("base"))
     both = F.concat(labelled(right, 1.0), labelled(wrong, 0.0))
-    rows = spans.select("doc", F.explode(both).alias("r")).select("doc", "r.label", "r.s")
-    inputs = [c.alias(f"f{i}") for i, c in enumerate(features(F.col("s")))]
-    table = rows.select("doc", "label", "s", *inputs)
-    names = [f"f{i}" for i in range(len(inputs))]
-    packed = VectorAssembler(inputCols=names, outputCol="features").transform(table)
-    apart = F.pmod(F.xxhash64("doc", F.lit("calibration")), F.lit(4)) == 0
-    train = packed.where(~apart).select("label", "features")
+    # a document without an id grows trees
+    apart = F.coalesce(F.pmod(F.xxhash64("doc", F.lit("calibration")), F.lit(4)) == 0, F.lit(False))
+    rows = spans.select(apart.alias("apart"), F.explode(both).alias("r")).select("apart", "r.label", "r.s")
+    names = [f"f{i}" for i in range(N_FEATURES)]
+    inputs = [c.alias(n) for n, c in zip(names, features(F.col("s")), strict=True)]
+    table = stored(
+        rows.select("apart", "label", *inputs)
+        .groupBy("apart", "label", *names)
+        .agg(F.count("*").cast("double").alias("weight"))
+    )
+    packed = VectorAssembler(inputCols=names, outputCol="features").transform(table.where("NOT apart"))
+    train = packed.select("label", "weight", "features")
     if train.select("label").distinct().count() < 2:
         return None
-    fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=0, checkpointInterval=-1).fit(train)
+    trainer = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=0, checkpointInterval=-1, weightCol="weight")
+    fitted = trainer.fit(train)
     trees = [
         (float(w), [x for x in t.toDebugString.splitlines()[1:] if x.strip()])
         for w, t in zip(fitted.treeWeights, fitted.trees, strict=True)
     ]
     model = Model(trees, 1.0)
     bins = (
-        table.where(apart)
-        .groupBy(F.floor(model.score(F.col("s")) * 50).alias("bin"))
-        .agg(F.sum("label").alias("right"), F.count("*").alias("rows"))
+        table.where("apart")
+        .groupBy(F.floor(model.score_of([F.col(n) for n in names]) * 50).alias("bin"))
+        .agg(F.sum(F.col("label") * F.col("weight")).alias("right"), F.sum("weight").alias("rows"))
         .orderBy(F.desc("bin"))
         .collect()  # at most 51 rows
     )

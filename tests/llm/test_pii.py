@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from shiftlens.llm import pii, queries
 
@@ -90,3 +91,11 @@ def test_plan_has_no_python(llm, tables):
     folder = tables(documents=([doc(1, "call +1 (319) 555-0132")], DOCS))
     plan = queries.op6_pii(llm, folder)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_every_document_counts_in_the_fit(llm):
+    """Those that a sample of 4,000 by the hash of ids would leave out hold the only negatives."""
+    ids = llm.range(4300).orderBy(F.xxhash64("id"), "id").toPandas()["id"].tolist()
+    rows = [(i, "at 1.2.3.4 and" if k < 4000 else "no 555-123-4567 here") for k, i in enumerate(ids)]
+    model = pii.fit(llm.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+    assert model is not None and model.trees

@@ -149,3 +149,32 @@ def test_validation_of_one_label_and_no_rows(spark):
     assert len(model.trees) == 2 and model.history == []
     with pytest.raises(ValueError):
         B.train(spark.createDataFrame(rows, SCHEMA).where(F.lit(False)), NAMES)
+
+
+def test_payout_tables_equal_subsets():
+    """A leaf's payouts against the sum over all orders of its features."""
+    box = {0: (0, 1, True, 0.25), 3: (0, 1, False, 0.5), 5: (0, 1, False, 0.9)}
+    shares = [0.25, 0.5, 0.9]
+    worth = lambda known, fits: math.prod(fits[i] if i in known else shares[i] for i in range(3))
+    tables = B.leaf_payouts(2.0, box)
+    for bits in range(8):
+        fits = [(bits >> i) & 1 for i in range(3)]
+        for j in range(3):
+            gains = [
+                worth(set(order[: order.index(j) + 1]), fits) - worth(set(order[: order.index(j)]), fits)
+                for order in itertools.permutations(range(3))
+            ]
+            assert abs(tables[j][bits] - 2.0 * sum(gains) / len(gains)) < 1e-12
+
+
+def test_a_level_sums_up_one_child_of_two(spark, monkeypatch):
+    asked, level = [], B._level
+
+    def seen(*args):
+        asked.append(len(args[4]))
+        return level(*args)
+
+    monkeypatch.setattr(B, "_level", seen)
+    settings = B.Settings(max_trees=1, depth=3, rate=0.3, least_weight=1.0)
+    B.train(spark.createDataFrame(make(), SCHEMA).repartition(5), NAMES, settings=settings)
+    assert asked[0] == 1 and len(asked) == 3 and asked[1] == 1 and asked[2] <= 2

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from shiftlens.functions.text import strip
-from shiftlens.operators import retrieval as R
+from shiftlens.operators import retrieval as R, term_scores as S
 
 
 def plan(df):
@@ -30,3 +30,17 @@ def test_strip_takes_all_blanks_at_both_ends(spark):
     row = spark.createDataFrame([(blanks + "a" + blanks + "b" + blanks, blanks, "​")], "x string, y string, z string")
     got = row.select(*[strip(F.col(c)).alias(c) for c in "xyz"]).first()
     assert tuple(got) == ("a" + blanks + "b", "", "​")
+
+
+def test_scores_of_pairs_are_not_exchanged(spark):
+    chunks = spark.range(4000).selectExpr("id AS chunk_id", "array('a', 'b', 'c' || id % 50) AS terms")
+    asked = spark.createDataFrame([(q, ["a", "b", f"c{q}"]) for q in range(20)], "query_id bigint, terms array<string>")
+    pairs = R.bm25(chunks, asked)
+    assert "Join" not in plan(pairs) and "Aggregate" not in plan(pairs)
+    assert pairs.count() == 4000 * 20
+    # what is sent on follows the queries, the depth and the tasks, not the pairs
+    sent = S.leading(chunks.coalesce(2), *R.asked_terms(chunks, asked), 5)
+    assert sent.count() < 20 * 2 * 400
+    first = {r["query_id"]: r["ids"] for r in sent.groupBy("query_id").agg(
+        F.expr("slice(transform(array_sort(collect_list(struct(-sparse AS s, chunk_id))), x -> x.chunk_id), 1, 5) AS ids")).collect()}
+    assert first == {q: [q + 50 * i for i in range(5)] for q in range(20)}

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from shiftlens.functions.text import strip
-from shiftlens.operators import retrieval as R, term_scores as S
+from shiftlens.operators import grading as G, retrieval as R, runs, term_scores as S
 
 
 def plan(df):
@@ -44,3 +44,15 @@ def test_scores_of_pairs_are_not_exchanged(spark):
     first = {r["query_id"]: r["ids"] for r in sent.groupBy("query_id").agg(
         F.expr("slice(transform(array_sort(collect_list(struct(-sparse AS s, chunk_id))), x -> x.chunk_id), 1, 5) AS ids")).collect()}
     assert first == {q: [q + 50 * i for i in range(5)] for q in range(20)}
+
+
+def test_answers_are_graded_once(spark):
+    check = "struct<type:string,value:double,kind:string,any:array<string>,judgement:string>"
+    rows = [("a", "q", "0.5", "ok", [("number", 0.5, "score", None, None), ("judge", None, None, None, '{"passed": false, "reason": "no"}')]),
+            ("b", "q", "", "ok", [("number", 0.5, "score", None, None)]), ("c", "q", "x", "ok", [])]
+    answers = spark.createDataFrame(rows, f"id string, question string, answer string, status string, checks array<{check}>")
+    rates, failed = G.check_pass_rates(G.grade(answers)), runs.failures(G.grade(answers))
+    # once for the numbers and once for their units
+    assert plan(rates).count("regexp_extract_all(") == plan(failed).count("regexp_extract_all(") == 2
+    assert sorted(map(tuple, rates.collect())) == [("judge", 1, 0), ("number", 1, 1)]
+    assert sorted(map(tuple, failed.collect())) == [("a", "q", "no"), ("b", "q", "ok")]

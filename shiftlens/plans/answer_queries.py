@@ -501,13 +501,17 @@ def register() -> None:
         sections = split_sections(markdown(s, d))
         first = F.min("part").over(Window.partitionBy("doc"))
         placed = sections.withColumn("head", F.col("part") == first)
-        pool = placed.where("head").select(
-            "doc", F.explode(E.evidence_numbers(F.array("text"))).alias("value")
+        # only numbers are stored, so that texts are split and searched once
+        found = T.stored(
+            placed.select(
+                "doc",
+                "part",
+                F.when(F.col("head"), E.evidence_numbers(F.array("text"))).alias("held"),
+                F.when(~F.col("head"), E.report_numbers(F.col("text"))).alias("numbers"),
+            )
         )
-        numbers = placed.where("NOT head").select(
-            "doc", "part", F.posexplode(E.report_numbers(F.col("text"))).alias("at", "x")
-        )
-        items = numbers.select("doc", "part", "at", "x.*")
+        pool = found.select("doc", F.explode("held").alias("value"))
+        items = found.select("doc", "part", F.posexplode("numbers").alias("at", "x")).select("doc", "part", "at", "x.*")
         missing = E.banded(items, pool, ["doc"]).groupBy("doc").agg(F.count(F.lit(1)).alias("n_missing"))
         return items.groupBy("doc").agg(F.count(F.lit(1)).alias("n_numbers")).join(
             missing, "doc", "left"

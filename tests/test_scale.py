@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from __spark_entry__ import SMOKE_DIR
 from shiftlens.functions.text import strip
 from shiftlens.operators import grading as G, retrieval as R, runs, term_scores as S
+from shiftlens.plans import load
 
 
 def plan(df):
@@ -56,3 +58,8 @@ def test_answers_are_graded_once(spark):
     assert plan(rates).count("regexp_extract_all(") == plan(failed).count("regexp_extract_all(") == 2
     assert sorted(map(tuple, rates.collect())) == [("judge", 1, 0), ("number", 1, 1)]
     assert sorted(map(tuple, failed.collect())) == [("a", "q", "no"), ("b", "q", "ok")]
+
+
+def test_grounding_reads_stored_numbers(spark):
+    found = load()["grounded_documents"].run(spark, SMOKE_DIR)
+    assert "split(" not in plan(found) and "regexp_extract_all" not in plan(found)

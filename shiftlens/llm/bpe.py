@@ -2,10 +2,10 @@
 
 A vocabulary file in the JSON format of the public ``tokenizers`` library gives the merges, the
 vocabulary and the added tokens; the word pattern, the end-of-word mark and the lower-casing are
-those of such word-level files. A task keeps what it has encoded, words and the chunks between
-spaces, in bounded caches. For a word that is not there, a priority queue of merge ranks runs over a
-doubly linked list of symbols, and entries whose pair has changed since they were queued are
-skipped. Decoding joins vocabulary strings.
+those of such word-level files. A task finds the words of a whole text at once and keeps what it
+has encoded in a bounded cache; what occurs again and again outlives a full one. For a word that is
+not there, a priority queue of merge ranks runs over a doubly linked list of numbered symbols, and
+entries whose pair has changed since they were queued are skipped. Decoding joins vocabulary strings.
 
 Null and empty texts give no ids and an empty decoded text. Repeated rows are encoded alike.
 """
@@ -16,52 +16,84 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, functions as F
 from tokenizers import Regex
 from tokenizers.pre_tokenizers import Split
 
-#: Words, and chunks between spaces, kept by a task; a full cache starts anew and changes no result.
+#: Words kept by a task since its cache was last full, and from before that; changes no result.
 CACHE_WORDS = 300_000
 #: Longer ones are encoded each time they occur.
 CACHE_CHARS = 64
+#: Bits of a symbol's place in an entry of the queue, below its rank.
+SHIFT = 32
+PLACE = (1 << SHIFT) - 1
 
 RESULT = "struct<ids:array<int>,decoded:string>"
 DIGEST = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>"
 
 
-def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """The symbols after all merges, lowest rank first and leftmost among equals."""
+def merge(symbols: list[int], ranks: list[dict[int, int]], wholes: list[int]) -> list[int]:
+    """The symbols after all merges, lowest rank first and leftmost among equals.
+
+    ``ranks[left][right]`` is the rank of a pair and ``wholes[rank]`` the symbol that it becomes.
+    """
     n = len(symbols)
     before = list(range(-1, n - 1))
     after = [*range(1, n), -1]
     queue = []
-
-    def offer(left: int, right: int) -> None:
-        rank = ranks.get((symbols[left], symbols[right]))
-        if rank is not None:
-            heapq.heappush(queue, (rank, left, right, symbols[left], symbols[right]))
-
     for i in range(n - 1):
-        offer(i, i + 1)
+        rank = ranks[symbols[i]].get(symbols[i + 1])
+        if rank is not None:
+            queue.append(rank << SHIFT | i)
+    heapq.heapify(queue)
+    pop, push = heapq.heappop, heapq.heappush
     while queue:
-        _, left, right, was_left, was_right = heapq.heappop(queue)
-        if symbols[left] != was_left or symbols[right] != was_right or after[left] != right:
+        entry = pop(queue)
+        rank, left = entry >> SHIFT, entry & PLACE
+        right = after[left]
+        # the pair may have changed since it was queued; a symbol that was merged away is -1
+        if right < 0 or symbols[left] < 0 or ranks[symbols[left]].get(symbols[right]) != rank:
             continue
-        symbols[left] = was_left + was_right
-        symbols[right] = ""
-        after[left] = after[right]
-        if after[left] >= 0:
-            before[after[left]] = left
-            offer(left, after[left])
-        if before[left] >= 0:
-            offer(before[left], left)
-    return [s for s in symbols if s]
+        symbols[left] = whole = wholes[rank]
+        symbols[right] = -1
+        after[left] = right = after[right]
+        if right >= 0:
+            before[right] = left
+            rank = ranks[whole].get(symbols[right])
+            if rank is not None:
+                push(queue, rank << SHIFT | left)
+        left = before[left]
+        if left >= 0:
+            rank = ranks[symbols[left]].get(whole)
+            if rank is not None:
+                push(queue, rank << SHIFT | left)
+    return [s for s in symbols if s >= 0]
+
+
+class Recent(dict):
+    """What was made of a key, for at most ``CACHE_WORDS`` keys and as many from before it was last full."""
+
+    def __init__(self, make: Callable[[str], tuple]) -> None:
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str) -> tuple:
+        found = self.older.get(key) or self.make(key)
+        if len(key) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
 
 
 def _byte_symbols() -> list[str]:
@@ -91,79 +123,76 @@ class Words:
     def __init__(self, pattern: str) -> None:
         self.plain = regex.compile(pattern)
         self.late = frozenset(late := _late(r"[\p{L}\p{N}]"))
-        self.first = min(late, default="\U0010ffff")
         for name in (r"\p{L}", r"\p{N}") if late else ():
             pattern = pattern.replace(name, f"[{name}--[{late}]]")
         self.dated = regex.compile(pattern, regex.VERSION1)  # slow, for texts with late characters
 
     def find(self, text: str) -> list[str]:
-        if text.isascii() or max(text) < self.first or self.late.isdisjoint(text):
+        if text.isascii() or self.late.isdisjoint(text):
             return self.plain.findall(text)
-        return self.dated.findall(text)
+        # no word crosses a space, and few parts hold late characters
+        fit = lambda part: self.plain if self.late.isdisjoint(part) else self.dated
+        return [w for part in text.split(" ") for w in fit(part).findall(part)]
 
 
-class Tokenizer(dict):
-    """Encodes words with one vocabulary file; one per task. As a dictionary, its cache of chunks."""
+class Tokenizer:
+    """Encodes words with one vocabulary file; one per task.
+
+    What it tells of a word: ids as text, vocabulary strings joined by a space, number of ids, ids.
+    """
 
     def __init__(self, content: str) -> None:
-        super().__init__()
-        self.known: dict[str, list[int]] = {}
         spec = json.loads(content)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
-        pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.ranks = {(a, b): i for i, (a, b) in enumerate(pairs)}
         self.end = model.get("end_of_word_suffix") or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in [*self.vocab.items(), *self.added.items()]}
+        self.digits = {i: str(i) for i in self.names}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word = Words(split["pattern"]["Regex"])
         marks = sorted(self.added, key=len, reverse=True)
         self.mark = regex.compile("|".join(map(regex.escape, marks))) if marks else None
-        self.bytes = _byte_symbols()
+        # every string that merging meets has a number, the vocabulary's first
+        numbers = {s: n for n, s in enumerate(self.vocab)}
+        number = lambda s: numbers.setdefault(s, len(numbers))
+        shown = _byte_symbols()
+        self.inner = [number(c) for c in shown]
+        self.last = [number(c + self.end) for c in shown]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        pairs = [(number(left), number(right)) for left, right in merges]
+        self.wholes = [number(left + right) for left, right in merges]
+        self.ranks: list[dict[int, int]] = [{} for _ in numbers]
+        for rank, (left, right) in enumerate(pairs):
+            self.ranks[left][right] = rank
+        self.ids = list(self.vocab.values())
+        self.known = Recent(lambda word: self.told(self.encode_word(word)))
 
     def normal(self, text: str) -> str:
         # one character at a time: the lower case of a sigma does not depend on its place
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def encode_word(self, word: str) -> list[int]:
-        symbols = [self.bytes[b] for b in word.encode()]
-        symbols[-1] += self.end
-        return [self.vocab[s] for s in merge(symbols, self.ranks) if s in self.vocab]
-
-    def __missing__(self, chunk: str) -> tuple[str, str, int, bytes]:
-        """Of a text's part between spaces, which no word crosses: ids as text, vocabulary
-        strings joined by a space, number of ids, ids as 32-bit integers."""
-        found = self.told([i for w in self.word.find(self.normal(chunk)) for i in self.word_ids(w)])
-        if len(chunk) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[chunk] = found
-        return found
+        data = word.encode()
+        inner, ids = self.inner, self.ids
+        symbols = [inner[b] for b in data]
+        symbols[-1] = self.last[data[-1]]
+        n = len(ids)
+        return [ids[s] for s in merge(symbols, self.ranks, self.wholes) if s < n]
 
-    def told(self, ids: list[int]) -> tuple[str, str, int, bytes]:
-        packed = np.array(ids, np.int32).tobytes()
-        return " ".join(map(str, ids)), self.decode(ids), len(ids), packed
+    def told(self, ids: list[int]) -> tuple[str, str, int, list[int]]:
+        digits = self.digits
+        return " ".join([digits[i] for i in ids]), self.decode(ids), len(ids), ids
 
     def forget(self) -> None:
-        """Give the caches back at a task's end: the process may go on with other work."""
-        self.clear()
-        self.known.clear()
-
-    def word_ids(self, word: str) -> list[int]:
-        ids = self.known.get(word)
-        if ids is None:
-            ids = self.encode_word(word)
-            if len(word) <= CACHE_CHARS:
-                if len(self.known) >= CACHE_WORDS:
-                    self.known.clear()
-                self.known[word] = ids
-        return ids
-
-    def chunks(self, text: str) -> list[tuple[str, str, int, bytes]]:
-        """The text's parts that have ids."""
+        """Give the cache back at a task's end: the process may go on with other work."""
+        self.known.forget()
+
+    def chunks(self, text: str) -> list[tuple[str, str, int, list[int]]]:
+        """The text's words and added tokens that have ids."""
         if self.mark is None or not self.mark.search(text):
-            return [c for c in map(self.__getitem__, text.replace("\n", " ").split(" ")) if c[2]]
+            words = self.word.find(self.normal(text))
+            return [w for w in map(self.known.__getitem__, words) if w[2]]
         out, at = [], 0
         for m in self.mark.finditer(text):
             out += self.chunks(text[at : m.start()])
@@ -172,11 +201,12 @@ class Tokenizer(dict):
         return out + self.chunks(text[at:])
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(b"".join([c[3] for c in self.chunks(text)]), np.int32).tolist()
+        return [i for c in self.chunks(text) for i in c[3]]
 
     def decode(self, ids: list[int]) -> str:
         """Vocabulary strings, joined by a space as the file names no decoder of its own."""
-        return " ".join(self.names[i] for i in ids if i in self.names)
+        names = self.names
+        return " ".join([names[i] for i in ids if i in names])
 
 
 @lru_cache(maxsize=2)
@@ -201,10 +231,9 @@ def encoded(text: Column, content) -> Column:
             for text in texts:
                 found = own.chunks(text.as_py() or "")
                 ends.append(ends[-1] + sum([c[2] for c in found]))
-                ids.append(b"".join([c[3] for c in found]))
+                ids += [i for c in found for i in c[3]]
                 decoded.append(" ".join([c[1] for c in found]))
-            flat = pa.array(np.frombuffer(b"".join(ids), np.int32), pa.int32())
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
             both = [lists, pa.array(decoded, pa.string())]
             yield pa.StructArray.from_arrays(both, ["ids", "decoded"])
         own.forget()
@@ -215,7 +244,7 @@ def encoded(text: Column, content) -> Column:
 def digested(text: Column, content) -> Column:
     """Number of ids and the SHA-256 of the ids' text and of the decoded text.
 
-    The caches, of at most ``CACHE_WORDS`` short words each, stay with the worker for its next task.
+    The cache, of at most twice ``CACHE_WORDS`` short words, stays with the worker for its next task.
     """
 
     @F.arrow_udf(DIGEST)

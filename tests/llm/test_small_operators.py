@@ -163,6 +163,16 @@ def test_bpe_caches_start_anew(monkeypatch):
     assert own.encode(text) == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_frequent_words_outlive_a_full_cache(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
+    own = bpe.Tokenizer(bpe.read_vocabulary(PATH))
+    merged, plain = [], own.encode_word
+    monkeypatch.setattr(own, "encode_word", lambda word: merged.append(word) or plain(word))
+    text = " ".join(f"often rare{'x' * i}" for i in range(1, 20))
+    assert own.encode(text) == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert merged.count("often") == 1 and len(merged) == 20
+
+
 def test_toxicity(llm, tables):
     draw = random.Random(8)
     syllables = ["an", "the", "or", "tion", "es", "in", "ly", "re", "st", "on"]

@@ -2,7 +2,7 @@
 
 Vectors are turned into integers. A task takes its vectors in blocks and sorts every component of a
 block once, which gives one sorted list per component. A query reads all lists together, from the
-end that its own sign prefers, a stretch at a time. What has been read of a vector gives a lower
+end that its own sign prefers, a stretch at a time; queries that stand at the same stretch read together. What has been read of a vector gives a lower
 and an upper bound of its score: unread components are bounded by where their lists stand and
 where they end. Vectors whose upper bound is below the k-th lower bound are given up; reading stops
 when no vector outside the remaining few, seen or unseen, can still qualify, and those few are
@@ -32,6 +32,8 @@ SCALE = 256
 BLOCK = 4096
 #: Bytes of query components that go with one pass over the vectors.
 QUERY_BYTES = 16 << 20
+#: Queries that read a block's lists together.
+TOGETHER = 128
 #: So many stretches make a list; and the few left are resolved once they are so small a share.
 STRETCH = 4
 
@@ -65,38 +67,49 @@ class Lists:
 
     def __init__(self, rows: np.ndarray, ids: np.ndarray, block: np.ndarray) -> None:
         self.own, self.ids, self.block = rows, ids, block
+        n, width = block.shape
         up = np.argsort(block, axis=0, kind="stable")
-        self.rows = {True: up[::-1], False: up}
-        self.values = {k: np.take_along_axis(block, v, axis=0) for k, v in self.rows.items()}
-        columns = np.arange(block.shape[1])
-        self.cells = {k: v * block.shape[1] + columns for k, v in self.rows.items()}
-
-    def best(self, query_row: int, query: np.ndarray, k: int, floor: float) -> tuple:
-        """Ids and scores of the block's k best that reach ``floor``, a k-th score found before."""
-        n, width = self.block.shape
-        down = query > 0
-        pick = lambda lists, rows: np.where(down, lists[True][rows], lists[False][rows])
-        last = pick(self.values, n - 1) * query
-        partial, unread = np.zeros(n), np.ones((n, width))
-        alive = self.own != query_row
+        values = np.take_along_axis(block, up, axis=0)
+        places = np.empty((n, width), np.int32)
+        np.put_along_axis(places, up, np.arange(n, dtype=np.int32)[:, None], axis=0)
+        #: A component's place in its list, and the list, from the largest down and from the least up.
+        self.lists = (n - 1 - places, values[::-1]), (places, values)
+
+    def _bounds(self, read: int) -> tuple[np.ndarray, np.ndarray]:
+        """Least and largest products' components after ``read`` places of every list, for both signs.
+
+        Components that were read stand for themselves; unread ones lie between the end of their
+        list and where reading stands.
+        """
+        ends = [np.where(places < read, self.block, values[-1]) for places, values in self.lists]
+        here = [np.where(places < read, self.block, values[read - 1]) for places, values in self.lists]
+        return np.hstack(ends), np.hstack(here)
+
+    def best(self, query_rows: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray) -> list[tuple]:
+        """For every query ids and scores of the block's k best that reach its floor, a k-th score found before."""
+        n = len(self.block)
+        # a list is read from the end that the query's sign prefers
+        signed = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)])
+        alive = self.own[None, :] != query_rows[:, None]
+        floors, reading = floors.copy(), np.arange(len(queries))
         step = -(-n // STRETCH)
-        for at in range(0, n - step, step):
-            part = slice(at, at + step)
-            gained = pick(self.values, part) * query
-            partial += np.bincount(pick(self.rows, part).ravel(), gained.ravel(), n)
-            unread.ravel()[pick(self.cells, part).ravel()] = 0
-            # unread components lie between the end of their list and where reading stands
-            bounds = unread @ np.stack([last, gained[-1]], axis=1)
-            if alive.sum() > k:
-                low = (partial + bounds[:, 0])[alive]
-                floor = max(floor, np.partition(low, len(low) - k)[len(low) - k])
-            alive &= partial + bounds[:, 1] >= floor
-            if alive.sum() * STRETCH <= n:
+        for read in range(step, n, step):
+            low, high = self._bounds(read)
+            lower = np.where(alive[reading], signed[reading] @ low.T, -np.inf)
+            if n > k:
+                kth = np.partition(lower, n - k, axis=1)[:, n - k]
+                floors[reading] = np.maximum(floors[reading], kth)
+            alive[reading] &= signed[reading] @ high.T >= floors[reading, None]
+            reading = reading[alive[reading].sum(axis=1) * STRETCH > n]
+            if not len(reading):
                 break
-        left = np.flatnonzero(alive)
-        scores = (self.block[left] @ query).astype(np.int64)
-        first = np.lexsort((self.ids[left], -scores))[:k]
-        return self.ids[left][first], scores[first]
+        found = []
+        for query, here in zip(queries, alive, strict=True):
+            left = np.flatnonzero(here)
+            scores = (self.block[left] @ query).astype(np.int64)
+            first = np.lexsort((self.ids[left], -scores))[:k]
+            found.append((self.ids[left][first], scores[first]))
+        return found
 
 
 def _matrix(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -117,19 +130,23 @@ def _pass(vectors: DataFrame, queries: dict[int, tuple[np.ndarray, np.ndarray]],
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for rows, ids, matrix in _matrix(batch):
                 asked = shared.value.get(matrix.shape[1])
                 for at in range(0, len(ids) if asked else 0, BLOCK):
                     part = slice(at, at + BLOCK)
                     lists = Lists(rows[part], ids[part], matrix[part])
-                    for query_row, query in zip(*asked, strict=True):
-                        have = best.get(query_row, (ids[:0], np.zeros(0, np.int64)))
-                        floor = have[1][-1] if len(have[1]) == k else -np.inf
-                        found = lists.best(query_row, query, k, floor)
-                        both = [np.concatenate(x) for x in zip(have, found, strict=True)]
-                        first = np.lexsort((both[0], -both[1]))[:k]
-                        best[query_row] = both[0][first], both[1][first]
+                    for together in range(0, len(asked[0]), TOGETHER):
+                        query_rows, queries = (x[together : together + TOGETHER] for x in asked)
+                        held = [best.get(q, none) for q in query_rows.tolist()]
+                        floors = [h[1][-1] if len(h[1]) == k else -np.inf for h in held]
+                        found = lists.best(query_rows, queries, k, np.array(floors, np.float64))
+                        for q, have, new in zip(query_rows.tolist(), held, found, strict=True):
+                            if len(new[0]):
+                                both = [np.concatenate(x) for x in zip(have, new, strict=True)]
+                                first = np.lexsort((both[0], -both[1]))[:k]
+                                best[q] = both[0][first], both[1][first]
         for query_row, (ids, scores) in best.items():
             asked_by = np.full(len(ids), query_row)
             yield pa.RecordBatch.from_arrays(

@@ -77,6 +77,24 @@ def test_exact_topk(llm, tables):
     assert queries.op9_exact_topk(llm, tables(embeddings=([], VECTORS))).count() == 0
 
 
+def test_exact_topk_reads_a_block_for_many_queries():
+    from shiftlens.llm import exact_topk
+
+    draw = np.random.default_rng(5)
+    block = np.floor(256 * draw.normal(size=(500, 12)))
+    block[100:120] = block[7]
+    own, ids = np.arange(500), draw.permutation(500)
+    asked = np.array([0, 7, 100, 499, 250])
+    scores = (block @ block[asked].T).T
+    scores[np.arange(5), asked] = -np.inf
+    want = [np.lexsort((ids, -s))[:5] for s in scores]
+    for floors in (np.full(5, -np.inf), np.array([s[w[2]] for s, w in zip(scores, want)])):
+        found = exact_topk.Lists(own, ids, block).best(asked, block[asked], 5, floors)
+        for (got_ids, got), s, w, floor in zip(found, scores, want, floors):
+            n = int((s[w] >= floor).sum())
+            assert got_ids[:n].tolist() == ids[w][:n].tolist() and got[:n].tolist() == s[w][:n].tolist()
+
+
 def test_exact_topk_in_several_passes(llm, tables, monkeypatch):
     from shiftlens.llm import exact_topk
 

@@ -2,10 +2,11 @@
 
 A vocabulary file in the JSON format of the public ``tokenizers`` library gives the merges, the
 vocabulary and the added tokens; the word pattern, the end-of-word mark and the lower-casing are
-those of such word-level files. A task finds the words of a whole text at once and keeps what it
-has encoded in a bounded cache; what occurs again and again outlives a full one. For a word that is
+those of such word-level files. A task finds the words of a whole text at once and keeps their ids,
+packed, in a bounded cache; what occurs again and again outlives a full one. For a word that is
 not there, a priority queue of merge ranks runs over a doubly linked list of numbered symbols, and
 entries whose pair has changed since they were queued are skipped. Decoding joins vocabulary strings.
+Results leave a task in pieces of some ``HELD_IDS`` ids, however many rows and ids a batch has.
 
 Null and empty texts give no ids and an empty decoded text. Repeated rows are encoded alike.
 """
@@ -16,10 +17,13 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, functions as F
 from tokenizers import Regex
@@ -29,6 +33,8 @@ from tokenizers.pre_tokenizers import Split
 CACHE_WORDS = 300_000
 #: Longer ones are encoded each time they occur.
 CACHE_CHARS = 64
+#: A task hands its results on once it holds so many ids; one text's stay together.
+HELD_IDS = 1 << 18
 #: Bits of a symbol's place in an entry of the queue, below its rank.
 SHIFT = 32
 PLACE = (1 << SHIFT) - 1
@@ -78,11 +84,11 @@ def merge(symbols: list[int], ranks: list[dict[int, int]], wholes: list[int]) ->
 class Recent(dict):
     """What was made of a key, for at most ``CACHE_WORDS`` keys and as many from before it was last full."""
 
-    def __init__(self, make: Callable[[str], tuple]) -> None:
+    def __init__(self, make: Callable[[str], bytes]) -> None:
         super().__init__()
         self.make, self.older = make, {}
 
-    def __missing__(self, key: str) -> tuple:
+    def __missing__(self, key: str) -> bytes:
         found = self.older.get(key) or self.make(key)
         if len(key) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
@@ -117,6 +123,15 @@ def _late(pattern: str) -> str:
     return "".join(sorted(set(doubtful) - {c for c, _ in known}))
 
 
+def packed(ids: Iterable[int]) -> bytes:
+    """Ids as 32-bit integers, one after the other."""
+    return array("i", ids).tobytes()
+
+
+def unpacked(ids: bytes) -> np.ndarray:
+    return np.frombuffer(ids, np.int32)
+
+
 class Words:
     """Finds words as the pattern of a vocabulary file has them."""
 
@@ -136,10 +151,7 @@ class Words:
 
 
 class Tokenizer:
-    """Encodes words with one vocabulary file; one per task.
-
-    What it tells of a word: ids as text, vocabulary strings joined by a space, number of ids, ids.
-    """
+    """Encodes words with one vocabulary file; one per task. Of a word it keeps the packed ids."""
 
     def __init__(self, content: str) -> None:
         spec = json.loads(content)
@@ -148,7 +160,10 @@ class Tokenizer:
         self.end = model.get("end_of_word_suffix") or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in [*self.vocab.items(), *self.added.items()]}
-        self.digits = {i: str(i) for i in self.names}
+        # by id: its vocabulary string, and its digits
+        places = range(max(self.names, default=-1) + 1)
+        self.strings = pa.array([self.names.get(i) for i in places], pa.string())
+        self.digits = pa.array(map(str, places), pa.string())
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word = Words(split["pattern"]["Regex"])
         marks = sorted(self.added, key=len, reverse=True)
@@ -166,7 +181,7 @@ class Tokenizer:
         for rank, (left, right) in enumerate(pairs):
             self.ranks[left][right] = rank
         self.ids = list(self.vocab.values())
-        self.known = Recent(lambda word: self.told(self.encode_word(word)))
+        self.known = Recent(lambda word: packed(self.encode_word(word)))
 
     def normal(self, text: str) -> str:
         # one character at a time: the lower case of a sigma does not depend on its place
@@ -180,34 +195,51 @@ class Tokenizer:
         n = len(ids)
         return [ids[s] for s in merge(symbols, self.ranks, self.wholes) if s < n]
 
-    def told(self, ids: list[int]) -> tuple[str, str, int, list[int]]:
-        digits = self.digits
-        return " ".join([digits[i] for i in ids]), self.decode(ids), len(ids), ids
-
     def forget(self) -> None:
         """Give the cache back at a task's end: the process may go on with other work."""
         self.known.forget()
 
-    def chunks(self, text: str) -> list[tuple[str, str, int, list[int]]]:
-        """The text's words and added tokens that have ids."""
+    def packed(self, text: str) -> bytes:
+        """Packed ids of the text's words and added tokens."""
         if self.mark is None or not self.mark.search(text):
-            words = self.word.find(self.normal(text))
-            return [w for w in map(self.known.__getitem__, words) if w[2]]
+            return b"".join(map(self.known.__getitem__, self.word.find(self.normal(text))))
         out, at = [], 0
         for m in self.mark.finditer(text):
-            out += self.chunks(text[at : m.start()])
-            out.append(self.told([self.added[m.group()]]))
+            out += [self.packed(text[at : m.start()]), packed([self.added[m.group()]])]
             at = m.end()
-        return out + self.chunks(text[at:])
+        return b"".join([*out, self.packed(text[at:])])
 
     def encode(self, text: str) -> list[int]:
-        return [i for c in self.chunks(text) for i in c[3]]
+        return unpacked(self.packed(text)).tolist()
+
+    def lists(self, batches: Iterable[pa.Array]) -> Iterator[pa.ListArray]:
+        """The ids of each text, text after text, in arrays of some ``HELD_IDS`` ids."""
+
+        def held() -> pa.ListArray:
+            ids = unpacked(b"".join(found))
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+
+        for texts in batches:
+            ends, found = [0], []
+            for text in texts:
+                found.append(self.packed(text.as_py() or ""))
+                ends.append(ends[-1] + len(unpacked(found[-1])))
+                if ends[-1] >= HELD_IDS:
+                    yield held()
+                    ends, found = [0], []
+            if found:
+                yield held()
 
     def decode(self, ids: list[int]) -> str:
         """Vocabulary strings, joined by a space as the file names no decoder of its own."""
         names = self.names
         return " ".join([names[i] for i in ids if i in names])
 
+    @staticmethod
+    def joined(told: pa.Array, lists: pa.ListArray) -> pa.Array:
+        """For each list of ids what ``told`` has for them, joined by a space."""
+        return pc.binary_join(pa.ListArray.from_arrays(lists.offsets, told.take(lists.values)), " ")
+
 
 @lru_cache(maxsize=2)
 def _tokenizer(content: str) -> Tokenizer:
@@ -226,15 +258,8 @@ def encoded(text: Column, content) -> Column:
     @F.arrow_udf(RESULT)
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = _tokenizer(content.value)
-        for texts in batches:
-            ends, ids, decoded = [0], [], []
-            for text in texts:
-                found = own.chunks(text.as_py() or "")
-                ends.append(ends[-1] + sum([c[2] for c in found]))
-                ids += [i for c in found for i in c[3]]
-                decoded.append(" ".join([c[1] for c in found]))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-            both = [lists, pa.array(decoded, pa.string())]
+        for ids in own.lists(batches):
+            both = [ids, own.joined(own.strings, ids)]
             yield pa.StructArray.from_arrays(both, ["ids", "decoded"])
         own.forget()
 
@@ -250,17 +275,12 @@ def digested(text: Column, content) -> Column:
     @F.arrow_udf(DIGEST)
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = _tokenizer(content.value)
-        for texts in batches:
-            counts, ids, decoded = [], [], []
-            for text in texts:
-                found = own.chunks(text.as_py() or "")
-                counts.append(sum([c[2] for c in found]))
-                for out, k in ((ids, 0), (decoded, 1)):
-                    joined = " ".join([c[k] for c in found])
-                    out.append(hashlib.sha256(joined.encode()).hexdigest())
-            columns = [pa.array(counts, pa.int64()), pa.array(ids), pa.array(decoded)]
+        for ids in own.lists(batches):
+            columns = [ids.value_lengths().cast(pa.int64())]
+            for told in (own.digits, own.strings):
+                sums = [hashlib.sha256(j.as_py().encode()).hexdigest() for j in own.joined(told, ids)]
+                columns.append(pa.array(sums, pa.string()))
             names = ["n_tokens", "ids_sha256", "decoded_sha256"]
-            columns = [c.cast(k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)]
             yield pa.StructArray.from_arrays(columns, names)
 
     return digest(text)

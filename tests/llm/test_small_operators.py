@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -191,6 +192,21 @@ def test_bpe_frequent_words_outlive_a_full_cache(monkeypatch):
     assert merged.count("often") == 1 and len(merged) == 20
 
 
+def test_bpe_holds_few_ids_and_packed_words(llm, tables, monkeypatch):
+    monkeypatch.setattr(bpe, "HELD_IDS", 50)
+    own = bpe.Tokenizer(bpe.read_vocabulary(PATH))
+    texts = ["one two three " * (i % 5) for i in range(90)] + ["", "long " * 300, None]
+    whole = pa.array(texts, pa.string())
+    pieces = list(own.lists([whole.slice(0, 40), whole.slice(40, 0), whole.slice(40)]))
+    want = [LIBRARY.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [ids for piece in pieces for ids in piece.to_pylist()] == want
+    assert len(pieces) > 10 and all(len(piece.slice(0, len(piece) - 1).flatten()) < 50 for piece in pieces)
+    decoded = [d for piece in pieces for d in own.joined(own.strings, piece).to_pylist()]
+    assert decoded == [LIBRARY.decode(ids, skip_special_tokens=False) for ids in want]
+    # of a word its ids alone are kept, four bytes each
+    assert {w: len(kept) for w, kept in own.known.items()} == {w: 4 * len(own.encode_word(w)) for w in ("one", "two", "three", "long")}
+
+
 def test_toxicity(llm, tables):
     draw = random.Random(8)
     syllables = ["an", "the", "or", "tion", "es", "in", "ly", "re", "st", "on"]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shiftlens.functions.text import tokens
 from shiftlens.operators import (
+    pair_ranks,
     retrieval as R,
     search_index as I,
     segmentation as G,
@@ -44,13 +47,14 @@ def pages_markdown(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents, tokenised once and stored as an index is; some have no vector."""
+def chunks(spark: SparkSession, folder: str, keep: bool = True) -> DataFrame:
+    """All documents, tokenised once and stored as an index is, if they are to be kept; some have no vector."""
     held = table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")
     )
     docs = rows(spark, folder, "documents").select("doc_id", tokens(F.col("text")).alias("terms"))
-    return stored(docs.join(held, "doc_id", "left").withColumnRenamed("doc_id", "chunk_id"))
+    found = docs.join(held, "doc_id", "left").withColumnRenamed("doc_id", "chunk_id")
+    return stored(found) if keep else found
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -157,12 +161,13 @@ RANKED_SQL = """pairs AS (SELECT item_id AS q, dt.c, coalesce(dense, -2) AS dens
 
 
 def _fused(spark: SparkSession, folder: str) -> DataFrame:
-    found, asked = chunks(spark, folder), queries(spark, folder)
+    found, asked = chunks(spark, folder, keep=False), stored(queries(spark, folder))
     lists = [
         (R.dense_ranks(found.select("chunk_id", "vec"), asked), "dense_rank"),
         (R.sparse_ranks(found, asked), "sparse_rank"),
     ]
-    return R.fuse(lists)
+    null = found.where("chunk_id IS NULL").count() + asked.where("query_id IS NULL").count()
+    return R.fuse(lists, parts=None if null else max(1, math.ceil(found.count() / pair_ranks.TOGETHER)))
 
 
 def _section_index(spark: SparkSession, folder: str) -> str:
@@ -382,7 +387,7 @@ def register() -> None:
         "sparse_ranks",
         "W2 T5",
         "query_id:i, chunk_id:i, sparse:6, sparse_rank:i",
-        lambda s, d: R.sparse_ranks(chunks(s, d), queries(s, d)),
+        lambda s, d: R.sparse_ranks(chunks(s, d, keep=False), queries(s, d)),
         "SELECT q AS query_id, c AS chunk_id, sparse, sr AS sparse_rank FROM ranked",
         everything,
     )

@@ -412,3 +412,17 @@ def test_ranks_of_repeated_ids(spark):
     queries = spark.createDataFrame([(5, ["a"], [1.0])], "query_id bigint, terms array<string>, vec array<double>")
     assert [r["chunk_id"] for r in R.sparse_ranks(chunks, queries).orderBy("sparse_rank").collect()].count(1) == 4
     assert sorted(r["chunk_id"] for r in R.dense_ranks(chunks, queries).collect()) == [1, 1, 2]
+
+
+def test_small_files_are_read_together(spark, tmp_path):
+    for i in range(400):
+        (tmp_path / f"page {i}.md").write_text(f"# Page {i}\n## Part\ntext", "utf-8")
+    docs = corpus.read_markdown(spark, str(tmp_path))
+    assert docs.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    with_small_parts = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        assert corpus.read_markdown(spark, str(tmp_path)).rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", with_small_parts)
+    assert {r["doc"] for r in docs.collect()} == {f"page {i}" for i in range(400)}
